@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact_dedup
+from ledgerloom.llm import exact_dedup, quality_rules
 
 
 def queries() -> dict:
-    return {"op9_exact_dedup": exact_dedup.op9_exact_dedup}
+    return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
