@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact_dedup, quality_rules
+from ledgerloom.llm import bpe, chat_format, exact_dedup, quality_rules
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op5_bpe": bpe.op5_bpe,
+        "op7_chat_format": chat_format.op7_chat_format,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op7_chat_format": chat_format.OP7_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
