@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, exact_dedup, quality_rules
+from ledgerloom.llm import bpe, chat_format, exact_dedup, packing, quality_rules
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_bpe": bpe.op5_bpe,
         "op7_chat_format": chat_format.op7_chat_format,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
