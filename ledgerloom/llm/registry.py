@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, exact_dedup, near_dedup, packing, quality_rules
+from ledgerloom.llm import bpe, chat_format, exact_dedup, line_dedup, near_dedup, packing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
         "op5_bpe": bpe.op5_bpe,
         "op7_chat_format": chat_format.op7_chat_format,
