@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, exact_dedup, line_dedup, near_dedup, packing, quality_rules
+from ledgerloom.llm import bpe, chat_format, exact_dedup, line_dedup, near_dedup, packing, pii, quality_rules
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
         "op5_bpe": bpe.op5_bpe,
         "op7_chat_format": chat_format.op7_chat_format,
+        "op8_pii": pii.op8_pii,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
