@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, exact_dedup, line_dedup, near_dedup, packing, pii, quality_rules
+from ledgerloom.llm import bpe, chat_format, exact_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality_rules
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
         "op5_bpe": bpe.op5_bpe,
+        "op6_html_extract": html_extract.op6_html_extract,
         "op7_chat_format": chat_format.op7_chat_format,
         "op8_pii": pii.op8_pii,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
