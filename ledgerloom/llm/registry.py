@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, exact_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality_rules
+from ledgerloom.llm import bpe, chat_format, exact_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
