@@ -199,8 +199,25 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return sorted_.mapInPandas(lambda x: verify_task(x, least), "a long, b long")
 
 
+def row_id(doc_id: str = "doc_id", text: str = "text"):
+    """The document's number; where it is null a hash of the text."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
+
+
 def near_dedup(documents: DataFrame, least: float = SIMILARITY, weights: str = "set") -> DataFrame:
-    """doc_id, class_id, class_size and kept of every row of documents (doc_id, text).
+    """doc_id, class_id, class_size and kept of every row of documents (doc_id, text), as classes() tells them."""
+    return classes(documents, least, weights).drop("id")
+
+
+def keep_one(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of documents that stay, one of each class, with all their columns."""
+    found = classes(documents.select("doc_id", "text"), least).filter("kept").select(F.col("id").alias("__id"))
+    rows = documents.withColumn("__id", row_id())
+    return rows.join(found, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+
+
+def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set") -> DataFrame:
+    """id, doc_id, class_id, class_size and kept of every row of documents (doc_id, text).
 
     A class is a connected component of documents whose sets of shingles have a Jaccard similarity of `least` or more; its
     id is its least doc_id, and kept is true for that row. Words are runs without ASCII white space. Texts with the same
@@ -209,8 +226,7 @@ def near_dedup(documents: DataFrame, least: float = SIMILARITY, weights: str = "
     of its text. weights "count" gives shingles their numbers of occurrences as weights in the signatures; "set" gives 1.
     Other columns are ignored; no documents, no rows.
     """
-    doc_id = F.col("doc_id").cast("long")
-    docs = documents.select(F.coalesce(doc_id, F.xxhash64("text")).alias("id"), doc_id.alias("doc_id"), "text")
+    docs = documents.select(row_id().alias("id"), F.col("doc_id").cast("long"), "text")
     signed = staged(docs.mapInPandas(lambda x: signed_task(x, weights), "id long, doc_id long, print binary, keys array<long>"), "signed")
     alike = staged(signed.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "alike")
     nodes = signed.join(alike.select("print", F.col("node").alias("id")), ["print", "id"], "left_semi").dropDuplicates(["print", "id"])
@@ -233,7 +249,7 @@ def near_dedup(documents: DataFrame, least: float = SIMILARITY, weights: str = "
     of_print = alike.join(found, "node", "left").select("print", "copies", F.coalesce("root", "node").alias("class_id"))
     sizes = of_print.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     return signed.join(of_print.join(sizes, "class_id"), "print").select(
-        "doc_id", "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
+        "id", "doc_id", "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
     )
 
 

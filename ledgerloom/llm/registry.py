@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ledgerloom.llm import bpe, chat_format, exact_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality_rules, toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
