@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerloom.plans import graph_queries, score_queries, text_queries
+
+MODULES = (text_queries, graph_queries, score_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue of each nation's customers."""
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return (
-        t("orders")
-        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey")
-        .agg(F.count("*").alias("n_orders"))
-    )
+    """Texts, their faults and quality scores by language."""
+    return text_queries.doc_quality_by_lang(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
