@@ -24,6 +24,8 @@ from ledgerloom.llm.bpe import encoding, read_ranks
 from ledgerloom.llm.common import staged, table
 
 LENGTH = 2048
+#: Room that an enumerated pattern may leave; emptier ones are left to best fit, which can use more pieces.
+ROOM = 8
 #: Most pieces of an enumerated pattern.
 MAX_PIECES = 3
 #: Lengths, the most frequent, that are tried as the second piece of three.
@@ -75,7 +77,7 @@ def pieces_task(batches: Iterator[pd.DataFrame], encoder: Encoder) -> Iterator[p
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:
-    """Rows of lengths, padded by 0, that sum to LENGTH or, where no partner fits exactly, to a little less."""
+    """Rows of lengths, padded by 0, that sum to LENGTH or at most ROOM less."""
     lengths = np.flatnonzero(counts)
     lengths = lengths[lengths < LENGTH]
     if not len(lengths):
@@ -87,7 +89,7 @@ def patterns(counts: np.ndarray) -> np.ndarray:
     a, b = (x.ravel() for x in np.meshgrid(lengths, middles))
     triples = np.stack([a, b, below(LENGTH - a - b)], 1)
     found = np.sort(np.concatenate([pairs, triples]), 1)[:, ::-1]
-    return np.unique(found[found.sum(1) <= LENGTH], axis=0)
+    return np.unique(found[(found.sum(1) <= LENGTH) & (found.sum(1) >= LENGTH - ROOM)], axis=0)
 
 
 def fitted(counts: np.ndarray, rows: np.ndarray, steps: int = 300) -> np.ndarray:
