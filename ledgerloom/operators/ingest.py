@@ -28,7 +28,7 @@ def windows(documents: DataFrame, length: int, overlap: int) -> DataFrame:
 
 def char_chunks(documents: DataFrame, most: int) -> DataFrame:
     """Chunks of at most so many characters, cut after the last white space that fits or, without one, at the limit."""
-    pattern = rf"(?s).{{1,{most}}}(?<=\s)|.{{1,{most}}}$|.{{1,{most}}}"
+    pattern = rf"(?s).{{1,{most}}}\z|.{{1,{most}}}(?<=\s)|.{{1,{most}}}"
     return documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("seq", "chunk"))
 
 
