@@ -58,7 +58,7 @@ def high(h: Column) -> Column:
 
 
 def variants(found: DataFrame) -> DataFrame:
-    """h1, h2, first, at (the place deleted), near (key without the place), same (key with it) of the variants of lines
+    """h1, h2, first, at (the place deleted), near (key without the place) and same (key with it) of the variants of lines
     (h1, h2, first, line, by_first, by_last), and own: the line's own key."""
     w = F.split("line", " ")
     rows = found.withColumn("w", w).withColumn("n", F.size("w"))
@@ -78,9 +78,15 @@ def variants(found: DataFrame) -> DataFrame:
             F.xxhash64(F.col("a") + F.col("d.a"), F.col("b") + F.col("d.b"), F.col("n") - 1).alias("near"),
             F.xxhash64("a", "b", "n").alias("own"),
         )
+        .withColumn("same", F.xxhash64("near", "at"))
     )
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """The rows, broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def one_edit(a: Column, b: Column) -> Column:
     """Whether at most one word edit lies between two lists of words."""
     equal = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False))
@@ -97,7 +103,7 @@ def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
         F.bool_or(F.col("key") % 2 == 0).alias("by_first"), F.bool_or(F.col("key") % 2 != 0).alias("by_last")
     )
     looked = staged(distinct.drop("keys").join(looked, "h1").select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("rid"), F.col("first.line_no").alias("line_no"), "by_first", "by_last"), "looked")
-    wanted = F.broadcast(looked) if looked.count() <= BROADCAST_ROWS else looked
+    wanted = small(looked)
     all_lines = lines(documents).alias("l")
     wanted = wanted.alias("w")
     found = all_lines.join(
@@ -105,11 +111,15 @@ def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     ).select("h1", "h2", "first", "by_first", "by_last", "line")
     found = staged(found.dropDuplicates(["h1", "h2"]), "texts")
     every = staged(variants(found), "variants")
+    # Only keys that two lines have go on with their lines; their list is short, and broadcast if it is.
+    twice = every.groupBy("same").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("same")
     id_ = F.struct("first", "h1", "h2")
-    hubs = every.groupBy("near", "at").agg(F.min(id_).alias("hub"), F.max(id_).alias("end")).filter("hub <> end").drop("end")
-    swaps = every.join(hubs, ["near", "at"]).filter(id_ != F.col("hub")).select("hub.first", "hub.h1", "hub.h2", F.col("first").alias("first_b"), F.col("h1").alias("h1_b"), F.col("h2").alias("h2_b"))
-    own = every.select(F.col("own").alias("near"), F.col("first").alias("first_b"), F.col("h1").alias("h1_b"), F.col("h2").alias("h2_b")).distinct()
-    drops = every.join(own, "near").select("first", "h1", "h2", "first_b", "h1_b", "h2_b")
+    twins = staged(every.join(small(staged(twice, "twice")), "same", "left_semi").select("same", id_.alias("id")), "twins")
+    swaps = twins.join(twins.groupBy("same").agg(F.min("id").alias("hub")), "same").filter("id <> hub").select("hub", "id")
+    own = staged(every.select("own", id_.alias("hub")).distinct(), "own")
+    longer = every.join(small(own), every["near"] == own["own"]).select("hub", id_.alias("id"))
+    ends = lambda c, end: (F.col(f"{c}.first").alias("first" + end), F.col(f"{c}.h1").alias("h1" + end), F.col(f"{c}.h2").alias("h2" + end))
+    swaps, drops = (x.select(*ends("hub", ""), *ends("id", "_b")) for x in (swaps, longer))
     pairs = swaps.union(drops).distinct()
     words = found.select("h1", "h2", F.split("line", " ").alias("w"))
     both = pairs.join(words, ["h1", "h2"]).join(words.toDF("h1_b", "h2_b", "w_b"), ["h1_b", "h2_b"]).filter(one_edit(F.col("w"), F.col("w_b")))

@@ -7,8 +7,9 @@ Jaccard similarity. Time is thrown only as far as a document's total weight need
 COORDINATES * log(COORDINATES) darts for any document.
 
 Signatures are banded. Equal texts are folded first. In each bucket every member is compared with the bucket's first and
-last member, never all with all; where that leaves a bucket with members of different classes, just those are compared
-across classes, so no link is lost. Candidates are verified by the exact Jaccard similarity of their shingles, and
+last member, never all with all. Where that leaves a bucket with members of different classes, sketches of their
+shingles are compared across classes, in blocks of bounded size; pairs more than three standard deviations of the
+sketches' error below the wanted similarity are not. Candidates are verified by the exact Jaccard similarity of their shingles, and
 classes are the connected components of the verified links.
 """
 
@@ -32,6 +33,12 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Members that are compared with a hub in one task.
 HUB_SHARE = 256
+#: Members of a block: two blocks of a bucket are compared in one task.
+BLOCK = 1024
+#: Bins of a sketch.
+BINS = 512
+#: Candidates up to which their list is broadcast to the texts; beyond it the texts are shuffled.
+BROADCAST_ROWS = 300_000
 U = np.uint64
 
 
@@ -135,17 +142,31 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """One byte of the least shingle in each of BINS parts of the hash range, 0 where there is none; then their number.
+
+    Of a text with fewer shingles than bins that is most of them, so the error of a similarity is far below a signature's.
+    """
+    out = np.zeros(BINS, np.uint8)
+    if len(found):
+        bins, first = np.unique((found >> U(64 - BINS.bit_length() + 1)).astype(np.int64), return_index=True)
+        out[bins] = mix(found[first]) % U(255) + U(1)
+    return out.tobytes() + len(found).to_bytes(4, "little")
+
+
 def signed_task(batches: Iterator[pd.DataFrame], weights: str) -> Iterator[pd.DataFrame]:
     words = Words()
     for batch in batches:
-        prints, keys = [], []
+        prints, keys, sketches = [], [], []
         for text in batch["text"]:
             hashes = words.of(text or "")[1]
             print_ = xxhash.xxh3_128(hashes.tobytes()).digest()
             found, counts = np.unique(shingles(hashes), return_counts=True)
             prints.append(print_)
-            keys.append(band_keys(signature(found, counts.astype(float) if weights == "count" else None)) if len(found) else np.empty(0, np.int64))
-        yield batch[["id", "doc_id"]].astype({"doc_id": "Int64"}).assign(print=prints, keys=keys)
+            earliest = signature(found, counts.astype(float) if weights == "count" else None) if len(found) else None
+            keys.append(band_keys(earliest) if len(found) else np.empty(0, np.int64))
+            sketches.append(sketch(found))
+        yield batch[["id", "doc_id"]].astype({"doc_id": "Int64"}).assign(print=prints, keys=keys, sketch=sketches)
 
 
 def shingled_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,10 +204,11 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     Each text moves to its hubs once a hub; a hub with many partners is copied to several shares of them, so that no task
     gets more than HUB_SHARE partners of one hub.
     """
-    pairs = pairs.distinct()
     counts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("shares"))
     wanted = pairs.join(counts, "hub").groupBy("id").agg(F.collect_list(F.struct("hub", F.pmod(F.xxhash64("id"), "shares").cast("int").alias("share"))).alias("hubs"))
-    wanted = wanted.join(counts.withColumnRenamed("hub", "id"), "id", "full").select("id", "hubs", "shares")
+    wanted = staged(wanted.join(counts.withColumnRenamed("hub", "id"), "id", "full").select("id", "hubs", "shares"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     moved = (
         texts.join(wanted, "id").select("id", "text", "hubs", "shares")
         .mapInPandas(shingled_task, "id long, hubs array<struct<hub:long,share:int>>, shares int, shingles binary")
@@ -227,7 +249,7 @@ def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set
     Other columns are ignored; no documents, no rows.
     """
     docs = documents.select(row_id().alias("id"), F.col("doc_id").cast("long"), "text")
-    signed = staged(docs.mapInPandas(lambda x: signed_task(x, weights), "id long, doc_id long, print binary, keys array<long>"), "signed")
+    signed = staged(docs.mapInPandas(lambda x: signed_task(x, weights), "id long, doc_id long, print binary, keys array<long>, sketch binary"), "signed")
     alike = staged(signed.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "alike")
     nodes = signed.join(alike.select("print", F.col("node").alias("id")), ["print", "id"], "left_semi").dropDuplicates(["print", "id"])
     members = staged(in_buckets(nodes.select("id", F.explode("keys").alias("key")), "id"), "members")
@@ -235,14 +257,12 @@ def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set
 
     # Every member against the first and the last of its bucket.
     ends = members.select("id", F.col("lo").alias("hub")).union(members.filter("id < hi").select("id", F.col("hi").alias("hub")))
-    links = staged(verified(ends.filter("id <> hub"), texts, least), "verified")
+    links = staged(verified(ends.filter("id <> hub").distinct(), texts, least), "verified")
     # Where a bucket still has members of different classes: those across classes.
     found = components(links)
     classed = members.select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("root", "id"))
-    apart = staged(in_buckets(classed.select("id", "key", "class"), "class"), "apart")
-    other = apart.select(F.col("id").alias("hub"), "key", F.col("class").alias("hub_class"))
-    rest = apart.join(other, "key").filter("class <> hub_class AND id > hub").select("id", "hub").distinct()
-    rest = staged(rest.join(ends, ["id", "hub"], "left_anti").join(ends.select(F.col("id").alias("hub"), F.col("hub").alias("id")), ["id", "hub"], "left_anti"), "rest")
+    apart = in_buckets(classed.select("id", "key", "class"), "class").select("id", "key", "class")
+    rest = staged(across_classes(apart, nodes.select("id", "sketch"), least), "rest")
     if rest.limit(1).count():
         found = components(links.union(staged(verified(rest, texts, least), "verified")))
 
@@ -253,6 +273,57 @@ def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set
     )
 
 
+def compare_task(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by bucket and pair of blocks. Yields pairs of different classes with like enough sketches."""
+    held, at, out = [], None, []
+
+    def compare():
+        ids, classes_ = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+        bins = np.stack([np.frombuffer(h[2], np.uint8, BINS) for h in held])
+        sizes = np.array([int.from_bytes(h[2][BINS:], "little") for h in held])
+        step = max(1, (1 << 14) // len(held))
+        for lo in range(0, len(held), step):
+            some = bins[lo : lo + step, None, :]
+            union = np.count_nonzero(some | bins[None], axis=2)
+            same = np.count_nonzero((some == bins[None]) & (some > 0), axis=2)
+            # The union's bins are a sample of the union's shingles, without replacement.
+            sampled = np.minimum(1, union * (1 + least) / (sizes[lo : lo + step, None] + sizes[None]))
+            error = np.sqrt(least * (1 - least) / np.maximum(union, 1) * (1 - sampled)) + 0.003
+            like = same >= (least - 3 * error) * union
+            a, b = np.nonzero(like & (ids[lo : lo + step, None] > ids[None, :]) & (classes_[lo : lo + step, None] != classes_[None, :]))
+            if len(a):
+                out.append(pd.DataFrame({"id": ids[lo + a], "hub": ids[b]}))
+
+    for batch in batches:
+        for key, low, high, id_, class_, sketch in zip(*(batch[c] for c in ("key", "low", "high", "id", "class", "sketch"))):
+            if at != (key, low, high):
+                if len(held) > 1:
+                    compare()
+                held, at = [], (key, low, high)
+            held.append((id_, class_, sketch))
+        if len(out) > 100:
+            yield pd.concat(out)
+            out = []
+    if len(held) > 1:
+        compare()
+    if out:
+        yield pd.concat(out)
+
+
+def across_classes(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Pairs (id, hub) of members (id, key, class) that share a bucket, are of different classes and have like sketches.
+
+    A bucket's members are dealt to blocks; each pair of blocks is one group of 2 * BLOCK members or so, however large the
+    bucket is.
+    """
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "key").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id", "key"), "blocks").cast("int"))
+    dealt = dealt.select("key", "id", "class", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "class", "sketch")
+    grouped = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return grouped.mapInPandas(lambda x: compare_task(x, least), "id long, hub long").distinct()
+
+
 def in_buckets(members: DataFrame, by: str) -> DataFrame:
     """The members of buckets in which `by` has more than one value, with its least (lo) and greatest (hi)."""
     ends = members.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).filter("lo < hi")
