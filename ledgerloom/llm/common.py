@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: White space of the result contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows whose texts a Python task holds as strings at a time.
+SLICE = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,3 +47,19 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE))
+
+
+def map_slices(rows: DataFrame, task: Callable, schema: str) -> DataFrame:
+    """mapInPandas in frames of SLICE rows at most: a worker's memory follows neither Arrow's batches nor their texts."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        frames = (part.to_pandas() for batch in batches for part in slices(batch))
+        for frame in task(frames):
+            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
+
+    return rows.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm.common import staged, table
+from ledgerloom.llm.common import map_slices, staged, table
 from ledgerloom.llm.components import components
 from ledgerloom.llm.words import Words
 
@@ -209,10 +209,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     wanted = staged(wanted.join(counts.withColumnRenamed("hub", "id"), "id", "full").select("id", "hubs", "shares"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    moved = (
-        texts.join(wanted, "id").select("id", "text", "hubs", "shares")
-        .mapInPandas(shingled_task, "id long, hubs array<struct<hub:long,share:int>>, shares int, shingles binary")
-    )
+    moved = map_slices(texts.join(wanted, "id").select("id", "text", "hubs", "shares"), shingled_task, "id long, hubs array<struct<hub:long,share:int>>, shares int, shingles binary")
     own = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda s: F.struct(F.col("id").alias("hub"), s.alias("share")))
     none = F.array().cast("array<struct<hub:long,share:int>>")
     dealt = moved.select("id", "shingles", F.explode(F.concat(F.coalesce(own, none), F.coalesce("hubs", none))).alias("to"))
@@ -249,7 +246,7 @@ def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set
     Other columns are ignored; no documents, no rows.
     """
     docs = documents.select(row_id().alias("id"), F.col("doc_id").cast("long"), "text")
-    signed = staged(docs.mapInPandas(lambda x: signed_task(x, weights), "id long, doc_id long, print binary, keys array<long>, sketch binary"), "signed")
+    signed = staged(map_slices(docs, lambda x: signed_task(x, weights), "id long, doc_id long, print binary, keys array<long>, sketch binary"), "signed")
     alike = staged(signed.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "alike")
     nodes = signed.join(alike.select("print", F.col("node").alias("id")), ["print", "id"], "left_semi").dropDuplicates(["print", "id"])
     members = staged(in_buckets(nodes.select("id", F.explode("keys").alias("key")), "id"), "members")

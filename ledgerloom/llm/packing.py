@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.llm.bpe import encoding, read_ranks
-from ledgerloom.llm.common import staged, table
+from ledgerloom.llm.common import map_slices, staged, table
 
 LENGTH = 2048
 #: Room that an enumerated pattern may leave; emptier ones are left to best fit, which can use more pieces.
@@ -31,7 +31,7 @@ MAX_PIECES = 3
 #: Lengths, the most frequent, that are tried as the second piece of three.
 MIDDLES = 24
 #: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -175,7 +175,7 @@ def pack(documents: DataFrame, ranks: dict[bytes, int], pattern: str, special: d
         return pieces_task(batches, Encoder(shared.value, pattern, special))
 
     docs = documents.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("copy"), F.col("text"))
-    pieces = staged(docs.mapInPandas(cut_up, PIECES), "pieces")
+    pieces = staged(map_slices(docs, cut_up, PIECES), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # LENGTH rows at most
     steps = spark.createDataFrame(plan(histogram) or [(0, 0, 0, 0, 0)], "length long, first long, times long, sequence long, at long")
     deal = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))

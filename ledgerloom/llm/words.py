@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 50_000
 
 
 class Words:
