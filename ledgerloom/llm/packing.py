@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.llm.bpe import encoding, read_ranks
@@ -30,33 +29,21 @@ ROOM = 8
 MAX_PIECES = 3
 #: Lengths, the most frequent, that are tried as the second piece of three.
 MIDDLES = 24
-#: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 100_000
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """ids of texts as the vocabulary's tokenizer gives them, each distinct word of a task encoded once."""
+    """ids of texts as the vocabulary's tokenizer gives them: special tokens' strings are those tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int]):
-        self.find, self.plain, self.special = regex.compile(pattern).findall, encoding(ranks, pattern), special
+        self.plain, self.special = encoding(ranks, pattern), special
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.known: dict[str, bytes] = {}
-
-    def word(self, w: str) -> bytes:
-        found = np.array(self.plain.encode_ordinary(w), "<u4").tobytes()
-        if len(w) < 64:
-            self.known[w] = found
-        return found
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         if self.split and any(s in text for s in self.special):
             return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self.ids(x) for x in self.split.split(text))
-        get, word = self.known.get, self.word
-        return b"".join([get(w) or word(w) for w in self.find(text)])
+        return np.array(self.plain.encode_ordinary(text), "<u4").tobytes()
 
 
 def cut(n: int) -> list[tuple[int, int]]:
