@@ -12,7 +12,7 @@ def folder(spark) -> str:
 
 
 def stream_window_counts(spark, sf):
-    return S.once(S.window_counts(S.event_stream(spark, f"{sf}/events.parquet"), "6 hours", "1 day"), folder(spark), "complete")
+    return S.once(S.window_counts(S.event_stream(spark, f"{sf}/events.parquet*"), "6 hours", "1 day"), folder(spark), "complete")
 
 
 QUERIES["stream_window_counts"] = stream_window_counts
@@ -20,7 +20,7 @@ SQL["stream_window_counts"] = """SELECT CAST(epoch_us(time_bucket(INTERVAL 6 HOU
 
 
 def stream_first_events(spark, sf):
-    firsts = S.first_of_each(S.event_stream(spark, f"{sf}/events.parquet"), ["event_id"], "1 day")
+    firsts = S.first_of_each(S.event_stream(spark, f"{sf}/events.parquet*"), ["event_id"], "1 day")
     return S.once(firsts.select("event_id", "user_id", "event_type"), folder(spark), "append").select("event_id", "user_id", "event_type")
 
 

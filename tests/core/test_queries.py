@@ -19,18 +19,16 @@ def db():
     return con
 
 
-def rows(frame):
+def rows(columns, found):
     def cell(v):
-        if v is None or v != v if isinstance(v, float) else v is None:
-            return "~"
-        return f"{v:.6g}" if isinstance(v, float) else str(list(v)) if hasattr(v, "__iter__") and not isinstance(v, str) else str(v)
+        return "~" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(list(v)) if isinstance(v, (list, tuple)) else str(v)
 
-    columns = sorted(frame.columns)
-    return columns, sorted(tuple(cell(v) for v in r) for r in frame[columns].itertuples(index=False))
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    return [columns[k] for k in order], sorted(tuple(cell(r[k]) for k in order) for r in found)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, db, name):
-    got, want = catalog.queries()[name](spark, SF).toPandas(), db.execute(catalog.oracle_sql()[name]).df()
-    assert rows(got) == rows(want)
+    got, want = catalog.queries()[name](spark, SF), db.execute(catalog.oracle_sql()[name])
+    assert rows(got.columns, got.collect()) == rows([x[0] for x in want.description], want.fetchall())
