@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import scores, text as T
 from ledgerloom.operators import graph, ingest, intervals, ledger, policy, relations, resolve
+from ledgerloom.plans import graph_queries
 from ledgerloom.sources import tables
 
 
@@ -74,6 +75,23 @@ def test_components(spark, tmp_path):
     assert {(r.node, r.root) for r in graph.components(links, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)}
 
 
+def test_graph_components_take_every_supplier(spark, tmp_path):
+    lines = [(7, 1), (7, 2), (8, 2), (8, 3), (1, 4), (2, 4), (2, 5), (14, 6), (3, 7), (3, 7)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in lines:
+        a, b = sorted((root(a), root(b + 1_000_000_000)))
+        parent[b] = a
+    got = [(r.node, r.root) for r in graph_queries.graph_components(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((x, root(x)) for x in list(parent))
+
+
 def test_overlaps_come_once(spark):
     a = spark.createDataFrame([(1, 0, 10), (1, 10, 20)], "k int, start long, end long")
     b = spark.createDataFrame([(1, 5, 12), (2, 5, 12)], "k int, start long, end long")
