@@ -42,6 +42,24 @@ def decide(scored: DataFrame) -> DataFrame:
     return ranked.select("mention_id", "entity_id", "score", margin.alias("margin"), action.alias("action"))
 
 
+def resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """decide(candidates(mentions, entities)) for tables in which names come often: each distinct surface is compared with
+    each distinct name once, however many mentions and entities have them.
+
+    Entities with the same name and aliases score the same, so only the two with the least ids can be first and next.
+    Mentions without a candidate have no row.
+    """
+    names = entities.groupBy("name", "aliases").agg(F.min("entity_id").alias("entity_id"))
+    others = entities.join(names.withColumnRenamed("entity_id", "least"), entities["name"].eqNullSafe(names["name"]) & entities["aliases"].eqNullSafe(names["aliases"]))
+    seconds = others.filter("entity_id > least").groupBy("least").agg(F.min("entity_id").alias("second"))
+    surfaces = mentions.select(F.col("surface").alias("mention_id"), "surface").distinct()
+    scored = candidates(surfaces, names).join(seconds, F.col("entity_id") == F.col("least"), "left")
+    both = F.array_compact(F.array("entity_id", "second"))
+    scored = scored.select("mention_id", F.explode(both).alias("entity_id"), "score").groupBy("mention_id", "entity_id").agg(F.max("score").alias("score"))
+    decided = decide(scored)
+    return mentions.join(decided.withColumnRenamed("mention_id", "surface"), "surface").select("mention_id", "entity_id", "score", "margin", "action")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score and rank of each query's k nearest vectors by cosine. The queries are a stated set; vectors
     are read once."""

@@ -297,6 +297,17 @@ def name_resolution(spark, sf):
     return resolve.decide(resolve.candidates(seen, known))
 
 
+# All parts as mentions against all parts as entities; name_resolution's SQL cuts both sides by id.
+@query("name_resolution_all", SQL["name_resolution"].replace(" WHERE p_partkey < 200", "").replace(" WHERE p_partkey >= 1900", ""))
+def name_resolution_all(spark, sf):
+    part = table(spark, sf, "part")
+    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
+    known = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array(turned).alias("aliases"))
+    k = F.col("p_partkey") % 3
+    seen = part.select(F.col("p_partkey").alias("mention_id"), scores.first_that((k == 0, F.upper("p_name")), (k == 1, turned), otherwise=F.concat("p_name", F.lit("s"))).alias("surface"))
+    return resolve.resolved(seen, known)
+
+
 @query("mention_group_type", """WITH s AS (SELECT p_name AS name, p_type AS kind, sum(round(p_size / 50.0::DOUBLE, 6)) AS total, min(round(p_size / 50.0::DOUBLE, 6)) AS weakest FROM part GROUP BY ALL)
 SELECT name, arg_min(kind, (-round(total, 6), kind)) AS kind, round(max(total), 4) AS total, round(min(weakest), 6) AS confidence FROM s GROUP BY name""")
 def mention_group_type(spark, sf):

@@ -52,6 +52,18 @@ def test_decide_needs_a_margin(spark):
     assert {(r.mention_id, r.action) for r in resolve.decide(scored).collect()} == {(1, "REVIEW"), (2, "LINK"), (3, "CREATE_NEW")}
 
 
+def test_resolved_equals_candidates_of_every_pair(spark, tmp_path):
+    names = ["red ring", "ring red", "red ring", "hot gear", "hot gear", "red widget", "old", "red ring", "hot plate"]
+    part = spark.createDataFrame([(200 * k + 7, x) for k, x in enumerate(names)], "p_partkey long, p_name string")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    got = graph_queries.name_resolution_all(spark, str(tmp_path)).collect()
+    assert sorted(r.mention_id for r in got) == [200 * k + 7 for k in range(9) if k != 6 or 1207 % 3 != 2]
+    entities = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array(F.array_join(F.reverse(F.split("p_name", " ")), " ")).alias("aliases"))
+    mentions = spark.createDataFrame([(1, "RED RING"), (2, "red ring"), (3, "hot gears"), (4, "blue"), (5, "old"), (6, "plate hot"), (7, "RED RING"), (8, None)], "mention_id long, surface string")
+    want = resolve.decide(resolve.candidates(mentions, entities)).collect()
+    assert sorted(map(tuple, resolve.resolved(mentions, entities).collect())) == sorted(map(tuple, want)) and len(want) == 6
+
+
 def test_broken_chain_is_found(spark):
     rows = spark.createDataFrame([(1, "a", "2024-01-01", "ACTIVE", 0.5), (2, "a", "2024-01-02", "ENDED", 0.5)], "seq long, assertion_id string, recorded_at string, status string, confidence double")
     chain = ledger.chained(rows)
