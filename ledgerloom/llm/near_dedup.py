@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm.common import map_slices, staged, table
+from ledgerloom.llm.common import map_slices, staged, table, whole
 from ledgerloom.llm.components import components
 from ledgerloom.llm.words import Words
 
@@ -166,7 +166,7 @@ def signed_task(batches: Iterator[pd.DataFrame], weights: str) -> Iterator[pd.Da
             earliest = signature(found, counts.astype(float) if weights == "count" else None) if len(found) else None
             keys.append(band_keys(earliest) if len(found) else np.empty(0, np.int64))
             sketches.append(sketch(found))
-        yield batch[["id", "doc_id"]].astype({"doc_id": "Int64"}).assign(print=prints, keys=keys, sketch=sketches)
+        yield batch[["id", "number", "doc_id"]].astype({"doc_id": "Int64"}).assign(print=prints, keys=keys, sketch=sketches)
 
 
 def shingled_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +220,13 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def row_id(doc_id: str = "doc_id", text: str = "text"):
     """The document's number; where it is null a hash of the text."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(whole(text)))
+
+
+def identity():
+    """A hash of doc_id and text: rows with one doc_id and different texts are different documents."""
+    no_id, no_text = F.col("doc_id").isNull(), F.col("text").isNull()
+    return F.xxhash64(no_id, F.col("doc_id").cast("long"), no_text, F.col("text"))
 
 
 def near_dedup(documents: DataFrame, least: float = SIMILARITY, weights: str = "set") -> DataFrame:
@@ -231,7 +237,7 @@ def near_dedup(documents: DataFrame, least: float = SIMILARITY, weights: str = "
 def keep_one(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of documents that stay, one of each class, with all their columns."""
     found = classes(documents.select("doc_id", "text"), least).filter("kept").select(F.col("id").alias("__id"))
-    rows = documents.withColumn("__id", row_id())
+    rows = documents.withColumn("__id", identity())
     return rows.join(found, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
 
 
@@ -239,15 +245,18 @@ def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set
     """id, doc_id, class_id, class_size and kept of every row of documents (doc_id, text).
 
     A class is a connected component of documents whose sets of shingles have a Jaccard similarity of `least` or more; its
-    id is its least doc_id, and kept is true for that row. Words are runs without ASCII white space. Texts with the same
+    id is its least doc_id, and kept is true for that row. Rows that share a doc_id but not the text are documents of their
+    own, told apart by their identity(), which is the id of a row: of several texts with the least doc_id that with the
+    least identity is kept, and of several classes with the same least doc_id only that whose kept row has the least
+    identity is named by it, the others by the identities of their kept rows. Words are runs without ASCII white space. Texts with the same
     words are one from the start (null and empty texts too: they are a class of their own). Texts of fewer than SHINGLE
     words are one shingle. Rows that repeat a doc_id and text share their verdict. A null doc_id takes part under a hash
     of its text. weights "count" gives shingles their numbers of occurrences as weights in the signatures; "set" gives 1.
     Other columns are ignored; no documents, no rows.
     """
-    docs = documents.select(row_id().alias("id"), F.col("doc_id").cast("long"), "text")
-    signed = staged(map_slices(docs, lambda x: signed_task(x, weights), "id long, doc_id long, print binary, keys array<long>, sketch binary"), "signed")
-    alike = staged(signed.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "alike")
+    docs = documents.select(identity().alias("id"), row_id().alias("number"), F.col("doc_id").cast("long"), "text")
+    signed = staged(map_slices(docs, lambda x: signed_task(x, weights), "id long, number long, doc_id long, print binary, keys array<long>, sketch binary"), "signed")
+    alike = staged(signed.groupBy("print").agg(F.min("id").alias("node"), F.min(F.struct("number", "id")).alias("first"), F.count("*").alias("copies")), "alike")
     nodes = signed.join(alike.select("print", F.col("node").alias("id")), ["print", "id"], "left_semi").dropDuplicates(["print", "id"])
     members = staged(in_buckets(nodes.select("id", F.explode("keys").alias("key")), "id"), "members")
     texts = docs.select("id", "text")
@@ -263,10 +272,13 @@ def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set
     if rest.limit(1).count():
         found = components(links.union(staged(verified(rest, texts, least), "verified")))
 
-    of_print = alike.join(found, "node", "left").select("print", "copies", F.coalesce("root", "node").alias("class_id"))
-    sizes = of_print.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    return signed.join(of_print.join(sizes, "class_id"), "print").select(
-        "id", "doc_id", "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
+    of_print = alike.join(found, "node", "left").select("print", "copies", "first", F.coalesce("root", "node").alias("root"))
+    sizes = of_print.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("first").alias("first"))
+    sizes = sizes.select("root", "class_size", F.col("first.number").alias("number"), F.col("first.id").alias("kept_id"))
+    owners = sizes.groupBy("number").agg(F.min("kept_id").alias("owner"))
+    named = sizes.join(owners, "number").select("root", "class_size", "kept_id", F.when(F.col("kept_id") == F.col("owner"), F.col("number")).otherwise(F.col("kept_id")).alias("class_id"))
+    return signed.join(of_print.select("print", "root").join(named, "root"), "print").select(
+        "id", "doc_id", "class_id", "class_size", (F.col("id") == F.col("kept_id")).alias("kept")
     )
 
 

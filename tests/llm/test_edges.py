@@ -112,6 +112,22 @@ def test_near_dedup(docs, none):
     assert one.columns == docs.columns and sorted(str(r.doc_id) for r in one.collect()) == ["1", "4", "7", "None"]
 
 
+def test_near_dedup_tells_texts_under_one_doc_id_apart(spark):
+    other = " ".join(f"thing{i} and{i % 5}" for i in range(60))
+    texts = [(3, PROSE), (3, other), (3, other), (3, "short"), (4, other + " more"), (5, PROSE + " more"), (42, "a b"), (None, None), (None, "a b")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = near_dedup.near_dedup(rows).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.class_id, []).append((r.doc_id, r.class_size, r.kept))
+    found = sorted((str(sorted(r[0] or 0 for r in c)), {r[1] for r in c}, sorted((r[0] or 0) for r in c if r[2])) for c in sizes.values())
+    assert [x[:2] for x in found] == [("[0, 42]", {2}), ("[0]", {1}), ("[3, 3, 4]", {3}), ("[3, 5]", {2}), ("[3]", {1})]
+    assert [x[2] for x in found][1:] == [[0], [3, 3], [3], [3]]
+    assert 3 in sizes
+    left = [tuple(r) for r in near_dedup.keep_one(rows).collect()]
+    assert len(left) == 5 and {(3, PROSE), (3, other), (3, "short"), (None, None)} <= set(left)
+
+
 def test_signatures_estimate_weighted_jaccard():
     import numpy as np
 
