@@ -8,7 +8,7 @@ COORDINATES * log(COORDINATES) darts for any document.
 
 Signatures are banded. Equal texts are folded first. In each bucket every member is compared with the bucket's first and
 last member, never all with all. Where that leaves a bucket with members of different classes, sketches of their
-shingles are compared across classes, in blocks of bounded size; pairs more than three standard deviations of the
+shingles are compared across classes, in blocks of bounded size; pairs more than five standard deviations of the
 sketches' error below the wanted similarity are not. Candidates are verified by the exact Jaccard similarity of their shingles, and
 classes are the connected components of the verified links.
 """
@@ -37,6 +37,8 @@ HUB_SHARE = 256
 BLOCK = 1024
 #: Bins of a sketch.
 BINS = 512
+#: Standard deviations of a sketch's error below the wanted similarity from which pairs are not verified.
+MARGIN = 5
 #: Candidates up to which their list is broadcast to the texts; beyond it the texts are shuffled.
 BROADCAST_ROWS = 300_000
 U = np.uint64
@@ -298,7 +300,7 @@ def compare_task(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.D
             # The union's bins are a sample of the union's shingles, without replacement.
             sampled = np.minimum(1, union * (1 + least) / (sizes[lo : lo + step, None] + sizes[None]))
             error = np.sqrt(least * (1 - least) / np.maximum(union, 1) * (1 - sampled)) + 0.003
-            like = same >= (least - 3 * error) * union
+            like = same >= (least - MARGIN * error) * union
             a, b = np.nonzero(like & (ids[lo : lo + step, None] > ids[None, :]) & (classes_[lo : lo + step, None] != classes_[None, :]))
             if len(a):
                 out.append(pd.DataFrame({"id": ids[lo + a], "hub": ids[b]}))

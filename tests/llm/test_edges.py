@@ -128,6 +128,21 @@ def test_near_dedup_tells_texts_under_one_doc_id_apart(spark):
     assert len(left) == 5 and {(3, PROSE), (3, other), (3, "short"), (None, None)} <= set(left)
 
 
+def test_sketches_four_deviations_low_are_verified():
+    import numpy as np
+    import pandas as pd
+
+    def like(same):
+        a, b = np.full(512, 7, np.uint8), np.full(512, 7, np.uint8)
+        b[same:] = 9
+        held = [x.tobytes() + (100_000).to_bytes(4, "little") for x in (a, b)]
+        rows = pd.DataFrame({"key": [1, 1], "low": [0, 0], "high": [0, 0], "id": [1, 2], "class": [1, 2], "sketch": held})
+        return sum(map(len, near_dedup.compare_task(iter([rows]), 0.8)))
+
+    # One standard deviation is 0.0206 of the union, its 0.003 for clashing bytes included.
+    assert [like(round(512 * (0.8 - k * 0.0206))) for k in (0, 2, 4, 6)] == [1, 1, 1, 0]
+
+
 def test_signatures_estimate_weighted_jaccard():
     import numpy as np
 
