@@ -1,11 +1,15 @@
 """HTML main text by site style trees.
 
 The DOMs of a host's pages are merged: branches at the same path of tags and classes are one node of the host's style
-tree. A node's content importance is 1 less the mean entropy of its texts over the host's pages (a text on every page
-says nothing, one on a single page says all), its presentation importance the entropy of the child sequences under it;
-both are weighted into one. Branches of low importance on enough pages are removed from each page. What HTML itself or a
-class, id or role declares to be menu, header, footer, sidebar, notice, advert, form or comment goes too, because on many
-sites such parts hold other texts on each page, where entropy alone would keep them; what is declared the article stays.
+tree. Two entropies over the host's pages make up a node's importance. Presentation: that of the sequences of children
+under it (a menu is laid out alike on each page, an article never). Content: how much of its text is new on each page (a
+text on every page says nothing, one on a single page says all), times the entropy of its number of words (an advert has
+about as many each time, also where its words change), or its share of the pages' words where that is larger. Headings,
+paragraphs and other parts that hold text themselves, and what is inside a declared article, are judged by how new their
+texts are alone. Branches of low importance on enough pages are removed from each page.
+
+What HTML itself or a class, id or role declares to be menu, header, footer, sidebar, notice, advert, form or comment goes
+too: most hosts have too few pages for entropies, and readers' comments are as varied as articles.
 
 The merge only counts: (host, node, text or child sequence) summed up per task before the shuffle, so a host with a third
 of all pages is not gathered anywhere. Pages are not shuffled unless the list of removed branches is too large to
@@ -26,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.llm.common import staged, table, whole
 
 #: Branches on fewer pages of a host are never removed; nor are those of at least this importance.
-MIN_PAGES, MIN_IMPORTANCE = 8, 0.25
+MIN_PAGES, MIN_IMPORTANCE = 8, 0.35
 #: The weight of content against presentation.
-CONTENT = 0.8
+CONTENT = 0.5
+#: An entropy counts as full from that of so many pages that all differ.
+FULL_PAGES = 64
 #: Removed branches (host, path) up to which their list is broadcast.
 BROADCAST_ROWS = 200_000
 #: Counts that a task holds before it hands them on.
@@ -53,15 +59,19 @@ ARTICLE_WORDS = set("article post entry story content main body text".split())
 #: Words that outweigh those of ARTICLE_WORDS beside them.
 STRONG_WORDS = PLAIN_WORDS - {"header", "banner", "legal", "notice", "notices"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+#: Parts that hold text themselves, whose numbers of words and children say nothing.
+HOLD_TEXT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody blockquote pre figure figcaption caption address summary".split())
+
+# Possessive: what cannot be a tag is given up at once, so a page with stray quotes takes linear time too.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^<>]*+>|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"']+)")
 
 
 class Node:
-    __slots__ = ("tag", "path", "plain", "article", "children", "texts")
+    __slots__ = ("tag", "path", "plain", "article", "children", "texts", "words")
 
     def __init__(self, tag: str, path: int, plain: bool, article: bool):
-        self.tag, self.path, self.plain, self.article, self.children, self.texts = tag, path, plain, article, [], []
+        self.tag, self.path, self.plain, self.article, self.children, self.texts, self.words = tag, path, plain, article, [], [], 0
 
 
 def hashed(text: str) -> int:
@@ -82,17 +92,19 @@ def declared(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bo
 
 def blocks(html: str) -> tuple[list[tuple[tuple[int, ...], bool, str]], list[Node]]:
     """(paths of the branches that the block is in, whether one of them is declared plain, text) of each block in page
-    order, and all nodes. A block is the text between two tags that break a line."""
-    found, nodes, line = [], [], []
+    order, and all nodes, the root first. A block is the text between two tags that break a line."""
+    found, line = [], []
     stack = [Node("", 0, False, False)]
+    nodes = [stack[0]]
 
     def end_block():
         text = " ".join(unescape("".join(line)).split())
         if text:
             found.append((tuple(n.path for n in stack[1:] if n.tag not in INLINE), stack[-1].plain, text))
-            h = hashed(text)
-            for n in stack[1:]:
+            h, words = hashed(text), text.count(" ") + 1
+            for n in stack:
                 n.texts.append(h)
+                n.words += words
         line.clear()
 
     def close(tags: set[str], scope: set[str]) -> None:
@@ -159,9 +171,13 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+#: Kinds of counts: pages that have the node; pages that have a text in it; pages by the sequence of children under it; pages
+#: by the number of words in it; the words of the pages that have it.
+PAGES, TEXT, CHILDREN, WORDS, PAGE_WORDS = range(5)
+
+
 def count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of (host, path, kind, value): kind 0 pages that have the node, 1 pages that have a text in it, 2 pages by
-    the sequence of children under it (repeats in a row as one)."""
+    """Counts of (host, path, kind, value)."""
     counts: Counter = Counter()
 
     def rows():
@@ -172,17 +188,22 @@ def count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for url, html in zip(batch["url"], batch["html"]):
             at, page = host(url), {}
-            for n in blocks(html or "")[1]:
+            root, *nodes = blocks(html or "")[1]
+            for n in nodes:
                 if n.tag in ("html", "body") or n.tag in INLINE or (n.article and n.tag in ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6")):
                     continue
-                texts, styles = page.setdefault(n.path, (set(), []))
-                texts.update(n.texts)
-                styles += [c for c, before in zip(n.children, ["", *n.children]) if c != before]
-            for path, (texts, styles) in page.items():
-                counts[at, path, 0, 0] += 1
-                counts[at, path, 2, hashed("|".join(styles))] += 1
+                seen = page.setdefault(n.path, [set(), [], 0, n.article or n.tag in HOLD_TEXT])
+                seen[0].update(n.texts)
+                seen[1] += n.children
+                seen[2] += n.words
+            for path, (texts, styles, words, by_text) in page.items():
+                counts[at, path, PAGES, 0] += 1
                 for t in texts:
-                    counts[at, path, 1, t] += 1
+                    counts[at, path, TEXT, t] += 1
+                if not by_text:
+                    counts[at, path, CHILDREN, hashed("|".join(styles))] += 1
+                    counts[at, path, WORDS, words] += 1
+                    counts[at, path, PAGE_WORDS, 0] += root.words
             if len(counts) > HELD:
                 yield rows()
     yield rows()
@@ -193,12 +214,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
     counts = pages.select("url", "html").mapInPandas(count_task, "host string, path long, kind int, value long, n long")
     total = counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))
-    weight = F.col("n") * F.log("n")
-    nodes = total.groupBy("host", "path").agg(of(0, F.col("n")).alias("pages"), of(1, F.col("n")).alias("texts"), of(1, weight).alias("spread"), of(2, weight).alias("styles"))
-    log_pages = F.log(F.greatest(F.col("pages"), F.lit(2)))
-    content = F.when(F.col("texts") > 0, 1 - F.col("spread") / F.col("texts") / log_pages).otherwise(0.0)
-    style = 1 - F.col("styles") / F.col("pages") / log_pages
-    return nodes.select("host", "path", "pages", (CONTENT * content + (1 - CONTENT) * style).alias("importance"))
+    n, weight = F.col("n"), F.col("n") * F.log("n")
+    nodes = total.groupBy("host", "path").agg(
+        of(PAGES, n).alias("pages"), of(TEXT, n).alias("texts"), of(TEXT, weight).alias("spread"), of(CHILDREN, n).alias("judged"), of(CHILDREN, weight).alias("styles"),
+        of(WORDS, weight).alias("extents"), of(WORDS, n * F.col("value")).alias("words"), of(PAGE_WORDS, n).alias("page_words"),
+    )
+    log_pages = F.log(F.greatest("pages", F.lit(2)))
+    entropy = lambda x: F.least(F.lit(1.0), (F.log("pages") - F.col(x) / F.col("pages")) / F.least(log_pages, F.log(F.lit(FULL_PAGES))))
+    new = F.when(F.col("texts") > 0, 1 - F.col("spread") / F.col("texts") / log_pages).otherwise(0.0)
+    share = F.when(F.col("page_words") > 0, F.col("words") / F.col("page_words")).otherwise(0.0)
+    whole_ = CONTENT * new * F.greatest(entropy("extents"), share) + (1 - CONTENT) * entropy("styles")
+    return nodes.select("host", "path", "pages", F.when(F.col("judged") > 0, whole_).otherwise(new).alias("importance"))
 
 
 def extract_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
