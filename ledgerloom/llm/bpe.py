@@ -1,15 +1,19 @@
 """Byte-level BPE encoding and decoding over a global shuffle of distinct words.
 
-1. Texts are cut into pre-tokens with positions. A task gathers texts into blocks, numbers a block's distinct words, and
-   stores each text as the sequence of its words' numbers.
-2. A block's distinct words go, packed by hash bucket, to the bucket's task, which encodes each distinct word of the
-   whole corpus once.
-3. The words' ids come back to their blocks, and each text's ids are put together by position.
-4. Decoding joins the token-byte table, which has one row per rank and so a fixed size.
-
-Words move as sorted, compressed lists and sequences as compressed numbers, because rows of single words with positions
-would be many times the text. Blocks are named by a hash of their texts, so both passes over the texts agree on them
-wherever they run; a block without its words stops the job.
+1. Texts are cut into pre-tokens (words) with positions, once. A task gathers texts into blocks and writes two kinds of
+   rows to a table in the shared folder: the block's distinct words, numbered by first use and packed by hash bucket, and
+   its texts as the numbers of their words in order.
+2. The words of all blocks are shuffled by bucket, so all uses of a word meet in one task, which encodes each distinct
+   word of the whole corpus once and puts the ids beside the words' numbers.
+3. The ids go back to their blocks' texts, which lie bucketed by block and so don't move, and each text's ids are put
+   together by position.
+4. Decoding looks each id up in the token-byte table, which has one row per rank, and so a size fixed by the vocabulary:
+   the join's build side is broadcast and probed by place.
+
+A row per pre-token and position would be many times the text, and one per word and block still more than the disk that
+the job may take (2.1 x input); packed by bucket the words take some bytes each and the texts a byte and a half for each
+pre-token. The cut is read back from its table, so a retried task or a source that deals its rows otherwise the next time
+changes nothing.
 """
 
 from __future__ import annotations
@@ -17,23 +21,29 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
-import regex
-import tiktoken
-import xxhash
-import zstandard
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import bucketed, slices, table
 
-#: Characters of a block: a task holds one block's words at a time. A longer text is a block of its own.
+#: Characters after which a block ends; a longer text ends its block. A task holds one block's distinct words at a time.
 BLOCK_CHARS = 8_000_000
-#: Distinct words that a bucket's task remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Pre-tokens and texts after which a row of texts ends.
+ROW_WORDS, ROW_TEXTS = 100_000, 500
+#: Distinct words that a bucket's task remembers; beyond it the memory starts anew, and words are encoded again.
+REMEMBERED = 500_000
+#: The places of texts among a block's rows come after those of its words, which are their buckets.
+TEXTS = 1 << 40
+ROWS = "block long, place long, data binary"
+ROWS_ARROW = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("data", pa.binary())])
+IDS_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,177 +52,191 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def encoding(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
+def encoding(ranks: dict[bytes, int], pattern: str = r"(?s:.+)"):
+    """The encoding by these ranks. By default all of a text is one pre-token."""
+    import tiktoken
+
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2**32 as one compressed value; bytes of equal weight stand together."""
+    import zstandard
 
+    out = [np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()]
+    out += [np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
-def unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
 
+def unpack(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n = int(raw[:4].view("<u4")[0])
+    sizes, at, out = raw[4 : 4 + 4 * n].view("<u4").tolist(), 4 + 4 * n, []
+    for size in sizes:
+        out.append(np.ascontiguousarray(raw[at : at + 4 * size].reshape(4, size).T).view("<u4").ravel())
+        at += 4 * size
+    return out
+
+
+def pack_texts(doc_ids: list[int | None], lengths: list[int], numbers: np.ndarray) -> bytes:
+    """Texts as one value: their ids, which of these are null, their numbers of words, and the words' numbers."""
+    ids = np.array([i or 0 for i in doc_ids], "<i8").view("<u4")
+    return pack(ids, np.array([i is None for i in doc_ids], np.uint32), np.array(lengths, np.uint32), numbers)
+
+
+def pack_words(numbers: list[int], words: list[str]) -> bytes:
+    """Words and their numbers (rising) as one value."""
+    return pack(np.diff(np.array(numbers, np.uint32), prepend=np.uint32(0)), np.frombuffer(json.dumps(words, ensure_ascii=False).encode(), np.uint8))
+
+
+def unpack_words(data: bytes) -> tuple[np.ndarray, list[str]]:
+    steps, text = unpack(data)
+    return steps, json.loads(text.astype(np.uint8).tobytes())
 
-def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
-    """(doc ids, texts) of each block of a task."""
-    ids, texts, chars = [], [], 0
-    for batch in batches:
-        for i, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-            text = text or ""
-            if texts and chars + len(text) > BLOCK_CHARS:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
-            ids.append(i)
-            texts.append(text)
-            chars += len(text)
-    if texts:
-        yield ids, texts
-
-
-def name(texts: list[str]) -> int:
-    """The block's name: a hash of its texts in order."""
-    h = xxhash.xxh64()
-    for t in texts:
-        h.update(str(len(t)) + ":" + t)
-    return h.intdigest() - (1 << 63)
-
-
-def numbered(texts: list[str], find: Callable) -> tuple[dict[str, int], list[np.ndarray]]:
-    """The block's distinct words with numbers by first use, and each text as numbers."""
-    ids: dict[str, int] = {}
-    number = lambda words: np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint32, len(words))
-    return ids, [number(find(t)) for t in texts]
-
-
-def bucketed(ids: dict[str, int], n_buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words by bucket and then alphabet, their numbers in that order, and the buckets' bounds."""
-    words = np.array(list(ids), object)
-    order = np.argsort(words, kind="stable")
-    where = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % n_buckets for w in words), np.int64, len(words))[order]
-    by_bucket = order[np.argsort(where, kind="stable")]
-    bounds = np.searchsorted(np.sort(where), np.arange(n_buckets + 1))
-    return list(words[by_bucket]), by_bucket, bounds
-
-
-def words_task(batches, pattern: str, n_buckets: int) -> Iterator[pd.DataFrame]:
-    """Each block's distinct words, packed by bucket."""
-    find = regex.compile(pattern).findall
-    for _, texts in blocks(batches):
-        block = name(texts)
-        words, _, bounds = bucketed(numbered(texts, find)[0], n_buckets)
-        rows = [(block, b, pack(json.dumps(words[lo:hi]).encode())) for b, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
-        yield pd.DataFrame(rows, columns=["block", "bucket", "packed"])
 
+def cut_task(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ROWS for rows of (doc_id, text). Blocks have random names: the table that they are written to holds each once."""
+    import regex
 
-def encode_task(batches, encoder: tiktoken.Encoding) -> Iterator[pd.DataFrame]:
-    """Replaces words by ids: each list of words becomes counts and ids. Encodes a distinct word once."""
+    find = regex.compile(pattern).findall
+    new_block = lambda: int.from_bytes(os.urandom(8), "little") >> 1
+    block, place, chars = new_block(), TEXTS, 0
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    doc_ids, lengths, held, in_row = [], [], [], 0
+
+    def row(at: int, data: bytes):
+        return pa.RecordBatch.from_pydict({"block": [block], "place": [at], "data": [data]}, ROWS_ARROW)
+
+    def texts_row():
+        nonlocal place, doc_ids, lengths, held, in_row
+        out = row(place, pack_texts(doc_ids, lengths, np.concatenate(held)))
+        place, doc_ids, lengths, held, in_row = place + 1, [], [], [], 0
+        return out
+
+    def words_rows():
+        buckets: dict[int, tuple[list, list]] = {}
+        for word, number in numbers.items():
+            of = buckets.setdefault(zlib.crc32(word.encode()) % n_buckets, ([], []))
+            of[0].append(number)
+            of[1].append(word)
+        numbers.clear()
+        for bucket in list(buckets):
+            yield row(bucket, pack_words(*buckets.pop(bucket)))
+
+    for batch in batches:
+        for part in slices(batch):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                words = find(text or "")
+                doc_ids.append(doc_id)
+                lengths.append(len(words))
+                held.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+                chars += len(text or "")
+                in_row += len(words)
+                if in_row >= ROW_WORDS or len(lengths) >= ROW_TEXTS or chars >= BLOCK_CHARS:
+                    yield texts_row()
+                if chars >= BLOCK_CHARS:
+                    yield from words_rows()
+                    block, place, chars = new_block(), TEXTS, 0
+    if doc_ids:
+        yield texts_row()
+    yield from words_rows()
+
+
+def encode_task(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Puts ids in the place of words: (steps between numbers, ids of each word, all ids). A bucket's words are all here, so
+    each is encoded once."""
+    encode = encoding(ranks).encode_ordinary
     known: dict[str, list[int]] = {}
     for batch in batches:
         out = []
-        for data in batch["packed"]:
+        for data in batch.column("data").to_pylist():
             if len(known) > REMEMBERED:
                 known.clear()
-            found = []
-            for w in json.loads(unpack(data)):
-                ids = known.get(w)
-                if ids is None:
-                    ids = known[w] = encoder.encode_ordinary(w)
-                found.append(ids)
-            counts = np.fromiter(map(len, found), np.uint32, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
-            out.append(pack(len(found).to_bytes(4, "little") + counts.tobytes() + flat.tobytes()))
-        yield pd.DataFrame({"block": batch["block"], "part": batch["bucket"].astype("int64"), "doc_id": pd.array([None] * len(out), "Int64"), "packed": out})
-
-
-def sequence_task(batches, pattern: str, n_buckets: int) -> Iterator[pd.DataFrame]:
-    """Each text as numbers of its block's words, in the order in which bucketed() lists them. Part -1: the texts."""
-    find = regex.compile(pattern).findall
-    for ids, texts in blocks(batches):
-        words, sequences = numbered(texts, find)
-        _, by_bucket, _ = bucketed(words, n_buckets)
-        place = np.empty(len(by_bucket), np.uint32)
-        place[by_bucket] = np.arange(len(by_bucket), dtype=np.uint32)
-        block = name(texts)
-        for lo in range(0, len(texts), 2000):
-            packed = [pack(place[s].tobytes()) for s in sequences[lo : lo + 2000]]
-            yield pd.DataFrame({"block": block, "part": (1 << 40), "doc_id": pd.array(ids[lo : lo + 2000], "Int64"), "packed": packed})
-
-
-def assemble_task(batches) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by block and part: a block's words by bucket, then its texts, which become packed ids."""
-    block, seen, counts, flat, starts = None, -1, [], [], None
-    for batch in batches:
-        out = []
-        for b, part, i, data in zip(batch["block"], batch["part"], batch["doc_id"].astype("Int64"), batch["packed"]):
-            raw = unpack(data)
-            if b != block:
-                block, seen, counts, flat, starts = b, -1, [], [], None
-            if part < 1 << 40:
-                if part != seen:  # equal blocks bring equal words again
-                    n = int.from_bytes(raw[:4], "little")
-                    counts.append(np.frombuffer(raw, np.uint32, n, 4))
-                    flat.append(np.frombuffer(raw, np.uint32, -1, 4 + 4 * n))
-                    seen = part
-                continue
-            if starts is None:
-                each, ids = (np.concatenate(x) if x else np.empty(0, np.uint32) for x in (counts, flat))
-                starts = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-            places = np.frombuffer(raw, np.uint32)
-            if len(places) and places.max() >= len(each):
-                raise ValueError("a block lacks its words: the documents changed between two reads")
-            out.append((i, pack(expand(places, starts, ids).tobytes())))
-        if out:
-            yield pd.DataFrame(out, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
-
-
-def expand(places: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The ids of the words at the places, one after the other."""
-    lo, n = starts[places], starts[places.astype(np.int64) + 1] - starts[places]
+            steps, words = unpack_words(data)
+            for w in words:
+                if w not in known:
+                    known[w] = encode(w)
+            found = [known[w] for w in words]
+            out.append(pack(steps, np.fromiter(map(len, found), np.uint32, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)))
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(out, pa.binary())], schema=ROWS_ARROW)
+
+
+def assemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """The ids of a block's texts, from its texts and its words' ids."""
+    tables = lookup([unpack(x) for x in words.column("data").to_pylist()])
+    out = []
+    for data in texts.column("data").to_pylist():
+        doc_ids, null, lengths, numbers = unpack(data)
+        found, n = expand(numbers, *tables)
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.astype(np.int32), pa.int32()))
+        out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids.view("<i8"), pa.int64(), mask=null.astype(bool)), lists], schema=IDS_ARROW))
+    return pa.Table.from_batches(out, IDS_ARROW)
+
+
+def lookup(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each number's ids start, how many they are, and all ids, of the words of a block's buckets."""
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+    numbers = np.concatenate([np.cumsum(steps, dtype=np.int64) for steps, _, _ in parts])
+    each = np.concatenate([n for _, n, _ in parts]).astype(np.int64)
+    starts, counts = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
+    starts[numbers], counts[numbers] = np.cumsum(each) - each, each
+    return starts, counts, np.concatenate([ids for _, _, ids in parts])
+
+
+def expand(numbers: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words with these numbers, one after the other, and how many each word has."""
+    n = counts[numbers]
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
-    return ids[np.arange(total) + np.repeat(lo - (ends - n), n)]
+    return ids[np.arange(total) + np.repeat(starts[numbers] - (ends - n), n)], n
 
 
-def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, n_buckets: int | None = None) -> DataFrame:
-    """doc_id and ids (zstd-packed unsigned 32-bit integers) of every row of documents (doc_id, text).
+def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id and ids (array<int>) of every row of documents (doc_id, text).
 
     Null and empty texts have no ids. Repeated rows and null doc_ids get rows of their own; other columns are ignored; no
-    documents, no rows. No special tokens: a text that holds such a string is encoded as ordinary text.
+    documents, no rows. No special tokens: a text that holds such a string is encoded as ordinary text. A row's text, or a
+    row of texts with ROW_WORDS words or so, is what a task holds beside a block's distinct words.
     """
     spark = documents.sparkSession
-    n_buckets = n_buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(ranks)  # one entry per token of the vocabulary
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # packed rows: their bytes don't tell their work
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text"))
-
-    def encoded(batches):
-        return encode_task(batches, encoding(shared.value, pattern))
-
-    words = docs.mapInPandas(lambda x: words_task(x, pattern, n_buckets), "block long, bucket int, packed binary")
-    ids = words.repartition(n_buckets, "bucket").mapInPandas(encoded, "block long, part long, doc_id long, packed binary")
-    texts = docs.mapInPandas(lambda x: sequence_task(x, pattern, n_buckets), "block long, part long, doc_id long, packed binary")
-    return ids.unionByName(texts).repartition("block").sortWithinPartitions("block", "part").mapInPandas(assemble_task, "doc_id long, ids binary")
+    cut = bucketed(docs.mapInArrow(lambda x: cut_task(x, pattern, n), ROWS), "cut", n, "block")
+    words, texts = cut.filter(F.col("place") < TEXTS), cut.filter(F.col("place") >= TEXTS)
+    ids = words.repartition(n, "place").mapInArrow(lambda x: encode_task(x, shared.value), ROWS)
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded (bytes) and decoded_sha256 of the rows of bpe_encode()."""
+    """doc_id, n_tokens, ids_sha256, decoded (bytes) and decoded_sha256 of rows (doc_id, ids).
+
+    Null ids count as none. An id without a rank stops the job.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"]
 
     def decode_task(batches):
-        token = {i: b for b, i in shared.value.items()}
-        decimal = {i: str(i) for i in token}
+        token = [b""] * (max(shared.value.values(), default=-1) + 1)
+        for b, i in shared.value.items():
+            token[i] = b
+        decimal = [str(i) if b else None for i, b in enumerate(token)]
         for batch in batches:
-            rows = []
-            for data in batch["ids"]:
-                ids = np.frombuffer(unpack(data), np.uint32).tolist()
-                text = b"".join(map(token.__getitem__, ids))
-                shown = " ".join(map(decimal.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), text, hashlib.sha256(text).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
-
-    return encoded.mapInPandas(decode_task, "doc_id long, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string")
+            for part in slices(batch):
+                rows = []
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), part.column("ids")):
+                    ids = ids.values.to_pylist() if ids.is_valid else []
+                    text = b"".join(map(token.__getitem__, ids))
+                    shown = " ".join(map(decimal.__getitem__, ids))
+                    rows.append((doc_id, len(ids), hashlib.sha256(shown.encode()).hexdigest(), text, hashlib.sha256(text).hexdigest()))
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), pa.schema(zip(names, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()))))
+
+    return encoded.select("doc_id", "ids").mapInArrow(decode_task, "doc_id long, n_tokens long, ids_sha256 string, decoded binary, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,14 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def bucketed(frame: DataFrame, name: str, n: int, column: str) -> DataFrame:
+    """Like staged(), as a table of n buckets by the column: what is joined or grouped by it later does not shuffle it again."""
+    spark = frame.sparkSession
+    table_name = f"ledgerloom_{name}_{uuid.uuid4().hex}"
+    frame.write.bucketBy(n, column).option("path", f"{shared_dir(spark)}/ledgerloom/{table_name}").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE))
 

@@ -162,9 +162,9 @@ def test_bpe(spark, docs, none):
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     enc = bpe.encoding(ranks, P.PATTERN)
     want = sorted((r[1] or "", len(enc.encode_ordinary(r[1] or ""))) for r in ODD)
-    got = bpe.bpe_decode(bpe.bpe_encode(docs, ranks, P.PATTERN, 5), ranks).collect()
+    got = bpe.bpe_decode(bpe.bpe_encode(docs, ranks, P.PATTERN), ranks).collect()
     assert sorted((r.decoded.decode(), r.n_tokens) for r in got) == want
-    assert bpe.bpe_decode(bpe.bpe_encode(none, ranks, P.PATTERN, 5), ranks).count() == 0
+    assert bpe.bpe_decode(bpe.bpe_encode(none, ranks, P.PATTERN), ranks).count() == 0
 
 
 def test_html(spark):
