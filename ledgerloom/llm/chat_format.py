@@ -28,7 +28,7 @@ FORMATTED = "conv_id long, formatted string, loss_mask array<struct<start:int,en
 
 
 def escape(text: str) -> str:
-    """A backslash goes before each backslash and after the first character of each control string."""
+    """A backslash goes before each backslash and after the first character of each control string. No `\\n` arises."""
     text = text.replace("\\", "\\\\")
     for c in CONTROL:
         text = text.replace(c, f"{c[0]}\\{c[1:]}")
@@ -36,7 +36,12 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"(?s)\\(.)", r"\1", text)
+    return re.sub(r"(?s)\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text)
+
+
+def escape_role(role: str) -> str:
+    """Like escape(); line feeds, which end a turn's head, become `\\n`."""
+    return escape(role).replace("\n", "\\n")
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[dict]]:
     """The formatted conversation and the spans of its escaped assistant texts."""
     out, at, mask = [], 0, []
     for role, text in turns:
-        head, body = f"{TURN}{escape(role)}\n", escape(text)
+        head, body = f"{TURN}{escape_role(role)}\n", escape(text)
         if role == "assistant":
             mask.append({"start": at + len(head), "end": at + len(head) + len(body)})
         out += [head, body, DONE, "\n"]

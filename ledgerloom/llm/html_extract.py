@@ -4,8 +4,8 @@ The DOMs of a host's pages are merged: branches at the same path of tags and cla
 tree. Two entropies over the host's pages make up a node's importance. Presentation: that of the sequences of children
 under it (a menu is laid out alike on each page, an article never). Content: how much of its text is new on each page (a
 text on every page says nothing, one on a single page says all), times the entropy of its number of words (an advert has
-about as many each time, also where its words change), or its share of the pages' words where that is larger. Headings,
-paragraphs and other parts that hold text themselves, and what is inside a declared article, are judged by how new their
+about as many each time, also where its words change), or, where that is larger, its new words a page as a share of those
+of the host's richest node. Headings, paragraphs and other parts that hold text themselves, and what is inside a declared article, are judged by how new their
 texts are alone. Branches of low importance on enough pages are removed from each page.
 
 What HTML itself or a class, id or role declares to be menu, header, footer, sidebar, notice, advert, form or comment goes
@@ -92,17 +92,16 @@ def declared(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bo
 
 def blocks(html: str) -> tuple[list[tuple[tuple[int, ...], bool, str]], list[Node]]:
     """(paths of the branches that the block is in, whether one of them is declared plain, text) of each block in page
-    order, and all nodes, the root first. A block is the text between two tags that break a line."""
-    found, line = [], []
+    order, and all nodes. A block is the text between two tags that break a line."""
+    found, nodes, line = [], [], []
     stack = [Node("", 0, False, False)]
-    nodes = [stack[0]]
 
     def end_block():
         text = " ".join(unescape("".join(line)).split())
         if text:
             found.append((tuple(n.path for n in stack[1:] if n.tag not in INLINE), stack[-1].plain, text))
             h, words = hashed(text), text.count(" ") + 1
-            for n in stack:
+            for n in stack[1:]:
                 n.texts.append(h)
                 n.words += words
         line.clear()
@@ -172,8 +171,8 @@ def host(url: str | None) -> str:
 
 
 #: Kinds of counts: pages that have the node; pages that have a text in it; pages by the sequence of children under it; pages
-#: by the number of words in it; the words of the pages that have it.
-PAGES, TEXT, CHILDREN, WORDS, PAGE_WORDS = range(5)
+#: by the number of words in it; pages where it is the declared article, which always stays.
+PAGES, TEXT, CHILDREN, WORDS, ARTICLE = range(5)
 
 
 def count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,22 +187,22 @@ def count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for url, html in zip(batch["url"], batch["html"]):
             at, page = host(url), {}
-            root, *nodes = blocks(html or "")[1]
-            for n in nodes:
-                if n.tag in ("html", "body") or n.tag in INLINE or (n.article and n.tag in ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6")):
+            for n in blocks(html or "")[1]:
+                if n.tag in ("html", "body") or n.tag in INLINE or (n.article and n.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
                     continue
-                seen = page.setdefault(n.path, [set(), [], 0, n.article or n.tag in HOLD_TEXT])
+                seen = page.setdefault(n.path, [set(), [], 0, n.article or n.tag in HOLD_TEXT, n.tag in ("article", "main")])
                 seen[0].update(n.texts)
                 seen[1] += n.children
                 seen[2] += n.words
-            for path, (texts, styles, words, by_text) in page.items():
+            for path, (texts, styles, words, by_text, article) in page.items():
                 counts[at, path, PAGES, 0] += 1
+                counts[at, path, WORDS, words] += 1
+                if article:
+                    counts[at, path, ARTICLE, 0] += 1
                 for t in texts:
                     counts[at, path, TEXT, t] += 1
                 if not by_text:
                     counts[at, path, CHILDREN, hashed("|".join(styles))] += 1
-                    counts[at, path, WORDS, words] += 1
-                    counts[at, path, PAGE_WORDS, 0] += root.words
             if len(counts) > HELD:
                 yield rows()
     yield rows()
@@ -216,15 +215,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))
     n, weight = F.col("n"), F.col("n") * F.log("n")
     nodes = total.groupBy("host", "path").agg(
-        of(PAGES, n).alias("pages"), of(TEXT, n).alias("texts"), of(TEXT, weight).alias("spread"), of(CHILDREN, n).alias("judged"), of(CHILDREN, weight).alias("styles"),
-        of(WORDS, weight).alias("extents"), of(WORDS, n * F.col("value")).alias("words"), of(PAGE_WORDS, n).alias("page_words"),
+        of(PAGES, n).alias("pages"), of(TEXT, n).alias("texts"), of(TEXT, weight).alias("spread"), of(CHILDREN, n).alias("judged"), of(CHILDREN, weight).alias("styles"), of(ARTICLE, n).alias("articles"),
+        of(WORDS, weight).alias("extents"), of(WORDS, n * F.col("value")).alias("words"),
     )
     log_pages = F.log(F.greatest("pages", F.lit(2)))
     entropy = lambda x: F.least(F.lit(1.0), (F.log("pages") - F.col(x) / F.col("pages")) / F.least(log_pages, F.log(F.lit(FULL_PAGES))))
     new = F.when(F.col("texts") > 0, 1 - F.col("spread") / F.col("texts") / log_pages).otherwise(0.0)
-    share = F.when(F.col("page_words") > 0, F.col("words") / F.col("page_words")).otherwise(0.0)
-    whole_ = CONTENT * new * F.greatest(entropy("extents"), share) + (1 - CONTENT) * entropy("styles")
-    return nodes.select("host", "path", "pages", F.when(F.col("judged") > 0, whole_).otherwise(new).alias("importance"))
+    nodes = nodes.withColumn("new", new).withColumn("new_words", F.col("words") * F.col("new") / F.col("pages"))
+    richest = nodes.filter(F.col("pages") >= MIN_PAGES).groupBy("host").agg(F.max("new_words").alias("most"))
+    share = F.when(F.col("most") > 0, F.least(F.lit(1.0), F.col("new_words") / F.col("most"))).otherwise(0.0)
+    both = CONTENT * F.greatest(F.col("new") * entropy("extents"), share) + (1 - CONTENT) * entropy("styles")
+    return nodes.join(richest, "host", "left").select("host", "path", "pages", F.when(F.col("articles") > 0, 1.0).when(F.col("judged") > 0, both).otherwise(F.col("new")).alias("importance"))
 
 
 def extract_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -21,8 +21,8 @@ from ledgerloom.llm.common import staged, table, whole
 
 #: Lines with fewer words are the same only if equal.
 MIN_WORDS = 8
-#: Rows of (key, place) up to which the list of lines to look at again is broadcast; beyond it the texts are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows (of some 200 bytes) up to which the list of lines to look at again is broadcast; beyond it the texts are shuffled.
+BROADCAST_ROWS = 250_000
 
 
 def line_hash(line: Column) -> list[Column]:

@@ -1,16 +1,19 @@
 """Near-duplicate documents by DartMinHash signatures.
 
-A document is a weighted set of its shingles (SHINGLE words each). Every unit of a shingle's weight is a region into
-which a hash function throws darts over time, about one per unit of time, each at one of the COORDINATES. A signature
-holds, per coordinate, the dart that comes earliest; two documents agree there with the probability of their weighted
-Jaccard similarity. Time is thrown only as far as a document's total weight needs, so the work is about
+A document is a weighted set of its shingles (SHINGLE words each); a shingle's weight is the number of its occurrences.
+Every unit of a shingle's weight is a region into which a hash function throws darts over time, about one per unit of
+time, each at one of the COORDINATES. A signature holds, per coordinate, the dart that comes earliest; two documents
+agree there with the probability of their weighted Jaccard similarity (the sum of the lesser weights over that of the
+greater). Time is thrown only as far as a document's total weight needs, so the work is about
 COORDINATES * log(COORDINATES) darts for any document.
 
-Signatures are banded. Equal texts are folded first. In each bucket every member is compared with the bucket's first and
-last member, never all with all. Where that leaves a bucket with members of different classes, sketches of their
-shingles are compared across classes, in blocks of bounded size; pairs more than five standard deviations of the
-sketches' error below the wanted similarity are not. Candidates are verified by the exact Jaccard similarity of their shingles, and
-classes are the connected components of the verified links.
+Signatures are banded. Equal texts are folded first. In each bucket every member is compared with a hub, never all with
+all: the member that meets most others over all its buckets, which in a group of copies is the text that they were made
+from or one near it. Buckets left with members of different classes get a new hub, HUB_ROUNDS times in all. Where that
+still leaves different classes, members are compared across classes, in blocks of bounded size: first by sketches of their
+shingles, and pairs no more than MARGIN standard deviations of the sketches' error below the wanted similarity exactly,
+in the same task, so only links leave it. All links are verified by the exact weighted Jaccard similarity, and classes
+are their connected components.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Members that are compared with a hub in one task.
 HUB_SHARE = 256
-#: Members of a block: two blocks of a bucket are compared in one task.
-BLOCK = 1024
+#: Hubs that a bucket gets before its members are compared across classes.
+HUB_ROUNDS = 3
+#: Members of a block, and bytes of their shingles: two blocks of a bucket are compared in one task.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Bins of a sketch.
 BINS = 512
 #: Standard deviations of a sketch's error below the wanted similarity from which pairs are not verified.
@@ -107,16 +112,21 @@ def throw(elements: np.ndarray, share: np.ndarray, start: float, end: float) ->
         return when, ((dart >> U(40)) % U(COORDINATES)).astype(np.int64), dart
 
 
+def regions(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A region for each unit of the elements' weights, and the part of the unit that the weight fills."""
+    units = np.ceil(weights).astype(np.int64)
+    unit = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
+    with np.errstate(over="ignore"):
+        names = mix(np.repeat(elements, units) + U(0xA24BAED4963EE407) * unit.astype(U))
+    return names, np.minimum(1.0, np.repeat(weights, units) - unit)
+
+
 def signature(elements: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """The earliest dart at each coordinate, for distinct elements with weights (1 each by default). At least one element."""
     if weights is None:
         share = np.ones(len(elements))
     else:
-        units = np.ceil(weights).astype(np.int64)
-        unit = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
-        share = np.minimum(1.0, np.repeat(weights, units) - unit)
-        with np.errstate(over="ignore"):
-            elements = mix(np.repeat(elements, units) + U(0xA24BAED4963EE407) * unit.astype(U))
+        elements, share = regions(elements, weights)
     total = share.sum()
     need = COORDINATES * (math.log(COORDINATES) + 2) / total
     start, end = 0.0, 1 / 16
@@ -144,39 +154,57 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """One byte of the least shingle in each of BINS parts of the hash range, 0 where there is none; then their number.
+def sketch(found: np.ndarray) -> np.ndarray:
+    """One byte of the least 32-bit hash (sorted, distinct) in each of BINS parts of the hash range, 0 where there is none.
 
     Of a text with fewer shingles than bins that is most of them, so the error of a similarity is far below a signature's.
     """
     out = np.zeros(BINS, np.uint8)
-    if len(found):
-        bins, first = np.unique((found >> U(64 - BINS.bit_length() + 1)).astype(np.int64), return_index=True)
-        out[bins] = mix(found[first]) % U(255) + U(1)
-    return out.tobytes() + len(found).to_bytes(4, "little")
+    bins, first = np.unique(found >> np.uint32(32 - BINS.bit_length() + 1), return_index=True)
+    out[bins] = mix(found[first].astype(U)) % U(255) + U(1)
+    return out
+
+
+def alike_enough(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return same >= least * (len(a) + len(b) - same) - 1e-9
+
+
+def weighed(hashes: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """Distinct shingles of a text, given its words' hashes, and their weights: "count" occurrences, "set" 1 each (None)."""
+    found, counts = np.unique(shingles(hashes), return_counts=True)
+    return found, counts.astype(float) if weights == "count" else None
+
+
+def filled(found: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
+    """The regions of distinct shingles with whole weights, sorted: sets of them have the weighted similarity."""
+    return found if weights is None else np.sort(regions(found, weights)[0])
 
 
 def signed_task(batches: Iterator[pd.DataFrame], weights: str) -> Iterator[pd.DataFrame]:
     words = Words()
     for batch in batches:
-        prints, keys, sketches = [], [], []
+        prints, keys = [], []
         for text in batch["text"]:
             hashes = words.of(text or "")[1]
             print_ = xxhash.xxh3_128(hashes.tobytes()).digest()
-            found, counts = np.unique(shingles(hashes), return_counts=True)
+            found, weight = weighed(hashes, weights)
             prints.append(print_)
-            earliest = signature(found, counts.astype(float) if weights == "count" else None) if len(found) else None
-            keys.append(band_keys(earliest) if len(found) else np.empty(0, np.int64))
-            sketches.append(sketch(found))
-        yield batch[["id", "number", "doc_id"]].astype({"doc_id": "Int64"}).assign(print=prints, keys=keys, sketch=sketches)
+            keys.append(band_keys(signature(found, weight)) if len(found) else np.empty(0, np.int64))
+        yield batch[["id", "number", "doc_id"]].astype({"doc_id": "Int64"}).assign(print=prints, keys=keys)
 
 
-def shingled_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted distinct 32-bit hashes of each text's shingles."""
+def shingled_task(batches: Iterator[pd.DataFrame], weights: str) -> Iterator[pd.DataFrame]:
+    """Sorted distinct 32-bit hashes of the regions of each text's shingles."""
     words = Words()
     for batch in batches:
-        sets = [np.unique((shingles(words.of(t or "")[1]) >> U(32)).astype(np.uint32)).tobytes() for t in batch["text"]]
-        yield batch[["id", "hubs", "shares"]].assign(shingles=sets)
+        sets = [np.unique((filled(*weighed(words.of(t or "")[1], weights)) >> U(32)).astype(np.uint32)).tobytes() for t in batch["text"]]
+        yield batch.drop(columns="text").assign(shingles=sets)
 
 
 def verify_task(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
@@ -189,19 +217,14 @@ def verify_task(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
             if id_ == hub:
                 at, hub_set = (hub, share), own
             elif at == (hub, share):
-                if min(len(own), len(hub_set)) < least * max(len(own), len(hub_set)):
-                    continue
-                both = np.concatenate([own, hub_set])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                if same >= least * (len(own) + len(hub_set) - same) - 1e-9:
+                if alike_enough(own, hub_set, least):
                     a.append(id_)
                     b.append(hub)
         yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (id, hub) whose texts have at least that Jaccard similarity, as links (a, b).
+def verified(pairs: DataFrame, texts: DataFrame, least: float, weights: str) -> DataFrame:
+    """The pairs (id, hub) whose texts have at least that similarity, as links (a, b).
 
     Each text moves to its hubs once a hub; a hub with many partners is copied to several shares of them, so that no task
     gets more than HUB_SHARE partners of one hub.
@@ -211,7 +234,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     wanted = staged(wanted.join(counts.withColumnRenamed("hub", "id"), "id", "full").select("id", "hubs", "shares"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    moved = map_slices(texts.join(wanted, "id").select("id", "text", "hubs", "shares"), shingled_task, "id long, hubs array<struct<hub:long,share:int>>, shares int, shingles binary")
+    moved = map_slices(texts.join(wanted, "id").select("id", "text", "hubs", "shares"), lambda x: shingled_task(x, weights), "id long, hubs array<struct<hub:long,share:int>>, shares int, shingles binary")
     own = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda s: F.struct(F.col("id").alias("hub"), s.alias("share")))
     none = F.array().cast("array<struct<hub:long,share:int>>")
     dealt = moved.select("id", "shingles", F.explode(F.concat(F.coalesce(own, none), F.coalesce("hubs", none))).alias("to"))
@@ -231,22 +254,22 @@ def identity():
     return F.xxhash64(no_id, F.col("doc_id").cast("long"), no_text, F.col("text"))
 
 
-def near_dedup(documents: DataFrame, least: float = SIMILARITY, weights: str = "set") -> DataFrame:
+def near_dedup(documents: DataFrame, least: float = SIMILARITY, weights: str = "count") -> DataFrame:
     """doc_id, class_id, class_size and kept of every row of documents (doc_id, text), as classes() tells them."""
     return classes(documents, least, weights).drop("id")
 
 
-def keep_one(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def keep_one(documents: DataFrame, least: float = SIMILARITY, weights: str = "count") -> DataFrame:
     """The rows of documents that stay, one of each class, with all their columns."""
-    found = classes(documents.select("doc_id", "text"), least).filter("kept").select(F.col("id").alias("__id"))
+    found = classes(documents.select("doc_id", "text"), least, weights).filter("kept").select(F.col("id").alias("__id"))
     rows = documents.withColumn("__id", identity())
     return rows.join(found, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
 
 
-def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set") -> DataFrame:
+def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "count") -> DataFrame:
     """id, doc_id, class_id, class_size and kept of every row of documents (doc_id, text).
 
-    A class is a connected component of documents whose sets of shingles have a Jaccard similarity of `least` or more; its
+    A class is a connected component of documents whose shingles have a weighted Jaccard similarity of `least` or more; its
     id is its least doc_id, and kept is true for that row. Rows that share a doc_id but not the text are documents of their
     own, told apart by their identity(), which is the id of a row: of several texts with the least doc_id that with the
     least identity is kept, and of several classes with the same least doc_id only that whose kept row has the least
@@ -257,22 +280,27 @@ def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set
     Other columns are ignored; no documents, no rows.
     """
     docs = documents.select(identity().alias("id"), row_id().alias("number"), F.col("doc_id").cast("long"), "text")
-    signed = staged(map_slices(docs, lambda x: signed_task(x, weights), "id long, number long, doc_id long, print binary, keys array<long>, sketch binary"), "signed")
+    signed = staged(map_slices(docs, lambda x: signed_task(x, weights), "id long, number long, doc_id long, print binary, keys array<long>"), "signed")
     alike = staged(signed.groupBy("print").agg(F.min("id").alias("node"), F.min(F.struct("number", "id")).alias("first"), F.count("*").alias("copies")), "alike")
     nodes = signed.join(alike.select("print", F.col("node").alias("id")), ["print", "id"], "left_semi").dropDuplicates(["print", "id"])
-    members = staged(in_buckets(nodes.select("id", F.explode("keys").alias("key")), "id"), "members")
+    members = staged(in_buckets(nodes.select("id", F.explode("keys").alias("key")), "id").select("id", "key", "members"), "members")
+    met = members.groupBy("id").agg(F.sum("members").alias("met"))
+    members = staged(members.select("id", "key").join(met, "id"), "met")
     texts = docs.select("id", "text")
 
-    # Every member against the first and the last of its bucket.
-    ends = members.select("id", F.col("lo").alias("hub")).union(members.filter("id < hi").select("id", F.col("hi").alias("hub")))
-    links = staged(verified(ends.filter("id <> hub").distinct(), texts, least), "verified")
-    # Where a bucket still has members of different classes: those across classes.
-    found = components(links)
-    classed = members.select("id", "key").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("root", "id"))
-    apart = in_buckets(classed.select("id", "key", "class"), "class").select("id", "key", "class")
-    rest = staged(across_classes(apart, nodes.select("id", "sketch"), least), "rest")
-    if rest.limit(1).count():
-        found = components(links.union(staged(verified(rest, texts, least), "verified")))
+    apart, found = members.withColumn("class", F.col("id")), None
+    for _ in range(HUB_ROUNDS):
+        # The member that meets most others and was no hub before; members of its class need no comparison with it.
+        best = F.max_by(F.struct(F.col("id").alias("hub"), F.col("class").alias("of")), F.struct("met", "id"))
+        hubs = apart.groupBy("key").agg(best.alias("h")).select("key", "h.hub", "h.of")
+        pairs = apart.join(hubs, "key").filter(F.col("class") != F.col("of")).select("id", "hub").distinct()
+        found = joined(found, verified(pairs, texts, least, weights))
+        left = apart.join(hubs, "key").filter(F.col("id") != F.col("hub")).select("id", "key", "met").join(found.withColumnRenamed("node", "id"), "id", "left")
+        apart = staged(in_buckets(left.withColumn("class", F.coalesce("root", "id")), "class").select("id", "key", "met", "class"), "apart")
+        if not apart.limit(1).count():
+            break
+    else:
+        found = joined(found, across_classes(apart.select("id", "key", "class"), texts, least, weights))
 
     of_print = alike.join(found, "node", "left").select("print", "copies", "first", F.coalesce("root", "node").alias("root"))
     sizes = of_print.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("first").alias("first"))
@@ -285,13 +313,20 @@ def classes(documents: DataFrame, least: float = SIMILARITY, weights: str = "set
 
 
 def compare_task(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by bucket and pair of blocks. Yields pairs of different classes with like enough sketches."""
+    """Rows come sorted by bucket and pair of blocks. Yields links between different classes, no more than join them."""
     held, at, out = [], None, []
 
     def compare():
         ids, classes_ = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
-        bins = np.stack([np.frombuffer(h[2], np.uint8, BINS) for h in held])
-        sizes = np.array([int.from_bytes(h[2][BINS:], "little") for h in held])
+        sets = [np.frombuffer(h[2], np.uint32) for h in held]
+        bins, sizes = np.stack([sketch(x) for x in sets]), np.array([len(x) for x in sets])
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
         step = max(1, (1 << 14) // len(held))
         for lo in range(0, len(held), step):
             some = bins[lo : lo + step, None, :]
@@ -301,44 +336,57 @@ def compare_task(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.D
             sampled = np.minimum(1, union * (1 + least) / (sizes[lo : lo + step, None] + sizes[None]))
             error = np.sqrt(least * (1 - least) / np.maximum(union, 1) * (1 - sampled)) + 0.003
             like = same >= (least - MARGIN * error) * union
-            a, b = np.nonzero(like & (ids[lo : lo + step, None] > ids[None, :]) & (classes_[lo : lo + step, None] != classes_[None, :]))
-            if len(a):
-                out.append(pd.DataFrame({"id": ids[lo + a], "hub": ids[b]}))
+            for a, b in zip(*np.nonzero(like & (ids[lo : lo + step, None] > ids[None, :]) & (classes_[lo : lo + step, None] != classes_[None, :]))):
+                x, y = find(classes_[lo + a]), find(classes_[b])
+                if x != y and alike_enough(sets[lo + a], sets[b], least):
+                    root[x] = y
+                    out.append((ids[lo + a], ids[b]))
 
     for batch in batches:
-        for key, low, high, id_, class_, sketch in zip(*(batch[c] for c in ("key", "low", "high", "id", "class", "sketch"))):
+        for key, low, high, id_, class_, data in zip(*(batch[c] for c in ("key", "low", "high", "id", "class", "shingles"))):
             if at != (key, low, high):
                 if len(held) > 1:
                     compare()
                 held, at = [], (key, low, high)
-            held.append((id_, class_, sketch))
-        if len(out) > 100:
-            yield pd.concat(out)
+            held.append((id_, class_, data))
+        if len(out) > 1000:
+            yield pd.DataFrame(out, columns=["a", "b"])
             out = []
     if len(held) > 1:
         compare()
     if out:
-        yield pd.concat(out)
+        yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def across_classes(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs (id, hub) of members (id, key, class) that share a bucket, are of different classes and have like sketches.
+def across_classes(members: DataFrame, texts: DataFrame, least: float, weights: str) -> DataFrame:
+    """Links (a, b) between members (id, key, class) that share a bucket and are of different classes.
 
-    A bucket's members are dealt to blocks; each pair of blocks is one group of 2 * BLOCK members or so, however large the
-    bucket is.
+    A bucket's members are dealt to blocks; each pair of blocks is one group of 2 * BLOCK members or 2 * BLOCK_BYTES of
+    shingles or so, however large the bucket is.
     """
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "key").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id", "key"), "blocks").cast("int"))
-    dealt = dealt.select("key", "id", "class", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "class", "sketch")
+    wanted = staged(members.select("id").distinct(), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = staged(map_slices(texts.join(wanted, "id").select("id", "text"), lambda x: shingled_task(x, weights), "id long, shingles binary"), "sets")
+    sized = members.join(sets.select("id", F.length("shingles").alias("bytes")).dropDuplicates(["id"]), "id")
+    blocks = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "key").join(sets.dropDuplicates(["id"]), "id").withColumn("own", F.pmod(F.xxhash64("id", "key"), "blocks").cast("int"))
+    dealt = dealt.select("key", "id", "class", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "class", "shingles")
     grouped = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return grouped.mapInPandas(lambda x: compare_task(x, least), "id long, hub long").distinct()
+    return map_slices(grouped, lambda x: compare_task(x, least), "a long, b long")
 
 
 def in_buckets(members: DataFrame, by: str) -> DataFrame:
-    """The members of buckets in which `by` has more than one value, with its least (lo) and greatest (hi)."""
-    ends = members.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).filter("lo < hi")
-    return members.join(ends, "key")
+    """The members of buckets in which `by` has more than one value, with the number of members."""
+    ends = members.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi"), F.count("*").alias("members")).filter("lo < hi")
+    return members.join(ends.select("key", "members"), "key")
+
+
+def joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, root) with further links."""
+    links = staged(links, "verified")
+    return components(links if found is None else links.union(found.select("node", "root")))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

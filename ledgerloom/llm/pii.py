@@ -29,11 +29,11 @@ CARD = r"(?:\G|(?<![0-9]))(?=[0-9][ -]?[0-9])[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 HIDDEN_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]++)++"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?<!\+[0-9] )\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-SECRET = r"""(?<![A-Za-z_])[A-Za-z_]{3,24}["']? {0,3}[:=] {0,3}["']?[A-Za-z0-9+/_.=-]{8,}"""
+SECRET = r"""(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{2,}+["']? {0,3}[:=] {0,3}["']?[A-Za-z0-9+/_.=-]{8,}"""
 
 # Gazetteers and context words.
-DOMAIN_ENDS = "com|org|net|edu|gov|io|info|de|fr|es|eu|uk|ch|at"
-SECRET_NAMES = "password|passwd|pwd|passphrase|token|secret|api_?key|apikey|access_?key|private_?key|auth|credential"
+DOMAIN_ENDS = "com|org|net|edu|gov|mil|int|io|info|biz|dev|app|co|me|de|fr|es|it|nl|be|pt|pl|se|dk|no|fi|eu|uk|ie|ch|at|us|ca|br|mx|ar|au|nz|in|jp|kr|cn|ru"
+SECRET_NAMES = "password|passwd|pwd|passphrase|token|secret|api_?key|access_?key|private_?key|signing_?key|session_?id|auth|bearer|credential|cookie"
 CONTEXT = {
     "email": "mail|contact|correo|courriel|kontakt|write to",
     "ip": "ip|server|host|address|adresse|direcci",
@@ -86,7 +86,7 @@ def votes(kind: str, s: Column, before: Column, base: Column) -> Column:
         "ip": vote(~s.rlike(r"^(0|10|127|255)\."), NO),
         "card": vote(d.rlike("^(4|5[1-5]|2[2-7]|3[47]|6)"), NO),
         "phone": vote(s.rlike(r"^(\+(1|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1-6]|9[0-8])|\(?[2-9])"), ABSTAIN),
-        "secret": vote(s.rlike(f"(?i)^[A-Za-z_]*({SECRET_NAMES})"), NO),
+        "secret": vote(s.rlike(f"(?i)^[A-Za-z0-9_]*?({SECRET_NAMES})"), NO),
     }[kind]
     shape = {
         "email": vote(s.rlike("^[A-Za-z0-9].{2,254}$"), NO),

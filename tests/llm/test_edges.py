@@ -128,19 +128,26 @@ def test_near_dedup_tells_texts_under_one_doc_id_apart(spark):
     assert len(left) == 5 and {(3, PROSE), (3, other), (3, "short"), (None, None)} <= set(left)
 
 
-def test_sketches_four_deviations_low_are_verified():
+def test_only_links_leave_a_comparison():
     import numpy as np
     import pandas as pd
 
-    def like(same):
-        a, b = np.full(512, 7, np.uint8), np.full(512, 7, np.uint8)
-        b[same:] = 9
-        held = [x.tobytes() + (100_000).to_bytes(4, "little") for x in (a, b)]
-        rows = pd.DataFrame({"key": [1, 1], "low": [0, 0], "high": [0, 0], "id": [1, 2], "class": [1, 2], "sketch": held})
-        return sum(map(len, near_dedup.compare_task(iter([rows]), 0.8)))
+    def links(*sets, classes=None):
+        held = [np.sort(x.astype(np.uint32)).tobytes() for x in sets]
+        ids = list(range(1, len(sets) + 1))
+        rows = pd.DataFrame({"key": 1, "low": 0, "high": 0, "id": ids, "class": classes or ids, "shingles": held})
+        return sorted(map(tuple, pd.concat([*near_dedup.compare_task(iter([rows]), 0.8), pd.DataFrame()]).to_numpy().tolist()))
 
-    # One standard deviation is 0.0206 of the union, its 0.003 for clashing bytes included.
-    assert [like(round(512 * (0.8 - k * 0.0206))) for k in (0, 2, 4, 6)] == [1, 1, 1, 0]
+    rng = np.random.default_rng(1)
+    for n in (9, 900, 90_000):
+        # Of 10 * n shingles two sets share 8 * n: exactly 0.8; one fewer is too few.
+        x = np.unique(rng.integers(0, 1 << 32, 12 * n))[: 10 * n]
+        x = rng.permutation(x[: len(x) // 10 * 10])
+        n10 = len(x) // 10
+        a, b = x[: 9 * n10], np.concatenate([x[: 8 * n10], x[9 * n10 :]])
+        assert links(a, b) == [(2, 1)] and links(a, b[1:]) == [] and links(a, b, classes=[5, 5]) == []
+    same = [a, a, a, a]
+    assert len(links(*same)) == 3
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -183,6 +190,8 @@ def test_chat(spark):
     got = {r.conv_id: r for r in chat_format.chat_format(chat_format.as_events(frame)).collect()}
     assert chat_format.read_back(got[1].formatted) == [(r[2], r[3]) for r in rows[:3]] and chat_format.read_back(got[2].formatted) == [("", "")]
     loss = lambda r: [chat_format.unescape(r.formatted[m.start : m.end]) for m in r.loss_mask]
+    turns = [("us\ner", "hi\\n"), ("\\n|<|", "x"), ("assistant", "\\\n")]
+    assert chat_format.read_back(chat_format.render(turns)[0]) == turns
     assert loss(got[1]) == ["b</s>", "b</s>"] and loss(got[None]) == ["x" * 2000]
     assert chat_format.chat_format(chat_format.as_events(frame.limit(0))).count() == 0
 
@@ -202,9 +211,15 @@ def test_pii(spark, docs, none):
     assert out.columns == docs.columns and by_id(out)[8][0].text.startswith("ä € 😀 <|endoftext|> [EMAIL]\n") and by_id(out)[1][0].text is None
 
 
+def test_secrets_under_long_names_are_candidates(spark):
+    texts = ["MY_APPLICATION_SECRET_ACCESS_KEY=abcd1234efgh5678", "api_key_2 = abcd1234efgh5678", "x" * 20_000 + "=abcd1234", "no secret: here"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(pii.candidates(pii.F.col("text")).alias("c"))
+    assert [[pii.KINDS[c["rank"]] for c in r["c"]] for r in rows.collect()] == [["secret"], ["secret"], ["secret"], []]
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, *packing.vocabulary()).collect()
-    ends, sequences = {}, {}
+    sequences = {}
     for r in got:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for parts in sequences.values():
@@ -215,7 +230,6 @@ def test_packing(docs, none):
         assert at <= packing.LENGTH
     assert sum(r.length for r in got if r.doc_id == 1) == 1 and {r.ids_crc32 for r in got if r.doc_id == 1} == {zlib.crc32(bytes(4))}
     assert sum(r.doc_id == 8 for r in got) == 2 and packing.pack(none, *packing.vocabulary()).count() == 0
-    assert ends == {}
 
 
 def test_packing_fills_sequences():
