@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ledgerloom.functions import scores, text as T
 from ledgerloom.operators import graph, ledger, policy, resolve
 from ledgerloom.plans.text_queries import fold, toks
+from ledgerloom.session import shared_dir
 from ledgerloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -160,8 +161,7 @@ def graph_orphan_edges(spark, sf):
 def graph_components(spark, sf):
     """Parts that suppliers have in common are one component."""
     links = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000_000).alias("b")).distinct()
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return graph.components(links, where)
+    return graph.components(links, shared_dir(spark))
 
 
 @query("visibility_decisions", f"""WITH {NODES}, r AS (SELECT *, CASE WHEN k % 4 = 0 THEN k % 20 END AS revealed_in FROM nodes)

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+from ledgerloom.session import shared_dir
 from ledgerloom.streaming import ledger_stream as S
 
 QUERIES, SQL = {}, {}
 
 
-def folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
 def stream_window_counts(spark, sf):
-    return S.once(S.window_counts(S.event_stream(spark, f"{sf}/events.parquet*"), "6 hours", "1 day"), folder(spark), "complete")
+    return S.once(S.window_counts(S.event_stream(spark, f"{sf}/events.parquet*"), "6 hours", "1 day"), shared_dir(spark), "complete")
 
 
 QUERIES["stream_window_counts"] = stream_window_counts
@@ -21,7 +18,7 @@ SQL["stream_window_counts"] = """SELECT CAST(epoch_us(time_bucket(INTERVAL 6 HOU
 
 def stream_first_events(spark, sf):
     firsts = S.first_of_each(S.event_stream(spark, f"{sf}/events.parquet*"), ["event_id"], "1 day")
-    return S.once(firsts.select("event_id", "user_id", "event_type"), folder(spark), "append").select("event_id", "user_id", "event_type")
+    return S.once(firsts.select("event_id", "user_id", "event_type"), shared_dir(spark), "append").select("event_id", "user_id", "event_type")
 
 
 QUERIES["stream_first_events"] = stream_first_events

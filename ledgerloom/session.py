@@ -1,8 +1,10 @@
-"""Session settings used by the tests and the bench; a cluster brings its own session."""
+"""Session settings used by the tests and the bench (a cluster brings its own session), and the folder for intermediate tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "8g", app: str = "ledgerloom") -> SparkSession:
@@ -18,3 +20,22 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "ledgerloom") ->
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = jvm_dir.get() if jvm_dir.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster intermediate tables need a folder that all machines share")
+    return (found or "/tmp/checkpoints").rstrip("/")
+
+
+def staged(frame: DataFrame, name: str) -> DataFrame:
+    """Writes the frame as a table in the shared folder and reads it back: the lineage ends there and a lost executor loses nothing."""
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
