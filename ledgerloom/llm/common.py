@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ledgerloom.session import shared_dir, staged  # noqa: F401  (the operators take staged() from here)
+
 #: White space of the result contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -32,23 +33,6 @@ def one_spaced(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, " ")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else "/tmp/checkpoints"
-    return found.rstrip("/")
-
-
-def staged(frame: DataFrame, name: str) -> DataFrame:
-    """Writes the frame as a table in the shared folder and reads it back: the lineage ends there and a lost executor loses nothing."""
-    spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def bucketed(frame: DataFrame, name: str, n: int, column: str) -> DataFrame:
     """Like staged(), as a table of n buckets by the column: what is joined or grouped by it later does not shuffle it again."""
     spark = frame.sparkSession
