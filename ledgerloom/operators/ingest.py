@@ -72,17 +72,35 @@ def classified(documents: DataFrame, words: list[tuple[str, int, str]], default:
 
 
 def anchored_quotes(documents: DataFrame, quotes: DataFrame) -> DataFrame:
-    """doc_id, quote_id and place (from 1) of quotes (item_id, text) that stand literally in a document.
+    """doc_id, quote_id and place (from 1) of quotes (item_id, text) that stand literally in a document; empty ones in none.
 
-    Both sides are keyed by their words: a quote by its first three words, a document by each three in a row, so only
-    documents that have a quote's beginning are searched for it.
+    Both sides are keyed, so only documents that may have a quote are searched for it. A quote may start and end within a
+    document's word, so its key is its second to fourth word if it has five or more, its second word if it has three or
+    four, and else its first characters, three at most; a document has all of its own words, threes of words, and runs of
+    characters, of which the last are looked at only if there are such quotes.
     """
     words = F.split("text", r"\s+")
-    # A quote may start within a document's word, so the key is its second to fourth word.
-    keyed = quotes.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), F.xxhash64(F.slice(words, 2, 3)).alias("key"))
-    rest = lambda k: F.slice(words, F.lit(k), F.size(words) - k + 1)
-    triples = F.transform(F.arrays_zip(words.alias("a"), rest(2).alias("b"), rest(3).alias("c")), lambda t: F.xxhash64(F.array(t["a"], t["b"], t["c"])))
-    docs = documents.filter(F.size(words) >= 4).select("doc_id", F.explode(F.array_distinct(triples)).alias("key"))
-    found = docs.join(keyed.select("quote_id", "key"), "key").select("doc_id", "quote_id").distinct()
-    both = found.join(documents.select("doc_id", "text"), "doc_id").join(keyed.select("quote_id", "quote"), "quote_id")
+    n = F.size(words)
+    grams = F.least(F.length("text"), F.lit(3))
+    sort = F.when(n >= 5, "words").when(n >= 3, "word").otherwise(F.concat(F.lit("gram"), grams.cast("string")))
+    key = F.when(n >= 5, F.xxhash64(F.slice(words, 2, 3))).when(n >= 3, F.xxhash64(F.get(words, F.lit(1)))).otherwise(F.xxhash64(F.substring("text", F.lit(1), grams)))
+    keyed = quotes.filter(F.length("text") > 0).select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), sort.alias("sort"), key.alias("key"))
+    sorts = [r["sort"] for r in keyed.select("sort").distinct().collect()]  # five at most
+    rest = lambda a, k: F.slice(a, F.lit(k), F.greatest(F.size(a) - k + 1, F.lit(0)))
+    chars = F.split("text", "(?!^)(?!$)")
+    keys = {
+        "words": F.transform(F.arrays_zip(words.alias("a"), rest(words, 2).alias("b"), rest(words, 3).alias("c")), lambda t: F.xxhash64(F.array(t["a"], t["b"], t["c"]))),
+        "word": F.transform(words, lambda w: F.xxhash64(w)),
+        "gram1": F.transform(chars, lambda c: F.xxhash64(c)),
+        "gram2": F.transform(F.arrays_zip(chars.alias("a"), rest(chars, 2).alias("b")), lambda t: F.xxhash64(F.concat(t["a"], t["b"]))),
+        "gram3": F.transform(F.arrays_zip(chars.alias("a"), rest(chars, 2).alias("b"), rest(chars, 3).alias("c")), lambda t: F.xxhash64(F.concat(t["a"], t["b"], t["c"]))),
+    }
+    found = None
+    for s in sorts:
+        docs = documents.filter("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(keys[s])).alias("key"))
+        part = docs.join(keyed.filter(F.col("sort") == s).select("quote_id", "key"), "key").select("doc_id", "quote_id")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return documents.select("doc_id", F.lit(None).cast(quotes.schema["item_id"].dataType).alias("quote_id"), F.lit(0).alias("place")).limit(0)
+    both = found.distinct().join(documents.select("doc_id", "text"), "doc_id").join(keyed.select("quote_id", "quote"), "quote_id")
     return both.withColumn("place", F.instr("text", F.col("quote"))).filter("place > 0").select("doc_id", "quote_id", "place")

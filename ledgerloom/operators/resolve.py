@@ -22,10 +22,17 @@ def candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     exact = m.join(e, m["folded"] == e["folded_name"]).select("mention_id", "entity_id", F.lit("exact").alias("tier"), F.lit(EXACT).alias("score"))
     alias = e.select("entity_id", F.explode("aliases").alias("alias")).select("entity_id", T.fold(F.col("alias")).alias("folded"))
     aliased = m.join(alias, "folded").select("mention_id", "entity_id", F.lit("alias").alias("tier"), F.lit(ALIAS).alias("score"))
-    left = m.select("mention_id", "surface", F.explode(T.token_set(F.col("surface"))).alias("token"))
-    right = e.select("entity_id", "name", F.explode(T.token_set(F.col("name"))).alias("token"))
-    pairs = left.join(right, "token").dropDuplicates(["mention_id", "entity_id"])
-    like = pairs.withColumn("like", T.similarity(F.col("surface"), F.col("name"))).filter(F.col("like") >= LEAST_LIKE)
+    # Folded names, tokens and trigrams are made once a row, before the pairs.
+    ready = lambda rows, id_, name, end: rows.select(F.col(id_), T.fold(F.col(name)).alias(f"x{end}"), T.token_set(F.col(name)).alias(f"t{end}"), T.ngrams(F.col(name), 3).alias(f"g{end}"))
+    left, right = ready(m, "mention_id", "surface", "1"), ready(e, "entity_id", "name", "2")
+    met = left.select("mention_id", F.explode("t1").alias("token")).join(right.select("entity_id", F.explode("t2").alias("token")), "token").select("mention_id", "entity_id").distinct()
+    pairs = met.join(left, "mention_id").join(right, "entity_id")
+    # The edit distance is at least the difference in length, so most pairs go before it is computed.
+    x, y, tokens = F.col("x1"), F.col("x2"), T.jaccard(F.col("t1"), F.col("t2"))
+    longest = F.greatest(F.length(x), F.length(y))
+    pairs = pairs.filter((tokens >= LEAST_LIKE) | (1 - 0.75 * F.abs(F.length(x) - F.length(y)) / longest >= LEAST_LIKE))
+    mixed = 0.75 * T.edit_ratio(x, y) + 0.25 * T.jaccard(F.col("g1"), F.col("g2"))
+    like = pairs.withColumn("like", F.when(x == y, 1.0).otherwise(F.round(F.greatest(mixed, tokens), 6))).filter(F.col("like") >= LEAST_LIKE)
     like = like.select("mention_id", "entity_id", F.lit("like").alias("tier"), F.round(LIKE * F.col("like"), 6).alias("score"))
     best = Window.partitionBy("mention_id", "entity_id").orderBy(F.desc("score"), "tier")
     return exact.union(aliased).union(like).withColumn("rk", F.row_number().over(best)).filter("rk = 1").drop("rk")

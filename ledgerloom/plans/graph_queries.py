@@ -150,13 +150,22 @@ def graph_origin_conflicts(spark, sf):
 
 @query("graph_orphan_edges", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) OR NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)")
 def graph_orphan_edges(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("has_order")).distinct()
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("has_part")).distinct()
-    both = lines.join(o, "l_orderkey", "left").join(p, "l_partkey", "left")
+    return orphans(table(spark, sf, "lineitem"), table(spark, sf, "orders"), table(spark, sf, "part"))
+
+
+def orphans(lines, orders, parts):
+    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("has_order")).distinct()
+    p = parts.select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("has_part")).distinct()
+    both = lines.select("l_orderkey", "l_linenumber", "l_partkey").join(o, "l_orderkey", "left").join(p, "l_partkey", "left")
     return both.filter("has_order IS NULL OR has_part IS NULL").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query("graph_orphans_after_deletion", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') OR l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 45)")
+def graph_orphans_after_deletion(spark, sf):
+    """Lines left without an order or a part once filled orders and large parts are gone."""
+    return orphans(table(spark, sf, "lineitem"), table(spark, sf, "orders").filter("o_orderstatus <> 'F'"), table(spark, sf, "part").filter("p_size <= 45"))
+
+
 @query("graph_components")
 def graph_components(spark, sf):
     """Parts that suppliers have in common are one component."""
@@ -274,8 +283,8 @@ def ledger_event_keys(spark, sf):
 
 # ---- resolution
 
-ENTITIES = """e AS (SELECT p_partkey AS entity_id, p_name AS name, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS alias FROM part WHERE p_partkey < 200),
-m AS (SELECT p_partkey AS mention_id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') ELSE p_name || 's' END AS surface FROM part WHERE p_partkey >= 1900)"""
+ENTITIES = """e AS (SELECT p_partkey AS entity_id, p_name AS name, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS alias FROM part),
+m AS (SELECT p_partkey AS mention_id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') ELSE p_name || 's' END AS surface FROM part)"""
 SIMILAR = """CASE WHEN a = b THEN 1.0 ELSE round(greatest(0.75 * (1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE)
   + 0.25 * len(list_intersect(ga, gb))::DOUBLE / len(list_distinct(list_concat(ga, gb))), len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(list_concat(ta, tb)))), 6) END"""
 GRAMS = "list_distinct(list_transform(range(1, length('  ' || {0} || '  ') - 1), lambda i: substring('  ' || {0} || '  ', i, 3)))"
@@ -289,17 +298,7 @@ r AS (SELECT *, row_number() OVER w AS rk, lead(score) OVER w AS next FROM s WHE
 SELECT mention_id, entity_id, CAST(score AS DOUBLE) AS score, CAST(round(score - coalesce(next, 0), 6) AS DOUBLE) AS margin,
   CASE WHEN next IS NOT NULL AND round(score - next, 6) < 0.1 THEN 'REVIEW' WHEN score >= 0.9 THEN 'LINK' WHEN score >= 0.6 THEN 'REVIEW' ELSE 'CREATE_NEW' END AS action FROM r WHERE rk = 1""")
 def name_resolution(spark, sf):
-    part = table(spark, sf, "part")
-    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
-    known = part.filter("p_partkey < 200").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array(turned).alias("aliases"))
-    k = F.col("p_partkey") % 3
-    seen = part.filter("p_partkey >= 1900").select(F.col("p_partkey").alias("mention_id"), scores.first_that((k == 0, F.upper("p_name")), (k == 1, turned), otherwise=F.concat("p_name", F.lit("s"))).alias("surface"))
-    return resolve.decide(resolve.candidates(seen, known))
-
-
-# All parts as mentions against all parts as entities; name_resolution's SQL cuts both sides by id.
-@query("name_resolution_all", SQL["name_resolution"].replace(" WHERE p_partkey < 200", "").replace(" WHERE p_partkey >= 1900", ""))
-def name_resolution_all(spark, sf):
+    """Every part as a mention against every part as an entity."""
     part = table(spark, sf, "part")
     turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
     known = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.array(turned).alias("aliases"))
@@ -308,6 +307,10 @@ def name_resolution_all(spark, sf):
     return resolve.resolved(seen, known)
 
 
+# The name that whole tables had before name_resolution read them too.
+QUERIES["name_resolution_all"], SQL["name_resolution_all"] = name_resolution, SQL["name_resolution"]
+
+
 @query("mention_group_type", """WITH s AS (SELECT p_name AS name, p_type AS kind, sum(round(p_size / 50.0::DOUBLE, 6)) AS total, min(round(p_size / 50.0::DOUBLE, 6)) AS weakest FROM part GROUP BY ALL)
 SELECT name, arg_min(kind, (-round(total, 6), kind)) AS kind, round(max(total), 4) AS total, round(min(weakest), 6) AS confidence FROM s GROUP BY name""")
 def mention_group_type(spark, sf):

@@ -48,13 +48,14 @@ def prf_by_lang(spark, sf):
     return confusion(predictions(spark, sf), "lang").select("lang", tp, fp, fn, scores.precision(tp, fp).alias("precision"), scores.recall(tp, fn).alias("recall"), scores.f1(tp, fp, fn).alias("f1"))
 
 
-@query("agreement_outcomes", f"""WITH {PRED}, a AS (SELECT doc_id, gold FROM p WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, predicted FROM p WHERE doc_id % 7 <> 0)
+@query("agreement_outcomes", f"""WITH {PRED}, a AS (SELECT doc_id, quality = 0 AS gold FROM labels), b AS (SELECT doc_id, (contains(text, '!!') OR contains(text, '$$$') OR contains(text, ' | ')) AS predicted FROM documents)
 SELECT CASE WHEN a.doc_id IS NULL THEN 'only_second' WHEN b.doc_id IS NULL THEN 'only_first' WHEN gold AND predicted THEN 'both_yes' WHEN gold THEN 'first_yes' WHEN predicted THEN 'second_yes' ELSE 'both_no' END AS outcome, count(*) AS n
 FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1""")
 def agreement_outcomes(spark, sf):
-    rows = predictions(spark, sf)
-    a = rows.filter("doc_id % 5 <> 0").select("doc_id", "gold", F.lit(True).alias("first"))
-    b = rows.filter("doc_id % 7 <> 0").select("doc_id", "predicted", F.lit(True).alias("second"))
+    """The labels of all labelled documents against the rule's predictions for all documents."""
+    has = lambda x: F.contains("text", F.lit(x))
+    a = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("gold"), F.lit(True).alias("first"))
+    b = table(spark, sf, "documents").select("doc_id", (has("!!") | has("$$$") | has(" | ")).alias("predicted"), F.lit(True).alias("second"))
     outcome = scores.first_that((F.col("first").isNull(), "only_second"), (F.col("second").isNull(), "only_first"), (F.col("gold") & F.col("predicted"), "both_yes"), (F.col("gold"), "first_yes"), (F.col("predicted"), "second_yes"), otherwise="both_no")
     return a.join(b, "doc_id", "full").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
