@@ -150,7 +150,8 @@ def blocks(html: str) -> tuple[list[tuple[tuple[int, ...], bool, str]], list[Nod
         plain, article = declared(tag, attributes, up.article)
         if tag not in INLINE or plain:
             end_block()
-        mark = re.sub(r"\d+", "0", f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}")
+        # Numbers of pages and posts are no part of a style; q1 and q2 are.
+        mark = re.sub(r"\d{3,}", "0", f"{tag}.{attributes.get('class', '')}") + re.sub(r"\d+", "0", f"#{attributes.get('id', '')}")
         node = Node(tag, hashed(f"{up.path}/{mark}"), plain or up.plain, article or up.article)
         up.children.append(mark)
         if tag in RAW:
