@@ -122,3 +122,9 @@ def redacted(c: Column) -> Column:
 
 def percent_label(c: Column) -> Column:
     return F.concat(F.bround(c * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def error_rate(reference: Column, hypothesis: Column) -> Column:
+    """Edits by the reference's length; an empty reference has rate 0 against an empty text, else 1."""
+    n = F.length(reference)
+    return F.when(n == 0, F.when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.round(F.levenshtein(reference, hypothesis) / n, 6))

@@ -98,3 +98,38 @@ def test_graph_components_equal_union_find(spark):
         root[b] = a
     got = {r.node: r.root for r in catalog.queries()["graph_components"](spark, SF).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_cluster_scores_equal_pairs(spark):
+    from itertools import combinations
+
+    from ledgerloom.operators import joins
+
+    items = [(k % 3, k % 4) for k in range(20)] + [(9, 9), (8, 8), (8, 7)]
+    pairs = lambda i: {(a, b) for a, b in combinations(range(len(items)), 2) if items[a][i] == items[b][i]}
+    gold, predicted = pairs(0), pairs(1)
+    r = joins.cluster_scores(spark.createDataFrame(items, "gold int, predicted int")).first()
+    assert (r["both"], r["in_gold"], r["in_predicted"]) == (len(gold & predicted), len(gold), len(predicted))
+    assert r["precision"] == round(len(gold & predicted) / len(predicted), 6)
+    assert joins.cluster_scores(spark.createDataFrame([], "gold int, predicted int")).first()["f1"] is None
+
+
+def test_span_pairs_lose_none_at_the_borders_of_bins(spark):
+    from ledgerloom.operators import joins
+
+    gold = [(1, k, s, s + n) for k, (s, n) in enumerate([(0, 10), (9, 10), (10, 1), (19, 10), (5, 9), (-3, 10)])]
+    predicted = [(1, 100 + s, s, s + n) for s, n in [(0, 10), (8, 3), (10, 10), (18, 2), (28, 1), (-5, 3)]] + [(2, 1, 0, 10)]
+    schema = "key int, id int, start long, end long"
+    got = {(r.gold_id, r.pred_id) for r in joins.span_pairs(spark.createDataFrame(gold, schema), spark.createDataFrame(predicted, schema), 10).collect()}
+    assert got == {(g[1], p[1]) for g in gold for p in predicted if g[0] == p[0] and g[2] < p[3] and p[2] < g[3]}
+
+
+def test_visible_facts_and_memory(spark):
+    from ledgerloom.operators import joins
+
+    facts = spark.createDataFrame([(1, None, None), (2, None, None), (3, "a", 1), (4, "b", 2), (5, "a", None)], "fact_id int, scope string, overrides int")
+    assert sorted(r.fact_id for r in joins.visible_facts(facts, "a").collect()) == [2, 3, 5]
+    memory = spark.createDataFrame([("w", "s", "x", 1, 0.5, 1), ("w", "s", "x", 2, 0.5, 2), ("w", None, "x", 3, 0.9, 1), ("w", None, "y", 4, 0.1, 1)], "workspace string, scope string, surface string, entity_id int, confidence double, at int")
+    mentions = spark.createDataFrame([(1, "w", "s", "x"), (2, "w", "t", "x"), (3, "w", None, "y"), (4, "v", "s", "x")], "mention_id int, workspace string, scope string, surface string")
+    got = {r.mention_id: (r.entity_id, r.source) for r in joins.remembered(mentions, memory).collect()}
+    assert got == {1: (2, "own"), 2: (3, "shared"), 3: (4, "shared"), 4: (None, "none")}
