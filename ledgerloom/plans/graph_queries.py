@@ -308,7 +308,7 @@ def name_resolution(spark, sf):
 
 
 # The name that whole tables had before name_resolution read them too.
-QUERIES["name_resolution_all"], SQL["name_resolution_all"] = name_resolution, SQL["name_resolution"]
+name_resolution_all = query("name_resolution_all", SQL["name_resolution"])(name_resolution)
 
 
 @query("mention_group_type", """WITH s AS (SELECT p_name AS name, p_type AS kind, sum(round(p_size / 50.0::DOUBLE, 6)) AS total, min(round(p_size / 50.0::DOUBLE, 6)) AS weakest FROM part GROUP BY ALL)
