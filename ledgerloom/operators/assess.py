@@ -54,10 +54,11 @@ def repeats_block(text: Column, block: int = 24, times: int = 3) -> Column:
 
     Sorted windows that are equal lie side by side, so a text is judged in its row, without a shuffle.
     """
-    windows = F.array_sort(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(\P{{Cs}}.{{{block - 1}}}))"), F.lit(1)))
-    n = F.size(windows) - times + 1
-    pairs = F.zip_with(F.slice(windows, F.lit(1), n), F.slice(windows, F.lit(times), n), lambda a, b: a == b)
-    return F.coalesce((F.length(text) >= block * times) & F.when(n > 0, F.exists(pairs, lambda x: x)), F.lit(False))
+    found = F.sort_array(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(\P{{Cs}}.{{{block - 1}}}))"), F.lit(1)))
+    # The windows are an element of an array of one, so the three uses below make and sort them once.
+    n = lambda w: F.greatest(F.lit(0), F.size(w) - times + 1)
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), n(w)), F.slice(w, F.lit(times), n(w)), lambda a, b: a == b)
+    return F.coalesce(F.when(F.length(text) >= block * times, F.exists(F.array(found), lambda w: F.exists(pairs(w), lambda x: x))), F.lit(False))
 
 
 def range_gaps(chunks: DataFrame, first: int) -> DataFrame:
