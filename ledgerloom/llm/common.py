@@ -34,11 +34,16 @@ def one_spaced(text: Column) -> Column:
 
 
 def bucketed(frame: DataFrame, name: str, n: int, column: str) -> DataFrame:
-    """Like staged(), as a table of n buckets by the column: what is joined or grouped by it later does not shuffle it again."""
+    """Like staged(), as a table of n buckets by the column: what is joined or grouped by it later does not shuffle it again.
+
+    The catalog's entry goes once the table is read from; its files lie in the shared folder.
+    """
     spark = frame.sparkSession
     table_name = f"ledgerloom_{name}_{uuid.uuid4().hex}"
-    frame.write.bucketBy(n, column).option("path", f"{shared_dir(spark)}/ledgerloom/{table_name}").saveAsTable(table_name)
-    return spark.table(table_name)
+    frame.write.bucketBy(n, column).options(path=f"{shared_dir(spark)}/ledgerloom/{table_name}", compression="zstd").saveAsTable(table_name)
+    found = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    return found
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, chat_format, exact_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality_rules, toxicity
+from ledgerloom.llm import alignment, bpe, chat_format, exact_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_token_alignment": alignment.op11_token_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
