@@ -280,9 +280,9 @@ def link_counts(documents: DataFrame, ranks: dict[bytes, int], pattern: str, mod
     second = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     best = counts.groupBy(second.alias("b")).agg(F.max("n").alias("most"))  # a row an id of the vocabulary at most
     rated = counts.withColumn("b", second).join(F.broadcast(best), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    answers = held.select("block", "number", "pair").join(rated, "pair").select("block", "number", "n", "best")
+    answers = held.select(F.col("block").alias("at"), "number", "pair").join(rated, "pair").select("at", "number", "n", "best")
     texts = cut.filter(F.col("place") < 0).select("block", "data")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: add_up(t.select(["data"]), a), SCHEMA)
+    return texts.groupBy("block").cogroup(answers.groupBy("at")).applyInArrow(lambda t, a: add_up(t.select(["data"]), a), SCHEMA)
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
