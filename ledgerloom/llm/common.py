@@ -46,6 +46,22 @@ def bucketed(frame: DataFrame, name: str, n: int, column: str) -> DataFrame:
     return found
 
 
+#: Keys with the most rows that are joined by a broadcast.
+HEAVY = 1000
+
+
+def join_skewed(rows: DataFrame, values: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows joined with values (a row a key, with the number of rows that have it as its weight).
+
+    The HEAVY keys of the greatest weight are broadcast, so no task gathers the rows of a hot key; the others are shuffled
+    and have at most a thousandth of the rows each. Both are read twice. A null key joins nothing.
+    """
+    heavy = staged(values.orderBy(F.desc(weight), key).limit(HEAVY), "heavy")
+    hot = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return hot.unionByName(rest.join(values, key))
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerloom.llm import alignment, bpe, chat_format, exact_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality_rules, toxicity
+from ledgerloom.llm import alignment, bpe, centroids, chat_format, exact_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality_rules, simhash, toxicity
 
 
 def queries() -> dict:
@@ -19,9 +19,11 @@ def queries() -> dict:
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_simhash_near_dedup": simhash.op12_simhash_near_dedup,
+        "op13_centroid_clustering": centroids.op13_centroid_clustering,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat_format.OP7_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op7_chat_format": chat_format.OP7_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op13_centroid_clustering": centroids.OP13_SQL}
