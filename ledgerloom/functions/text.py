@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-# Accented letters and what they fold to, place by place.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-FOLDED = "aaaaaaeeeeiiiiooooouuuuncyy"
+def decompositions() -> dict[str, str]:
+    """Characters whose compatibility decomposition, without its marks, is made of plain letters and digits; signs between
+    them are spaces."""
+    found = {}
+    for code in range(0x80, 0x10000):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(c) != "Mn").lower()
+        plain = re.sub("[^0-9a-z]+", " ", base).strip()
+        if plain and not 0xD800 <= code < 0xE000 and (base.isascii() or "⁄" in base):
+            found[chr(code)] = plain
+    return found
+
+
+#: Those that become one letter, and what they become, place by place; and those that become several.
+DECOMPOSED = decompositions()
+ACCENTED = "".join(c for c, base in DECOMPOSED.items() if len(base) == 1)
+FOLDED = "".join(base for base in DECOMPOSED.values() if len(base) == 1)
+WIDER = {c: base for c, base in DECOMPOSED.items() if len(base) > 1}
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(F.translate(c, ACCENTED, FOLDED), ACCENTED.upper(), FOLDED.upper())
+    """Letters and digits by their compatibility decomposition, which is lower-case, without marks; others stay. ASCII texts
+    are not touched."""
+    plain = F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), ACCENTED, FOLDED)
+    wide = "[" + "".join(WIDER) + "]"
+    each = F.create_map(*[F.lit(x) for pair in WIDER.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(each, x), x)), "")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.when(plain.rlike(wide), spelled).otherwise(plain))
 
 
 def fold(c: Column) -> Column:
@@ -18,6 +41,14 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(strip_accents(F.lower(c)), "[^0-9a-z]+", " "))
 
 
+def any_accent(pattern: str) -> str:
+    """A pattern whose plain lower-case letters match their accented forms, composed or not, as well."""
+    forms: dict[str, str] = {}
+    for c, base in zip(ACCENTED, FOLDED):
+        forms[base] = forms.get(base, "") + c
+    return re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}{forms.get(m[0], '')}]\\p{{Mn}}*", pattern)
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\n\r\f\v]+", " "))
 

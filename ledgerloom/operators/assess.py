@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.scores import codes, first_that, ratio
+from ledgerloom.functions.text import any_accent
 
 # Thresholds of transcripts and what each fault costs.
 LEAST_COVERAGE, MOST_GAP, MOST_TAIL = 0.80, 3.0, 0.05
@@ -70,8 +71,10 @@ def range_gaps(chunks: DataFrame, first: int) -> DataFrame:
 
 
 def phases(rows: DataFrame, cue: str, by: list[str]) -> DataFrame:
-    """The columns `by`, place and phase: texts cut before each cue, in order, without empty parts."""
-    cut = F.split("text", rf"(?i)(?<!\w)(?=(?:{cue})(?!\w))")
+    """The columns `by`, place and phase: texts cut before each cue (plain lower-case words), in order, without empty parts.
+    Case and accents of the text do not matter, and its parts are as they stand there. A cue starts and ends at words'
+    ends."""
+    cut = F.split("text", rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?=(?:{any_accent(cue)})(?![\p{{L}}\p{{M}}\p{{N}}_]))")
     parts = F.filter(F.transform(cut, lambda x: F.btrim(x, F.lit(" ,.;:-"))), lambda x: x != "")
     return rows.select(*by, F.posexplode(parts).alias("place", "phase"))
 

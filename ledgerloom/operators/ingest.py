@@ -71,6 +71,10 @@ def classified(documents: DataFrame, words: list[tuple[str, int, str]], default:
     return rows.select("doc_id", F.when(F.col("best.least") < 0, F.col("best.category")).otherwise(default).alias("category"), (-F.col("best.least")).cast("long").alias("hits"))
 
 
+#: Quotes up to which their keys go to all tasks; the keys of more are shuffled to the documents'.
+QUOTES_SENT = 200_000
+
+
 def anchored_quotes(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     """doc_id, quote_id and place (from 1) of quotes (item_id, text) that stand literally in a document; empty ones in none.
 
@@ -87,7 +91,7 @@ def anchored_quotes(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     keyed = quotes.filter(F.length("text") > 0).select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), sort.alias("sort"), key.alias("key"))
     sorts = [r["sort"] for r in keyed.select("sort").distinct().collect()]  # five at most
     rest = lambda a, k: F.slice(a, F.lit(k), F.greatest(F.size(a) - k + 1, F.lit(0)))
-    chars = F.split("text", "(?!^)(?!$)")
+    chars = F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))
     keys = {
         "words": F.transform(F.arrays_zip(words.alias("a"), rest(words, 2).alias("b"), rest(words, 3).alias("c")), lambda t: F.xxhash64(F.array(t["a"], t["b"], t["c"]))),
         "word": F.transform(words, lambda w: F.xxhash64(w)),
@@ -95,10 +99,12 @@ def anchored_quotes(documents: DataFrame, quotes: DataFrame) -> DataFrame:
         "gram2": F.transform(F.arrays_zip(chars.alias("a"), rest(chars, 2).alias("b")), lambda t: F.xxhash64(F.concat(t["a"], t["b"]))),
         "gram3": F.transform(F.arrays_zip(chars.alias("a"), rest(chars, 2).alias("b"), rest(chars, 3).alias("c")), lambda t: F.xxhash64(F.concat(t["a"], t["b"], t["c"]))),
     }
+    small = keyed.limit(QUOTES_SENT + 1).count() <= QUOTES_SENT
     found = None
     for s in sorts:
         docs = documents.filter("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(keys[s])).alias("key"))
-        part = docs.join(keyed.filter(F.col("sort") == s).select("quote_id", "key"), "key").select("doc_id", "quote_id")
+        wanted = keyed.filter(F.col("sort") == s).select("quote_id", "key")
+        part = docs.join(F.broadcast(wanted) if small else wanted, "key").select("doc_id", "quote_id")
         found = part if found is None else found.union(part)
     if found is None:
         return documents.select("doc_id", F.lit(None).cast(quotes.schema["item_id"].dataType).alias("quote_id"), F.lit(0).alias("place")).limit(0)

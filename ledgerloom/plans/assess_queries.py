@@ -71,10 +71,11 @@ def offset_gaps(spark, sf):
 
 # The words that begin a new phase.
 TURNS = "ya no|dejo de|dejaron de|mas tarde|despues|luego|posteriormente|con el tiempo|hasta que|ahora|actualmente|hoy"
-STORY = "p_brand || ' fue aliado' || CASE p_size % 4 WHEN 0 THEN ', luego rival; ' WHEN 1 THEN ' y ya no vive en ' WHEN 2 THEN '. Ahora reside en ' ELSE ' de ' END || p_type || CASE WHEN p_size % 3 = 0 THEN ' hasta que despues vuelve.' ELSE '' END"
+TURNS_SQL = TURNS.replace("dejo", "dej[oó]").replace("mas", "m[aá]s").replace("despues", "despu[eé]s")
+STORY = "p_brand || ' fue aliado' || CASE p_size % 4 WHEN 0 THEN ', luego rival; ' WHEN 1 THEN ' y dejó de vivir en ' WHEN 2 THEN '. Ahora reside en ' ELSE ' de ' END || p_type || CASE WHEN p_size % 3 = 0 THEN ' hasta que después vuelve.' ELSE '' END"
 
 
-@query("transition_phases", f"""WITH s AS (SELECT p_partkey, {STORY} AS text FROM part), c AS (SELECT p_partkey, string_split(regexp_replace(text, '(^|[^a-zA-Z0-9_])({TURNS})\\b', '\\1' || chr(1) || '\\2', 'gi'), chr(1)) AS parts FROM s),
+@query("transition_phases", f"""WITH s AS (SELECT p_partkey, {STORY} AS text FROM part), c AS (SELECT p_partkey, string_split(regexp_replace(text, '(^|[^\\p{{L}}\\p{{N}}_])({TURNS_SQL})\\b', '\\1' || chr(1) || '\\2', 'gi'), chr(1)) AS parts FROM s),
 p AS (SELECT p_partkey, list_filter(list_transform(parts, lambda x: trim(x, ' ,.;:-')), lambda x: x <> '') AS parts FROM c),
 u AS (SELECT p_partkey, unnest(parts) AS phase, generate_subscripts(parts, 1) - 1 AS place FROM p), t AS (SELECT *, {fold('phase')} AS t FROM u)
 SELECT p_partkey, place, phase, {cased(cues.TEMPORAL, 'UNKNOWN')} AS state FROM t""")

@@ -29,8 +29,10 @@ def test_gaps_and_phases(spark):
     assert values(assess.range_gaps(chunks, 1), "gap_start", "gap_end", "missing") == [(5, 7, 3)]
     assert values(assess.range_gaps(chunks, 0), "gap_start", "gap_end", "missing") == [(3, 4, 1), (4, 8, 4)]
     assert not assess.range_gaps(chunks.limit(0), 1).count()
-    texts = spark.createDataFrame([(1, "now so. now"), (2, None), (3, ""), (4, "knowing")], "id int, text string")
-    assert values(assess.phases(texts, "now", ["id"]), "id", "place", "phase") == [(1, 0, "now so"), (1, 1, "now"), (4, 0, "knowing")]
+    texts = spark.createDataFrame([(1, "now so. now"), (2, None), (3, ""), (4, "knowing"), (5, "fue rey, DESPUÉS dejó de serlo"), (6, "dejode, dejó dé él")], "id int, text string")
+    assert values(assess.phases(texts.filter("id < 5"), "now", ["id"]), "id", "place", "phase") == [(1, 0, "now so"), (1, 1, "now"), (4, 0, "knowing")]
+    told = assess.phases(texts.filter("id > 4"), "despues|dejo de", ["id"])
+    assert values(told, "id", "place", "phase") == [(5, 0, "fue rey"), (5, 1, "DESPUÉS"), (5, 2, "dejó de serlo"), (6, 0, "dejode"), (6, 1, "dejó dé él")]
 
 
 def test_signals(spark):

@@ -13,8 +13,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_quotes_of_any_length_are_found(spark):
-    docs = spark.createDataFrame([(1, "the quick brown fox jumps over"), (2, "a b"), (3, None), (4, ""), (5, "überall im Land")], "doc_id long, text string")
-    quotes = ["quick brown fox", "ck bro", "the quick brown fox jum", "uick brown fox ju", "b", "a ", "x", "", "quick brown", "rall im La", "k brown fox jumps ov", None]
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over"), (2, "a b"), (3, None), (4, ""), (5, "überall im Land"), (6, "hello xyz\n"), (7, "line one\nline two\n"), (8, "😀ab cd")], "doc_id long, text string")
+    quotes = ["quick brown fox", "ck bro", "the quick brown fox jum", "uick brown fox ju", "b", "a ", "x", "", "quick brown", "rall im La", "k brown fox jumps ov", None, "xyz", "z", "two", "two\n", "\n", "😀a", "😀", "one\nl"]
     rows = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
     got = sorted((r.doc_id, r.quote_id, r.place) for r in ingest.anchored_quotes(docs, rows).collect())
     want = sorted((d.doc_id, i, d.text.index(q) + 1) for d in docs.collect() for i, q in enumerate(quotes) if q and d.text and q in d.text)

@@ -14,6 +14,7 @@ def one(spark, column):
 
 def test_fold_and_similarity(spark):
     assert one(spark, T.fold(F.lit("  Ñandú--Él! 7 "))) == "nandu el 7"
+    assert one(spark, T.fold(F.lit("Škoła ř ﬁn ½ ａ e\u0301 Ⅷ"))) == "sko a r fin 1 2 a e viii"
     assert one(spark, T.similarity(F.lit("Ána Bel"), F.lit("ana bel"))) == 1.0
     assert one(spark, T.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))) == 0.0
 
