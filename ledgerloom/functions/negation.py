@@ -7,7 +7,7 @@ they run within Spark's own functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.functions.relation_rules import STOP_FORMS
@@ -107,16 +107,14 @@ def last_tokens(before: Column, n: int) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(before, rf"((?: \|)*(?: (?!\|)\S+(?: \|)*){{0,{n}}} )$", 1), F.lit("")), F.lit(" "))
 
 
-def negation(before: Column, focus: Column) -> tuple[Column, Column]:
-    """(negated, kind) of what is said at the focus: before has the tokens that count in front of it.
+def negation(head: Column, flat: Column, marked: Column, focus: Column) -> Column:
+    """The kind of negation of what is said at the focus. head: the tokens that count in front of it; flat: these and all from
+    the focus on; marked: the same with @ at the focus; focus: from the focus on, with boundaries.
 
     In this order: the negation of an attitude (no cree que), an exceptive clause (sin que) that holds the focus or may, a
     negated cessation, two negations, not yet, a cessation, never, a simple one. SCOPE_AMBIGUOUS asks for a review and
     never negates; '' is no negation.
     """
-    head, tail = F.regexp_replace(before, r" \|(?= )", ""), F.regexp_replace(focus, r" \|(?= )", "")
-    flat = F.concat(F.rtrim(head), tail)
-    marked = F.concat(F.rtrim(head), F.lit(" @"), tail)
     attitude = marked.rlike(rf"^[^@]* {MARK} (?:@ )?{ATTITUDE} (?:@ )?{one_of(*CONNECTORS)} ")
     exceptive = has(head, "sin que")
     stop = one_of(*ADJUNCTS, *CONJUNCTIONS)
@@ -125,45 +123,54 @@ def negation(before: Column, focus: Column) -> tuple[Column, Column]:
     marks = F.regexp_count(head, F.lit(r"(?<= )(?:no(?! poc[oa]s )|nunca|jamas)(?= )"))
     undone = flat.rlike(rf"(?<= ){MARK} (?:\S+ ){{0,{CESSATION_WINDOW - 1}}}{CESSATION}(?= )")
     double = marks + F.regexp_count(flat, F.lit(f"(?<= ){LONE_CESSATION}(?= )")) >= 2
-    kind = first_that(
+    return first_that(
         (attitude, "SCOPE_AMBIGUOUS"), (exceptive & outside, "SCOPE_AMBIGUOUS"), (exceptive, "SIMPLE"), (undone, "SCOPE_AMBIGUOUS"), (double, "SCOPE_AMBIGUOUS"), (has(flat, one_of(*NOT_YET)), "NOT_YET"),
         (has(flat, CESSATION), "CESSATION"), (has(head, one_of(*NEVER)), "NEVER"), (marks > 0, "SIMPLE"), (has(head, "(?:ni|tampoco)"), "SIMPLE"), otherwise="",
     )
-    return (kind != "") & (kind != "SCOPE_AMBIGUOUS"), kind
 
 
-def attitude_denied(before: Column) -> Column:
-    """Whether an attitude is negated anywhere before the focus."""
-    return has(F.regexp_replace(before, r" \|(?= )", ""), f"{MARK} {ATTITUDE}")
+def readings(rows: DataFrame, sentence: str, focus_at: Column) -> DataFrame:
+    """rows with what their sentence says of the thing at focus_at (its place in the sentence from 0): negated, kind, hint
+    (ASSERTED, RUMORED, HYPOTHETICAL, INTENDED, UNKNOWN), factivity, action and context (sorted codes).
 
-
-def readings(sentence: Column, focus_at: Column) -> dict[str, Column]:
-    """What a sentence says of the thing at focus_at (its place in the sentence from 0): negated, kind, hint (ASSERTED,
-    RUMORED, HYPOTHETICAL, INTENDED, UNKNOWN), factivity, action and reasons (sorted codes)."""
-    raw_before, raw_focus = F.substring(sentence, F.lit(1), focus_at), F.substring(sentence, focus_at + 1, F.length(sentence))
-    before = plain(raw_before)
+    negated and kind look at WINDOW tokens in front of the focus, within its clause; the factivity, more careful, at all of
+    the sentence in front of it. Strings and flags are columns of their own, so none is made twice. A null sentence has
+    nulls and states nothing.
+    """
+    unbound = lambda c: F.regexp_replace(c, r" \|(?= )", "")
+    c = F.col
+    rows = rows.withColumns({"__raw": F.substring(sentence, F.lit(1), focus_at), "__rest": F.substring(sentence, focus_at + 1, F.length(sentence))})
+    rows = rows.withColumns({"__before": plain(c("__raw")), "__tail": plain(c("__rest"))})
     # A boundary right before the focus belongs to what follows it.
-    tail = F.when(before.endswith(" | "), F.concat(F.lit(" |"), plain(raw_focus))).otherwise(plain(raw_focus))
-    before = F.when(before.endswith(" | "), F.concat(F.rtrim(F.regexp_replace(before, r"(?: \|)+ $", "")), F.lit(" "))).otherwise(before)
-    every = F.regexp_replace(F.concat(F.rtrim(before), tail), r" \|(?= )", "")
-    negated, kind = negation(clause(last_tokens(before, WINDOW)), tail)
-    _, wide_kind = negation(before, tail)
-    reported = has(every, f"(?:{one_of(*[v for v in (*REPORTS, *inflected(REPORT_STEMS)) if v not in REPORT_HOMOGRAPHS])}|(?<! {one_of(*DETERMINERS)} ){one_of(*REPORT_HOMOGRAPHS)}) que")
-    if_ = F.lower(raw_before).rlike(r"(?<![\p{L}\p{M}\p{N}_])si(?![\p{L}\p{M}\p{N}_])")
+    bound = c("__before").endswith(" | ")
+    rows = rows.withColumns({
+        "__tail": F.when(bound, F.concat(F.lit(" |"), c("__tail"))).otherwise(c("__tail")),
+        "__before": F.when(bound, F.concat(F.rtrim(F.regexp_replace("__before", r"(?: \|)+ $", "")), F.lit(" "))).otherwise(c("__before")),
+    })
+    rows = rows.withColumns({"__wide": unbound(c("__before")), "__near": unbound(clause(last_tokens(c("__before"), WINDOW))), "__after": unbound(c("__tail"))})
+    both = lambda head, at="": F.concat(F.rtrim(c(head)), F.lit(at), c("__after"))
+    rows = rows.withColumns({"__every": both("__wide"), "__flat": both("__near"), "__at": both("__near", " @"), "__at_wide": both("__wide", " @")})
+    rows = rows.withColumns({"kind": negation(c("__near"), c("__flat"), c("__at"), c("__tail")), "__kind": negation(c("__wide"), c("__every"), c("__at_wide"), c("__tail"))})
+    every, sure = c("__every"), lambda k: (c(k) != "") & (c(k) != "SCOPE_AMBIGUOUS")
+    verbs = one_of(*[v for v in (*REPORTS, *inflected(REPORT_STEMS)) if v not in REPORT_HOMOGRAPHS])
     frames = {code: has(every, one_of(*phrases)) for code, phrases in FRAMES.items()}
+    if_ = F.lower("__raw").rlike(r"(?<![\p{L}\p{M}\p{N}_])si(?![\p{L}\p{M}\p{N}_])")
     frames["CONDITIONAL_CONTEXT"] = frames["CONDITIONAL_CONTEXT"] | has(every, WHILE_NOT) | if_
-    frames["INTERROGATIVE_CONTEXT"] = frames["INTERROGATIVE_CONTEXT"] | sentence.rlike("[¿?]")
-    frames["REVIEW_NEGATION_SCOPE"] = (wide_kind == "SCOPE_AMBIGUOUS") | (kind == "SCOPE_AMBIGUOUS") | attitude_denied(before)
-    frames["REPORTED_SPEECH_CONTEXT"] = reported
-    said = first_that(*[(has(every, one_of(*phrases)), hint) for hint, phrases in HINTS], (has(every, one_of(*RUMOR_PATTERNS)), "RUMORED"), (reported, "RUMORED"), (frames["CONDITIONAL_CONTEXT"], "HYPOTHETICAL"), otherwise="ASSERTED")
-    unstated = frames["FALSITY_CONTEXT"] | frames["INTERROGATIVE_CONTEXT"] | frames["FICTION_WITHIN_FICTION_CONTEXT"] | ((frames["DEONTIC_CONTEXT"] | frames["DESIRE_CONTEXT"]) & (said == "ASSERTED"))
-    hint = F.when(unstated, "UNKNOWN").otherwise(said)
-    factivity = first_that(
-        (frames["REVIEW_NEGATION_SCOPE"], "UNKNOWN"), (frames["INTERROGATIVE_CONTEXT"], "QUESTION"), (frames["COUNTERFACTUAL_CONTEXT"], "COUNTERFACTUAL"), (frames["FALSITY_CONTEXT"], "REPORTED_FALSEHOOD"),
-        (frames["FICTION_WITHIN_FICTION_CONTEXT"], "FICTION_WITHIN_FICTION"), (frames["DESIRE_CONTEXT"], "DESIRE"), (frames["DEONTIC_CONTEXT"], "COMMAND"), (frames["CONDITIONAL_CONTEXT"], "CONDITIONAL"),
-        (hint == "HYPOTHETICAL", "HYPOTHETICAL"), (hint == "RUMORED", "RUMOR"), (negated, "NEGATED_FACT"), otherwise="ASSERTED_FACT",
-    )
-    action = first_that(
-        (factivity == "UNKNOWN", "REVIEW_SCOPE"), (factivity == "RUMOR", "EMIT_EPISTEMIC_PROPOSAL"), (factivity == "NEGATED_FACT", "EMIT_NEGATED_WORLD_CLAIM"), (factivity == "ASSERTED_FACT", "EMIT_WORLD_CLAIM"), otherwise="EMIT_DIAGNOSTIC",
-    )
-    return {"negated": negated, "kind": kind, "hint": hint, "factivity": factivity, "action": action, "reasons": codes(*[(c, code) for code, c in frames.items()])}
+    frames["INTERROGATIVE_CONTEXT"] = frames["INTERROGATIVE_CONTEXT"] | c(sentence).rlike("[¿?]")
+    frames["REVIEW_NEGATION_SCOPE"] = (c("__kind") == "SCOPE_AMBIGUOUS") | (c("kind") == "SCOPE_AMBIGUOUS") | has(c("__wide"), f"{MARK} {ATTITUDE}")
+    frames["REPORTED_SPEECH_CONTEXT"] = has(every, f"(?:{verbs}|(?<! {one_of(*DETERMINERS)} ){one_of(*REPORT_HOMOGRAPHS)}) que")
+    rows = rows.withColumns({f"__{code}": F.coalesce(found, F.lit(False)) for code, found in frames.items()})
+    is_ = {code: c(f"__{code}") for code in frames}
+    said = first_that(*[(has(every, one_of(*phrases)), hint) for hint, phrases in HINTS], (has(every, one_of(*RUMOR_PATTERNS)), "RUMORED"), (is_["REPORTED_SPEECH_CONTEXT"], "RUMORED"), (is_["CONDITIONAL_CONTEXT"], "HYPOTHETICAL"), otherwise="ASSERTED")
+    rows = rows.withColumn("__said", said)
+    unstated = is_["FALSITY_CONTEXT"] | is_["INTERROGATIVE_CONTEXT"] | is_["FICTION_WITHIN_FICTION_CONTEXT"] | ((is_["DEONTIC_CONTEXT"] | is_["DESIRE_CONTEXT"]) & (c("__said") == "ASSERTED"))
+    rows = rows.withColumns({"negated": sure("kind"), "hint": F.when(unstated, "UNKNOWN").otherwise(c("__said"))})
+    rows = rows.withColumn("factivity", first_that(
+        (is_["REVIEW_NEGATION_SCOPE"], "UNKNOWN"), (is_["INTERROGATIVE_CONTEXT"], "QUESTION"), (is_["COUNTERFACTUAL_CONTEXT"], "COUNTERFACTUAL"), (is_["FALSITY_CONTEXT"], "REPORTED_FALSEHOOD"),
+        (is_["FICTION_WITHIN_FICTION_CONTEXT"], "FICTION_WITHIN_FICTION"), (is_["DESIRE_CONTEXT"], "DESIRE"), (is_["DEONTIC_CONTEXT"], "COMMAND"), (is_["CONDITIONAL_CONTEXT"], "CONDITIONAL"),
+        (c("hint") == "HYPOTHETICAL", "HYPOTHETICAL"), (c("hint") == "RUMORED", "RUMOR"), (sure("__kind"), "NEGATED_FACT"), otherwise="ASSERTED_FACT",
+    ))
+    f = c("factivity")
+    action = first_that((f == "UNKNOWN", "REVIEW_SCOPE"), (f == "RUMOR", "EMIT_EPISTEMIC_PROPOSAL"), (f == "NEGATED_FACT", "EMIT_NEGATED_WORLD_CLAIM"), (f == "ASSERTED_FACT", "EMIT_WORLD_CLAIM"), otherwise="EMIT_DIAGNOSTIC")
+    rows = rows.withColumns({"action": action, "context": codes(*[(found, code) for code, found in is_.items()])})
+    return rows.drop(*[x for x in rows.columns if x.startswith("__") and x != sentence])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ledgerloom.functions.negation import readings
 from ledgerloom.functions.scores import codes
 from ledgerloom.session import staged
 
@@ -34,7 +36,7 @@ HITS = (
 COORDINATION = ("y", "e", "o", "u", "ni", "y tambien", "o tambien", "asi como", "ni siquiera", "junto a", "junto con", "ademas de", "al igual que", "tanto como", "o a", "o de", "y a")
 MODIFIERS = ("de", "del", "por", "para", "segun", "sobre")
 COORDINATION_WINDOW, ARGUMENT_GAP, TITLE_NAMES, TITLE_CONFIDENCE = 4, 2, 3, 0.6
-ALIAS_FACTOR, RULE_BASE, MOST_CONFIDENCE, REVIEW_BELOW = 0.85, 0.9, 0.9, 0.6
+ALIAS_FACTOR, RULE_BASE, MOST_CONFIDENCE, REVIEW_BELOW, UNSURE_FACTOR = 0.85, 0.9, 0.9, 0.6, 0.8
 
 
 def normal(token: str) -> str:
@@ -48,7 +50,7 @@ class Tokens:
 
     def __init__(self, text: str, norms: dict[str, str]):
         self.words, self.norms, self.starts, self.ends, self.sentences, self.weak = [], [], [], [], [], []
-        sentence = 0
+        self.text, self.breaks, sentence = text, [(0, 0)], 0  # where each sentence's text starts, and the mark before it
         for m in PIECE.finditer(text):
             if m.lastindex == 1:
                 word = m.group()
@@ -61,10 +63,17 @@ class Tokens:
                 self.sentences.append(sentence)
             elif m.lastindex == 2:
                 sentence += 1
+                self.breaks.append((m.end(), m.start()))
             else:
                 self.weak.append((len(self.words), sentence, m.start()))
 
 
+    def sentence(self, k: int) -> tuple[int, str]:
+        """Where the sentence starts, and its text without the mark that ends it."""
+        start = self.breaks[k][0]
+        return start, self.text[start : self.breaks[k + 1][1] if k + 1 < len(self.breaks) else None]
+
+
 def phrase(surface: str) -> list[str]:
     return [n for n in map(normal, re.findall(r"\w+", surface)) if n]
 
@@ -140,6 +149,11 @@ def text_rows(text_id: int | None, copy: int, tokens: Tokens, found: list[tuple]
     for first, last, (kind, entry, type_, confidence, canonical, _) in dict.fromkeys([*mentions_of(tokens, found), *rules, *marks]):
         before = tokens.norms[first - 1] if first and (kind != "entity" or tokens.sentences[first - 1] == tokens.sentences[first]) else None
         rows.append((text_id, copy, kind, entry, type_, confidence, canonical, tokens.starts[first], tokens.ends[last], first, last, tokens.sentences[first], tokens.sentences[last], before))
+    named = Counter(r[11] for r in rows if r[2] == "entity")
+    for s in sentences:
+        if named[s] > 1:
+            start, said = tokens.sentence(s)
+            rows.append((text_id, copy, "sentence", said, None, None, None, start, start + len(said), None, None, s, s, None))
     rows += [(text_id, copy, "punctuation", None, None, None, None, at, at + 1, i, i - 1, s, s, None) for i, s, at in tokens.weak if s in sentences]
     return rows
 
@@ -161,6 +175,8 @@ def phrase_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     surface without tokens and a null text have no hits; repeated rows have hits of their own (copy tells them apart). Places count code points
     from 0, ends are exclusive; tokens count from 0, last is inclusive; before is the token in front.
 
+    The text of each sentence with a rule's phrase and two mentions is a hit of the kind sentence.
+
     A lexicon of up to TRIE_MOST rows goes to all tasks; a larger one is joined by the texts' runs of tokens.
     """
     schema = to_arrow_schema(StructType.fromDDL(HITS))
@@ -242,7 +258,7 @@ def rule_claims(hits: DataFrame, rules: DataFrame) -> DataFrame:
     claim, if so.
 
     rules (a configuration table: rule_id, predicate, direction, confidence, symmetric, subject_types, object_types,
-    blocked_before; null arrays allow all) is broadcast. Returns text_id, rule_id, predicate, direction, start, end, the
+    blocked_before; null arrays allow all) is broadcast. Returns text_id, copy, sentence, rule_id, predicate, direction, start, end, the
     subject's and object's entry and places, reasons (sorted; empty: a claim), confidence and review (null without a
     claim). Phrases without a mention on either side, or behind a blocking word, give no row.
     """
@@ -273,7 +289,7 @@ def rule_claims(hits: DataFrame, rules: DataFrame) -> DataFrame:
         "weak_before": F.max(of("punctuation", F.col("first"))).over(before), "weak_after": F.min(of("punctuation", F.col("first"))).over(after),
     }
     rows = rows.withColumns(sight).filter("kind = 'rule' AND s IS NOT NULL AND o IS NOT NULL")
-    rows = rows.select("text_id", F.col("entry").alias("rule_id"), "start", "end", "first", "last", F.col("before").alias("word_before"), *sight).join(F.broadcast(rules.drop("phrases")), "rule_id")
+    rows = rows.select("text_id", "copy", "sentence", F.col("entry").alias("rule_id"), "start", "end", "first", "last", F.col("before").alias("word_before"), *sight).join(F.broadcast(rules.drop("phrases")), "rule_id")
     rows = rows.filter(~F.coalesce(F.array_contains("blocked_before", F.col("word_before")), F.lit(False)))
     yes = lambda c: F.coalesce(c, F.lit(False))
     other = lambda types, t: yes(F.col(t).isNotNull() & (F.size(types) > 0) & ~F.array_contains(types, F.col(t)))
@@ -291,7 +307,22 @@ def rule_claims(hits: DataFrame, rules: DataFrame) -> DataFrame:
     sure = F.least(F.lit(MOST_CONFIDENCE), F.greatest(F.lit(0.0), F.round(F.col("confidence") * F.least("s.confidence", "o.confidence") / RULE_BASE, 4)))
     claimed = F.size("reasons") == 0
     return rows.select(
-        "text_id", "rule_id", "predicate", "direction", "start", "end", F.col("s.entry").alias("subject"), F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"),
+        "text_id", "copy", "sentence", "rule_id", "predicate", "direction", "start", "end", F.col("s.entry").alias("subject"), F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"),
         F.col("o.entry").alias("object"), F.col("o.start").alias("o_start"), F.col("o.end").alias("o_end"), "reasons",
         F.when(claimed, sure).alias("confidence"), F.when(claimed, sure < REVIEW_BELOW).alias("review"),
     )
+
+
+def in_context(claims: DataFrame, hits: DataFrame) -> DataFrame:
+    """claims (of rule_claims) without reasons, with what their sentence says of them: negated, kind, hint, factivity, action
+    and context (codes), and confidence and review as these change them.
+
+    A claim that passed rule_claims has one mention before it in its sentence, so a sentence's text joins few claims.
+    """
+    said = hits.filter("kind = 'sentence'").select("text_id", "copy", "sentence", F.col("entry").alias("said_in"), F.col("start").alias("said_from"))
+    rows = claims.filter(F.size("reasons") == 0).join(said, ["text_id", "copy", "sentence"])
+    rows = readings(rows, "said_in", F.col("start") - F.col("said_from"))
+    unsure = F.col("hint") != "ASSERTED"
+    sure = F.when(unsure, F.round(F.col("confidence") * UNSURE_FACTOR, 4)).otherwise(F.col("confidence"))
+    rows = rows.withColumn("confidence", sure).withColumn("review", F.col("negated") | unsure | (F.col("confidence") < REVIEW_BELOW))
+    return rows.drop("said_in", "said_from", "reasons")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.negation import readings
 from ledgerloom.operators import lexicon
 from ledgerloom.sources.tables import table
 
@@ -109,4 +110,31 @@ SELECT doc_id, rule_id, p.predicate AS predicate, p.direction AS direction, p.st
   array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN sure END AS confidence, CASE WHEN len(reasons) = 0 THEN sure < 0.6 END AS review FROM r""")
 def rule_claims(spark, sf):
     found = lexicon.rule_claims(hits(spark, sf), rules(spark))
-    return found.withColumnsRenamed({"text_id": "doc_id", "end": "stop"}).withColumn("reasons", F.array_join("reasons", ","))
+    return found.drop("copy", "sentence").withColumnsRenamed({"text_id": "doc_id", "end": "stop"}).withColumn("reasons", F.array_join("reasons", ","))
+
+
+# ---- what sentences say of a thing
+
+# Templates of sentences around a thing's name, and how each is to be read: negated, kind, hint, factivity, action.
+SENTENCES = [
+    ("{} lidera la orden", False, "", "ASSERTED", "ASSERTED_FACT", "EMIT_WORLD_CLAIM"), ("{} no lidera la orden", True, "SIMPLE", "ASSERTED", "NEGATED_FACT", "EMIT_NEGATED_WORLD_CLAIM"),
+    ("{} nunca lidera la orden", True, "NEVER", "ASSERTED", "NEGATED_FACT", "EMIT_NEGATED_WORLD_CLAIM"), ("{} ya no lidera la orden", True, "CESSATION", "ASSERTED", "NEGATED_FACT", "EMIT_NEGATED_WORLD_CLAIM"),
+    ("{} todavía no lidera la orden", True, "NOT_YET", "ASSERTED", "NEGATED_FACT", "EMIT_NEGATED_WORLD_CLAIM"), ("{} no cree que lidera la orden", False, "SCOPE_AMBIGUOUS", "ASSERTED", "UNKNOWN", "REVIEW_SCOPE"),
+    ("{} no llega, pero lidera la orden", False, "", "ASSERTED", "NEGATED_FACT", "EMIT_NEGATED_WORLD_CLAIM"), ("Se dice que {} lidera la orden", False, "", "RUMORED", "RUMOR", "EMIT_EPISTEMIC_PROPOSAL"),
+    ("Si {} lidera la orden, bien", False, "", "HYPOTHETICAL", "CONDITIONAL", "EMIT_DIAGNOSTIC"), ("¿{} lidera la orden", False, "", "UNKNOWN", "QUESTION", "EMIT_DIAGNOSTIC"),
+    ("Es falso que {} lidera la orden", False, "", "UNKNOWN", "REPORTED_FALSEHOOD", "EMIT_DIAGNOSTIC"), ("En la farsa {} lidera la orden", False, "", "UNKNOWN", "FICTION_WITHIN_FICTION", "EMIT_DIAGNOSTIC"),
+    ("Ojalá {} lidera la orden", False, "", "UNKNOWN", "DESIRE", "EMIT_DIAGNOSTIC"), ("{} vino sin que nadie lidera la orden", True, "SIMPLE", "ASSERTED", "NEGATED_FACT", "EMIT_NEGATED_WORLD_CLAIM"),
+    ("El heraldo dijo que {} lidera la orden", False, "", "RUMORED", "RUMOR", "EMIT_EPISTEMIC_PROPOSAL"), ("La cuenta que {} lidera la orden", False, "", "ASSERTED", "ASSERTED_FACT", "EMIT_WORLD_CLAIM"),
+    ("Quizás {} lidera la orden", False, "", "HYPOTHETICAL", "HYPOTHETICAL", "EMIT_DIAGNOSTIC"), ("{} lidera la orden y no abandona el puesto", False, "SCOPE_AMBIGUOUS", "ASSERTED", "UNKNOWN", "REVIEW_SCOPE"),
+    ("De haber ido, {} lidera la orden", False, "", "HYPOTHETICAL", "COUNTERFACTUAL", "EMIT_DIAGNOSTIC"), ("{} no pocas veces lidera la orden", False, "", "ASSERTED", "ASSERTED_FACT", "EMIT_WORLD_CLAIM"),
+    ("{} ha dejado de fumar y lidera la orden", False, "", "ASSERTED", "ASSERTED_FACT", "EMIT_WORLD_CLAIM"), ("{} tampoco lidera la orden", True, "SIMPLE", "ASSERTED", "NEGATED_FACT", "EMIT_NEGATED_WORLD_CLAIM"),
+]
+
+
+@query("sentence_readings", "WITH t(k, negated, kind, hint, factivity, action) AS (VALUES " + ", ".join(f"({k}, {str(n).upper()}, '{a}', '{b}', '{c}', '{d}')" for k, (_, n, a, b, c, d) in enumerate(SENTENCES)) + f""")
+SELECT p_partkey, negated, kind, hint, factivity, action FROM part JOIN t ON t.k = p_partkey % {len(SENTENCES)}""")
+def sentence_readings(spark, sf):
+    name = F.concat(F.lit("el señor "), F.col("p_brand"))
+    said = F.element_at(F.array(*[F.replace(F.lit(s[0]), F.lit("{}"), name) for s in SENTENCES]), (F.col("p_partkey") % len(SENTENCES) + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", said.alias("said"))
+    return readings(rows, "said", F.instr("said", "lidera") - 1).select("p_partkey", "negated", "kind", "hint", "factivity", "action")

@@ -1,6 +1,7 @@
 """Mentions and rule claims: the reading of sentences, overlaps, titles, repeated and odd rows, both ways to find phrases."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.functions.relation_rules import RULES, default_rules
 from ledgerloom.operators import lexicon
@@ -65,3 +66,26 @@ def test_odd_rows_and_both_ways(spark, entries, monkeypatch):
 def test_rules_are_made_from_paradigms():
     phrases = {p for r in RULES for p in r[4]}
     assert {"esta aun dirigida por", "habian dejado de presidir", "renuncio a la jefatura de"} <= phrases
+
+
+def test_sentences_decide_what_becomes_of_claims(spark, entries):
+    said = [
+        "Kael vive en Valdor", "Kael no vive en Valdor", "Kael ya no vive en Valdor", "Se dice que Kael vive en Valdor.", "El magistrado no cree que Kael vive en Valdor", "Si Kael vive en Valdor", "Sí, Kael vive en Valdor",
+        "¿Kael vive en Valdor?", "Nadie cree que Kael vive en Valdor", "Kael dejó de servir a la Orden", "Kael no dejó de servir a la Orden", "Es prohibido. Kael vive en Valdor",
+    ]
+    hits = lexicon.phrase_hits(texts(spark, *said), entries)
+    rules = default_rules(spark)
+    got = {r.text_id: r for r in lexicon.in_context(lexicon.rule_claims(hits, rules), hits).collect()}
+    read = {k: (r.negated, r.kind, r.hint, r.action, r.review) for k, r in got.items()}
+    assert read[0] == (False, "", "ASSERTED", "EMIT_WORLD_CLAIM", False) and read[1] == (True, "SIMPLE", "ASSERTED", "EMIT_NEGATED_WORLD_CLAIM", True)
+    assert read[2][1] == "CESSATION" and read[3][2:] == ("RUMORED", "EMIT_EPISTEMIC_PROPOSAL", True) and got[3].confidence == pytest.approx(0.8 * got[0].confidence, abs=1e-3)
+    assert read[4][3] == "REVIEW_SCOPE" and read[5][3] == "EMIT_DIAGNOSTIC" and read[6][3] == "EMIT_WORLD_CLAIM" and read[7][3] == "EMIT_DIAGNOSTIC" and "FALSITY_CONTEXT" in got[8].context
+    assert read[9][1] == "CESSATION" and read[10][1] == "SCOPE_AMBIGUOUS" and read[11][3] == "EMIT_WORLD_CLAIM"
+
+
+def test_readings_of_nothing(spark):
+    from ledgerloom.functions.negation import readings
+
+    rows = spark.createDataFrame([(None, 0), ("", 0), ("vive", 0)], "s string, at int")
+    got = [(r.negated, r.hint) for r in readings(rows, "s", F.col("at")).collect()]
+    assert got == [(False, "ASSERTED")] * 3
