@@ -9,29 +9,36 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.scores import codes, first_that, ratio
 
-# What undoes an operation.
-INVERSE = {"CREATE_ASSERTION": "RETRACT_ASSERTION", "SUPERSEDE_ASSERTION": "REOPEN_ASSERTION", "PROJECT_RELATION": "REMOVE_RELATION"}
+# What an operation writes, what undoes that, and the properties that a supersession changes.
+WRITES = {"CREATE_ASSERTION": "NODE", "SUPERSEDE_ASSERTION": "PROPERTIES", "PROJECT_RELATION": "RELATIONSHIP"}
+UNDOES = {"NODE": "DELETE_NODE", "RELATIONSHIP": "DELETE_RELATIONSHIP", "PROPERTIES": "RESTORE_PROPERTIES"}
+SUPERSEDED = ("superseded_by", "status", "valid_to", "reason_code")
 
 
 def planned(decisions: DataFrame) -> DataFrame:
-    """plan_id, place, op, claim_id, canonical_key, a, b and op_key of accepted decisions.
+    """plan_id, place, op, claim_id, canonical_key, predicate, a, b, negated and op_key of accepted decisions.
 
-    decisions: plan_id, claim_id, canonical_key, a, b, action (ACCEPT, or another, which gives nothing), supersedes (a
-    claim or null) and negated (null: false). A claim creates its assertion, before that supersedes the old one, and
-    projects its relation unless it is negated. op_key, a digest, is the same whenever the plan is made again.
+    decisions: plan_id, claim_id, a, predicate and b (the claim in its canonical orientation), action (ACCEPT, or another,
+    which gives nothing), supersedes (a claim or null) and negated (null: false). A claim creates its assertion, then
+    supersedes the old one, then projects its relation unless it is negated. canonical_key joins a, predicate and b.
+    op_key, a digest, is the same whenever the plan is made again.
     """
-    ops = F.array(F.when(F.col("supersedes").isNotNull(), F.lit("SUPERSEDE_ASSERTION")), F.lit("CREATE_ASSERTION"), F.when(~F.coalesce("negated", F.lit(False)), F.lit("PROJECT_RELATION")))
-    rows = decisions.filter("action = 'ACCEPT'").select("plan_id", "claim_id", "canonical_key", "a", "b", F.posexplode(ops).alias("place", "op")).filter("op IS NOT NULL")
+    no = F.coalesce("negated", F.lit(False))
+    ops = F.array(F.lit("CREATE_ASSERTION"), F.when(F.col("supersedes").isNotNull(), F.lit("SUPERSEDE_ASSERTION")), F.when(~no, F.lit("PROJECT_RELATION")))
+    key = F.concat_ws("|", "a", "predicate", "b").alias("canonical_key")
+    rows = decisions.filter("action = 'ACCEPT'").select("plan_id", "claim_id", key, "predicate", "a", "b", no.alias("negated"), F.posexplode(ops).alias("place", "op")).filter("op IS NOT NULL")
     return rows.withColumn("op_key", F.sha2(F.concat_ws("|", "plan_id", "claim_id", "place", "op", "canonical_key"), 256))
 
 
 def inconsistent(ops: DataFrame) -> DataFrame:
-    """plan_id, twice and opposed of plans that create a canonical key twice, or project a relation in both orientations.
+    """plan_id, twice and opposed of plans that create an assertion of the same canonical key twice, negated or not, or
+    assertions of the same pair and predicate in both orientations.
 
-    Keys are counted and orientations compared by the unordered pair, so no two operations meet.
+    Keys are counted and orientations compared by the unordered pair and the predicate, so no two operations meet.
     """
-    twice = ops.filter("op = 'CREATE_ASSERTION'").groupBy("plan_id", "canonical_key").agg((F.count("*") > 1).alias("twice")).select("plan_id", "twice", F.lit(False).alias("opposed"))
-    ends = ops.filter("op = 'PROJECT_RELATION' AND a <> b").groupBy("plan_id", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    made = ops.filter("op = 'CREATE_ASSERTION'")
+    twice = made.groupBy("plan_id", "canonical_key").agg((F.count("*") > 1).alias("twice")).select("plan_id", "twice", F.lit(False).alias("opposed"))
+    ends = made.filter("a <> b").groupBy("plan_id", "predicate", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     opposed = ends.agg((F.bool_or(F.col("a") < F.col("b")) & F.bool_or(F.col("a") > F.col("b"))).alias("opposed")).select("plan_id", F.lit(False).alias("twice"), "opposed")
     found = twice.union(opposed).groupBy("plan_id").agg(F.bool_or("twice").alias("twice"), F.bool_or("opposed").alias("opposed"))
     return found.filter("twice OR opposed")
@@ -53,10 +60,23 @@ def simulated(ops: DataFrame, applied: DataFrame, bad_plans: DataFrame) -> DataF
 
 
 def rollback(applied: DataFrame) -> DataFrame:
-    """plan_id, step, op and claim_id that undo the applied operations (plan_id, place, op, claim_id), last ones first."""
-    inverse = first_that(*[(F.col("op") == k, v) for k, v in INVERSE.items()], otherwise=None)
-    step = F.row_number().over(Window.partitionBy("plan_id").orderBy(F.col("claim_id").desc(), F.col("place").desc()))
-    return applied.select("plan_id", step.alias("step"), inverse.alias("op"), "claim_id")
+    """plan_id, step, action, target, restore (previous values) and lost (changed properties whose previous value was not
+    read) that undo what was written, the last first: edges go before the nodes that they join.
+
+    applied: plan_id, written_at (the order of writing), kind (NODE, RELATIONSHIP, PROPERTIES; others wrote nothing),
+    created (the node or edge made), target (what was changed), changed (names of properties), previous (map of the values
+    read before; null: none).
+    """
+    rows = applied.filter(F.col("kind").isin(*UNDOES))
+    step = F.row_number().over(Window.partitionBy("plan_id").orderBy(F.col("written_at").desc()))
+    action = first_that(*[(F.col("kind") == k, v) for k, v in UNDOES.items()], otherwise=None)
+    set_ = F.col("kind") == "PROPERTIES"
+    none = F.array().cast("array<string>")
+    read = F.coalesce(F.map_keys("previous"), none)
+    return rows.select(
+        "plan_id", step.alias("step"), action.alias("action"), F.when(F.col("kind") == "RELATIONSHIP", F.col("created")).otherwise(F.col("target")).alias("target"),
+        F.when(set_, F.col("previous")).alias("restore"), F.when(set_, F.array_sort(F.array_except(F.coalesce("changed", none), read))).otherwise(none).alias("lost"),
+    )
 
 
 def endpoints(relations: DataFrame, nodes: DataFrame) -> DataFrame:

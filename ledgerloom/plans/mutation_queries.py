@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ledgerloom.functions.scores import first_that
 from ledgerloom.operators import mutation
@@ -26,15 +26,16 @@ def query(name, sql=None):
 def decisions(spark, sf):
     claim = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("plan_id"), claim.alias("claim_id"), F.concat_ws("|", F.col("l_suppkey") % 12, F.col("l_partkey") % 9).alias("canonical_key"), (F.col("l_suppkey") % 6).alias("a"), (F.col("l_partkey") % 6).alias("b"),
+        F.col("l_orderkey").alias("plan_id"), claim.alias("claim_id"), (F.col("l_suppkey") % 4).alias("a"), F.concat(F.lit("P"), F.col("l_linenumber") % 2).alias("predicate"), (F.col("l_partkey") % 4).alias("b"),
         F.when(F.col("l_quantity") > 10, "ACCEPT").otherwise("REVIEW").alias("action"), F.when(F.col("l_linestatus") == "F", claim - 1).alias("supersedes"), (F.col("l_returnflag") == "R").alias("negated"),
     )
 
 
-OPS = """d AS (SELECT l_orderkey AS plan_id, l_orderkey * 10 + l_linenumber AS claim_id, (l_suppkey % 12) || '|' || (l_partkey % 9) AS canonical_key, l_suppkey % 6 AS a, l_partkey % 6 AS b, l_linestatus, l_returnflag FROM lineitem WHERE l_quantity > 10),
-o AS (SELECT *, sha256(concat_ws('|', plan_id, claim_id, place, op, canonical_key)) AS op_key FROM (SELECT *, 0 AS place, 'SUPERSEDE_ASSERTION' AS op FROM d WHERE l_linestatus = 'F' UNION ALL SELECT *, 1, 'CREATE_ASSERTION' FROM d UNION ALL SELECT *, 2, 'PROJECT_RELATION' FROM d WHERE l_returnflag <> 'R'))"""
-BAD = """k AS (SELECT DISTINCT plan_id, TRUE AS twice FROM (SELECT plan_id FROM o WHERE op = 'CREATE_ASSERTION' GROUP BY plan_id, canonical_key HAVING count(*) > 1)),
-x AS (SELECT DISTINCT p.plan_id, TRUE AS opposed FROM o p JOIN o q ON p.plan_id = q.plan_id AND p.a = q.b AND p.b = q.a AND p.a < p.b WHERE p.op = 'PROJECT_RELATION' AND q.op = 'PROJECT_RELATION'),
+# Written from the rules: create, supersede, project; assertions of a pair and predicate may not be repeated nor turned round.
+OPS = """d AS (SELECT l_orderkey AS plan_id, l_orderkey * 10 + l_linenumber AS claim_id, l_suppkey % 4 AS a, 'P' || l_linenumber % 2 AS predicate, l_partkey % 4 AS b, (l_suppkey % 4) || '|P' || (l_linenumber % 2) || '|' || (l_partkey % 4) AS canonical_key, l_linestatus, l_returnflag FROM lineitem WHERE l_quantity > 10),
+o AS (SELECT *, sha256(concat_ws('|', plan_id, claim_id, place, op, canonical_key)) AS op_key FROM (SELECT *, 0 AS place, 'CREATE_ASSERTION' AS op FROM d UNION ALL SELECT *, 1, 'SUPERSEDE_ASSERTION' FROM d WHERE l_linestatus = 'F' UNION ALL SELECT *, 2, 'PROJECT_RELATION' FROM d WHERE l_returnflag <> 'R'))"""
+BAD = """k AS (SELECT DISTINCT plan_id, TRUE AS twice FROM (SELECT plan_id FROM d GROUP BY plan_id, canonical_key HAVING count(*) > 1)),
+x AS (SELECT DISTINCT p.plan_id, TRUE AS opposed FROM d p JOIN d q ON p.plan_id = q.plan_id AND p.predicate = q.predicate AND p.a = q.b AND p.b = q.a AND p.a < p.b),
 bad AS (SELECT plan_id, coalesce(twice, FALSE) AS twice, coalesce(opposed, FALSE) AS opposed FROM k FULL JOIN x USING (plan_id))"""
 
 
@@ -59,9 +60,23 @@ def plan_simulation(spark, sf):
     return mutation.simulated(sent, ops.join(filled, "plan_id", "left_semi"), mutation.inconsistent(ops)).groupBy("op", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("plan_rollback", f"""WITH {OPS} SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY claim_id DESC, place DESC) AS step, CASE op WHEN 'CREATE_ASSERTION' THEN 'RETRACT_ASSERTION' WHEN 'SUPERSEDE_ASSERTION' THEN 'REOPEN_ASSERTION' ELSE 'REMOVE_RELATION' END AS op, claim_id FROM o""")
+@query("plan_rollback", f"""WITH {OPS}, w AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY claim_id, canonical_key, place, op_key) AS written FROM (SELECT DISTINCT plan_id, claim_id, canonical_key, place, op, op_key FROM o))
+SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY written DESC) AS step, CASE op WHEN 'CREATE_ASSERTION' THEN 'DELETE_NODE' WHEN 'SUPERSEDE_ASSERTION' THEN 'RESTORE_PROPERTIES' ELSE 'DELETE_RELATIONSHIP' END AS action,
+  CASE op WHEN 'PROJECT_RELATION' THEN 'edge-' || claim_id WHEN 'CREATE_ASSERTION' THEN 'new-' || claim_id ELSE 'old-' || (claim_id - 1) END AS target, CASE WHEN op = 'SUPERSEDE_ASSERTION' THEN 'status=ACTIVE' ELSE '' END AS restore,
+  CASE WHEN op = 'SUPERSEDE_ASSERTION' THEN 'reason_code,superseded_by,valid_to' ELSE '' END AS lost FROM w""")
 def plan_rollback(spark, sf):
-    return mutation.rollback(mutation.planned(decisions(spark, sf)))
+    """Before a supersession only the status was read, so its other properties are lost."""
+    ops = mutation.planned(decisions(spark, sf)).dropDuplicates(["op_key"])
+    supersedes = F.col("op") == "SUPERSEDE_ASSERTION"
+    kinds = first_that(*[(F.col("op") == op, kind) for op, kind in mutation.WRITES.items()], otherwise=None)
+    order = Window.partitionBy("plan_id").orderBy("claim_id", "canonical_key", "place", "op_key")
+    target = F.when(supersedes, F.concat(F.lit("old-"), F.col("claim_id") - 1)).otherwise(F.concat(F.lit("new-"), "claim_id"))
+    applied = ops.select(
+        "plan_id", F.row_number().over(order).alias("written_at"), kinds.alias("kind"), F.concat(F.lit("edge-"), "claim_id").alias("created"), target.alias("target"),
+        F.when(supersedes, F.array(*map(F.lit, mutation.SUPERSEDED))).alias("changed"), F.when(supersedes, F.create_map(F.lit("status"), F.lit("ACTIVE"))).alias("previous"),
+    )
+    restore = F.array_join(F.transform(F.map_entries(F.coalesce("restore", F.create_map().cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return mutation.rollback(applied).select("plan_id", F.col("step").cast("long"), "action", "target", restore.alias("restore"), F.array_join("lost", ",").alias("lost"))
 
 
 @query("plan_admission", """WITH c AS (SELECT o_orderkey AS plan_id, o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' AS approved, o_orderstatus <> 'F' AS fresh, CASE WHEN o_totalprice > 100000 THEN o_custkey % 3 > 0 END AS signed, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS scoped FROM orders)

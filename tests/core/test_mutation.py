@@ -9,25 +9,37 @@ def values(frame, *columns):
     return sorted(tuple(r[c] for c in columns) for r in frame.collect())
 
 
-DECISION = "plan_id long, claim_id long, canonical_key string, a long, b long, action string, supersedes long, negated boolean"
+DECISION = "plan_id long, claim_id long, a string, predicate string, b string, action string, supersedes long, negated boolean"
 
 
 def test_plans(spark):
-    rows = [(1, 1, "k", 1, 2, "ACCEPT", None, None), (1, 2, "k", 2, 1, "ACCEPT", 9, False), (2, 3, "k", 1, 2, "ACCEPT", None, True), (2, 4, "j", 3, 3, "REVIEW", None, False), (3, 5, "m", 4, 4, "ACCEPT", None, False)]
-    ops = mutation.planned(spark.createDataFrame(rows, DECISION))
-    assert values(ops, "claim_id", "op") == [
-        (1, "CREATE_ASSERTION"), (1, "PROJECT_RELATION"), (2, "CREATE_ASSERTION"), (2, "PROJECT_RELATION"), (2, "SUPERSEDE_ASSERTION"), (3, "CREATE_ASSERTION"), (5, "CREATE_ASSERTION"), (5, "PROJECT_RELATION")
+    rows = [
+        (1, 1, "A", "OWNS", "B", "ACCEPT", None, None), (1, 2, "B", "OWNS", "A", "ACCEPT", 9, True), (2, 3, "A", "OWNS", "B", "ACCEPT", None, True), (2, 4, "A", "OWNS", "B", "REVIEW", None, False),
+        (3, 5, "A", "OWNS", "B", "ACCEPT", None, False), (3, 6, "B", "LIKES", "A", "ACCEPT", None, False), (4, 7, "A", "OWNS", "B", "ACCEPT", None, False), (4, 8, "A", "OWNS", "B", "ACCEPT", None, True),
+        (5, 9, "A", "OWNS", "A", "ACCEPT", 1, False),
     ]
-    bad = mutation.inconsistent(ops)
-    assert values(bad, "plan_id", "twice", "opposed") == [(1, True, True)]
+    ops = mutation.planned(spark.createDataFrame(rows, DECISION))
+    assert values(ops, "claim_id", "place", "op")[:5] == [(1, 0, "CREATE_ASSERTION"), (1, 2, "PROJECT_RELATION"), (2, 0, "CREATE_ASSERTION"), (2, 1, "SUPERSEDE_ASSERTION"), (3, 0, "CREATE_ASSERTION")]
+    assert [r.op for r in ops.filter("claim_id = 9").orderBy("place").collect()] == ["CREATE_ASSERTION", "SUPERSEDE_ASSERTION", "PROJECT_RELATION"]
+    bad = mutation.inconsistent(ops)  # negated assertions count, other predicates do not
+    assert values(bad, "plan_id", "twice", "opposed") == [(1, False, True), (4, True, False)]
     tried = mutation.simulated(ops.union(ops.filter("claim_id = 5")), ops.filter("claim_id = 3"), bad)
-    got = tried.groupBy("outcome").count().collect()
-    assert {r["outcome"]: r["count"] for r in got} == {"refused": 5, "skipped": 1, "would_apply": 2, "repeated": 2}
-    undo = [(r["op"], r["claim_id"]) for r in mutation.rollback(ops.filter("plan_id = 1")).orderBy("step").collect()]
-    assert undo == [("REMOVE_RELATION", 2), ("RETRACT_ASSERTION", 2), ("REOPEN_ASSERTION", 2), ("REMOVE_RELATION", 1), ("RETRACT_ASSERTION", 1)]
+    assert {r["outcome"]: r["count"] for r in tried.groupBy("outcome").count().collect()} == {"refused": 7, "skipped": 1, "would_apply": 7, "repeated": 2}
     assert not mutation.inconsistent(ops.limit(0)).count() and not mutation.planned(spark.createDataFrame([], DECISION)).count()
 
 
+def test_rollback_undoes_what_was_written(spark):
+    rows = [
+        (1, 1, "NODE", "n1", "e1", None, None), (1, 2, "PROPERTIES", None, "n0", ["status", "valid_to"], {"status": "ACTIVE"}), (1, 3, "RELATIONSHIP", "r1", "n1", None, None), (1, 4, "SIMULATED", None, None, None, None),
+        (2, 1, "PROPERTIES", None, "n9", ["status"], None),
+    ]
+    applied = spark.createDataFrame(rows, "plan_id long, written_at long, kind string, created string, target string, changed array<string>, previous map<string,string>")
+    got = [(r.plan_id, r.step, r.action, r.target, r.restore, r.lost) for r in mutation.rollback(applied).orderBy("plan_id", "step").collect()]
+    assert got == [
+        (1, 1, "DELETE_RELATIONSHIP", "r1", None, []), (1, 2, "RESTORE_PROPERTIES", "n0", {"status": "ACTIVE"}, ["valid_to"]), (1, 3, "DELETE_NODE", "e1", None, []), (2, 1, "RESTORE_PROPERTIES", "n9", None, ["status"]),
+    ]
+
+
 def test_refusals_take_nulls(spark):
     got = spark.range(1).select(mutation.refused(B=F.lit(None).cast("boolean"), A=F.lit(False), C=F.lit(True))).first()[0]
     assert got == ["A", "B"]
