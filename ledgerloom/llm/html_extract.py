@@ -8,8 +8,10 @@ about as many each time, also where its words change), or, where that is larger,
 of the host's richest node. Headings, paragraphs and other parts that hold text themselves, and what is inside a declared article, are judged by how new their
 texts are alone. Branches of low importance on enough pages are removed from each page.
 
-What HTML itself or a class, id or role declares to be menu, header, footer, sidebar, notice, advert, form or comment goes
-too: most hosts have too few pages for entropies, and readers' comments are as varied as articles.
+What HTML itself or a class, id or role declares to be menu, header, footer, sidebar, notice, advert, form or comment is a
+prior: it lowers the importance that the tree gives the node, by more for comments and what is hidden, since readers'
+comments are as varied as articles. A declared node on too few pages for entropies has the prior alone. Nothing of a host
+that has a tree goes but by its tree; pages of hosts of fewer than MIN_PAGES pages, which have none, lose what is declared.
 
 The merge only counts: (host, node, text or child sequence) summed up per task before the shuffle, so a host with a third
 of all pages is not gathered anywhere. Pages are not shuffled unless the list of removed branches is too large to
@@ -29,8 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm.common import staged, table, whole
 
-#: Branches on fewer pages of a host are never removed; nor are those of at least this importance.
+#: Hosts of fewer pages have no tree, and undeclared branches on fewer pages of a host stay; so do those of at least this
+#: importance.
 MIN_PAGES, MIN_IMPORTANCE = 8, 0.35
+#: What the importance of a declared branch is multiplied by: ordinary declarations, and those of comments and hidden parts.
+PRIORS = (0.45, 0.2)
 #: The weight of content against presentation.
 CONTENT = 0.5
 #: An entropy counts as full from that of so many pages that all differ.
@@ -55,6 +60,8 @@ navbar navigation breadcrumb breadcrumbs header masthead topbar footer cookie co
 subscription newsletter signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies
 disqus discussion search pagination pager toolbar skip copyright legal hidden""".split())
 PLAIN_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
+#: Words, roles and tags whose parts may be as varied as articles.
+VARIED = set("comment comments commentlist respond reply replies disqus discussion related recommended recommendations hidden popup modal overlay form dialog script style template noscript".split())
 ARTICLE_WORDS = set("article post entry story content main body text".split())
 #: Words that outweigh those of ARTICLE_WORDS beside them.
 STRONG_WORDS = PLAIN_WORDS - {"header", "banner", "legal", "notice", "notices"}
@@ -68,38 +75,40 @@ ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 
 
 class Node:
-    __slots__ = ("tag", "path", "plain", "article", "children", "texts", "words")
+    __slots__ = ("tag", "path", "own", "plain", "article", "children", "texts", "words")
 
-    def __init__(self, tag: str, path: int, plain: bool, article: bool):
-        self.tag, self.path, self.plain, self.article, self.children, self.texts, self.words = tag, path, plain, article, [], [], 0
+    def __init__(self, tag: str, path: int, own: int, plain: bool, article: bool):
+        self.tag, self.path, self.own, self.plain, self.article, self.children, self.texts, self.words = tag, path, own, plain, article, [], [], 0
 
 
 def hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def declared(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
-    """Whether a branch is declared no part of the article, and whether it is declared the article."""
+def declared(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[int, bool]:
+    """Whether a branch is declared no part of the article (2: one that may be as varied as it), and whether it is declared
+    the article."""
     names = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
     roles = set(attributes.get("role", "").lower().split())
     article = tag in ("article", "main") or bool(roles & {"article", "main"})
     plain = tag in PLAIN_TAGS or (tag == "header" and not in_article) or bool(roles & PLAIN_ROLES)
-    plain |= "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+    hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+    plain |= hidden
     if names & PLAIN_WORDS and tag not in ("html", "body") and not article:
         plain |= bool(names & STRONG_WORDS) or not names & ARTICLE_WORDS
-    return plain, article
+    return plain * (2 if hidden or VARIED & (names | roles | {tag}) else 1), article
 
 
 def blocks(html: str) -> tuple[list[tuple[tuple[int, ...], bool, str]], list[Node]]:
     """(paths of the branches that the block is in, whether one of them is declared plain, text) of each block in page
     order, and all nodes. A block is the text between two tags that break a line."""
     found, nodes, line = [], [], []
-    stack = [Node("", 0, False, False)]
+    stack = [Node("", 0, 0, False, False)]
 
     def end_block():
         text = " ".join(unescape("".join(line)).split())
         if text:
-            found.append((tuple(n.path for n in stack[1:] if n.tag not in INLINE), stack[-1].plain, text))
+            found.append((tuple(n.path for n in stack[1:] if n.tag not in INLINE or n.own), stack[-1].plain, text))
             h, words = hashed(text), text.count(" ") + 1
             for n in stack[1:]:
                 n.texts.append(h)
@@ -152,7 +161,7 @@ def blocks(html: str) -> tuple[list[tuple[tuple[int, ...], bool, str]], list[Nod
             end_block()
         # Numbers of pages and posts are no part of a style; q1 and q2 are.
         mark = re.sub(r"\d{3,}", "0", f"{tag}.{attributes.get('class', '')}") + re.sub(r"\d+", "0", f"#{attributes.get('id', '')}")
-        node = Node(tag, hashed(f"{up.path}/{mark}"), plain or up.plain, article or up.article)
+        node = Node(tag, hashed(f"{up.path}/{mark}"), plain, bool(plain) or up.plain, article or up.article)
         up.children.append(mark)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
@@ -172,8 +181,10 @@ def host(url: str | None) -> str:
 
 
 #: Kinds of counts: pages that have the node; pages that have a text in it; pages by the sequence of children under it; pages
-#: by the number of words in it; pages where it is the declared article, which always stays.
-PAGES, TEXT, CHILDREN, WORDS, ARTICLE = range(5)
+#: by the number of words in it; pages where it is the declared article, which always stays; and pages where it is declared
+#: plain, by how strongly. The node 0 is the host itself.
+PAGES, TEXT, CHILDREN, WORDS, ARTICLE, PLAIN = range(6)
+HOST = 0
 
 
 def count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,13 +200,17 @@ def count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for url, html in zip(batch["url"], batch["html"]):
             at, page = host(url), {}
             for n in blocks(html or "")[1]:
-                if n.tag in ("html", "body") or n.tag in INLINE or (n.article and n.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
+                if n.tag in ("html", "body") or not n.own and (n.tag in INLINE or (n.article and n.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"))):
                     continue
-                seen = page.setdefault(n.path, [set(), [], 0, n.article or n.tag in HOLD_TEXT, n.tag in ("article", "main")])
+                seen = page.setdefault(n.path, [set(), [], 0, n.article or n.tag in HOLD_TEXT, n.tag in ("article", "main"), 0])
+                seen[5] = max(seen[5], n.own)
                 seen[0].update(n.texts)
                 seen[1] += n.children
                 seen[2] += n.words
-            for path, (texts, styles, words, by_text, article) in page.items():
+            counts[at, HOST, PAGES, 0] += 1
+            for path, (texts, styles, words, by_text, article, own) in page.items():
+                if own:
+                    counts[at, path, PLAIN, own] += 1
                 counts[at, path, PAGES, 0] += 1
                 counts[at, path, WORDS, words] += 1
                 if article:
@@ -210,34 +225,48 @@ def count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages and importance of each node of the hosts' style trees."""
+    """host, path, pages, importance and prior (null if it is not declared plain) of each node of the style trees of hosts of
+    MIN_PAGES pages or more, and of each such host itself (the path HOST, without an importance)."""
     counts = pages.select("url", "html").mapInPandas(count_task, "host string, path long, kind int, value long, n long")
     total = counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))
     n, weight = F.col("n"), F.col("n") * F.log("n")
     nodes = total.groupBy("host", "path").agg(
         of(PAGES, n).alias("pages"), of(TEXT, n).alias("texts"), of(TEXT, weight).alias("spread"), of(CHILDREN, n).alias("judged"), of(CHILDREN, weight).alias("styles"), of(ARTICLE, n).alias("articles"),
-        of(WORDS, weight).alias("extents"), of(WORDS, n * F.col("value")).alias("words"),
+        of(WORDS, weight).alias("extents"), of(WORDS, n * F.col("value")).alias("words"), F.max(F.when(F.col("kind") == PLAIN, F.col("value"))).alias("declared"),
     )
     log_pages = F.log(F.greatest("pages", F.lit(2)))
     entropy = lambda x: F.least(F.lit(1.0), (F.log("pages") - F.col(x) / F.col("pages")) / F.least(log_pages, F.log(F.lit(FULL_PAGES))))
     new = F.when(F.col("texts") > 0, 1 - F.col("spread") / F.col("texts") / log_pages).otherwise(0.0)
     nodes = nodes.withColumn("new", new).withColumn("new_words", F.col("words") * F.col("new") / F.col("pages"))
-    richest = nodes.filter(F.col("pages") >= MIN_PAGES).groupBy("host").agg(F.max("new_words").alias("most"))
+    hosts = nodes.groupBy("host").agg(F.max(F.when(F.col("path") == HOST, F.col("pages"))).alias("host_pages"), F.max(F.when(F.col("pages") >= MIN_PAGES, F.col("new_words"))).alias("most"))
+    nodes = nodes.join(hosts.filter(F.col("host_pages") >= MIN_PAGES), "host")
     share = F.when(F.col("most") > 0, F.least(F.lit(1.0), F.col("new_words") / F.col("most"))).otherwise(0.0)
     both = CONTENT * F.greatest(F.col("new") * entropy("extents"), share) + (1 - CONTENT) * entropy("styles")
-    return nodes.join(richest, "host", "left").select("host", "path", "pages", F.when(F.col("articles") > 0, 1.0).when(F.col("judged") > 0, both).otherwise(F.col("new")).alias("importance"))
+    merged = F.when(F.col("articles") > 0, 1.0).when(F.col("judged") > 0, both).otherwise(F.col("new"))
+    prior = F.when(F.col("declared") == 1, PRIORS[0]).when(F.col("declared") == 2, PRIORS[1])
+    importance = F.when(prior.isNull(), merged).when(F.col("pages") >= MIN_PAGES, merged * prior).otherwise(0.0)
+    return nodes.select("host", "path", "pages", F.when(F.col("path") != HOST, importance).alias("importance"), prior.alias("prior"))
 
 
 def extract_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of pages without the branches that their host's tree removes; where there is no tree (removed is null), without
+    those that are declared plain."""
     for batch in batches:
         texts = []
         for html, removed in zip(batch["html"], batch["removed"]):
-            gone = set(removed) if removed is not None else set()
-            texts.append(" ".join(t for paths, plain, t in blocks(html or "")[0] if not plain and not gone.intersection(paths)))
+            tree = removed is not None
+            gone = set(removed) if tree else set()
+            texts.append(" ".join(t for paths, plain, t in blocks(html or "")[0] if not (not gone.isdisjoint(paths) if tree else plain)))
         yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
+def removed_branches(tree: DataFrame) -> DataFrame:
+    """host and path of what the trees remove, and each tree's host itself."""
+    goes = ((F.col("pages") >= MIN_PAGES) | F.col("prior").isNotNull()) & (F.col("importance") < MIN_IMPORTANCE)
+    return tree.filter((F.col("path") == HOST) | goes).select("host", "path")
+
+
 def html_extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
@@ -246,8 +275,7 @@ def html_extract(pages: DataFrame) -> DataFrame:
     rows of their own; other columns are ignored; no pages, no rows.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    low = style_tree(pages).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE)).select("host", "path")
-    low = staged(low, "removed")
+    low = staged(removed_branches(style_tree(pages)), "removed")
     name = F.lower(F.regexp_extract(whole("url"), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     few = low.count() <= BROADCAST_ROWS
     removed = low.groupBy("host").agg(F.collect_set("path").alias("removed"))

@@ -203,3 +203,32 @@ def test_large_components_stop_the_job(spark):
     frame = spark.createDataFrame([(1, [1e6] * 64)], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         centroids.scaled(frame).collect()
+
+
+def test_pages_of_a_host_with_a_tree_lose_what_the_tree_removes(spark, monkeypatch):
+    """Declared parts are removed by their prior within the tree, comments too; a page of a host without a tree by the lists."""
+    from ledgerloom.llm import html_extract as H
+
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(24):
+        article, comments, site = words(120), [words(12) for _ in range(k % 4)], "big.example" if k < 20 else "small.example"
+        rare = "<div class='newsletter'>join us today</div>" if k == 3 else ""
+        html = (
+            f"<body><div class='nav'><a>Home</a><a>News</a></div><div class='x9'>all rights belong to us</div><div id='content'><h1>Title {k}</h1><p>{article}</p></div>{rare}"
+            f"<div class='comments'>{''.join(f'<p>{c}</p>' for c in comments)}</div></body>"
+        )
+        rows.append((k, f"http://{site}/{k}", html))
+        want[k] = f"Title {k} {article}" if site == "big.example" else f"all rights belong to us Title {k} {article}"
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda: {x.page_id: x.text for x in H.html_extract(frame).collect()}
+    assert texts() == want
+    removed = H.removed_branches
+    monkeypatch.setattr(H, "removed_branches", lambda tree: removed(tree).filter(f"path = {H.HOST}"))
+    off = texts()
+    assert all((off[k] != want[k]) == (k < 20) for k in want)
+    monkeypatch.setattr(H, "removed_branches", removed)
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(H, "HELD", 3)
+    assert texts() == want
