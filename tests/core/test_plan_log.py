@@ -7,7 +7,7 @@ from ledgerloom.streaming import plan_log
 
 def entries(spark, *rows):
     """rows: (workspace, plan, seq, key, op, assertion, other)."""
-    return spark.createDataFrame([(*r[:5], *(r[5:7] if len(r) > 5 else (None, None)), "s", "o", r[2]) for r in rows], plan_log.ENTRY)
+    return spark.createDataFrame([(*r[:5], *(*r[5:], None, None)[:2], "s", "o", r[2]) for r in rows], plan_log.ENTRY)
 
 
 def outcomes(log):
