@@ -38,14 +38,10 @@ def holds(folded: Column, cues: str) -> Column:
 
 def temporal_state(c: Column) -> Column:
     """The first class by precedence whose cues the text holds; UNKNOWN if none."""
-    folded = T.fold(c)
-    return first_that(*[(holds(folded, cues), state) for state, cues in TEMPORAL], otherwise="UNKNOWN")
+    return T.bound(T.fold(c), lambda folded: first_that(*[(holds(folded, cues), state) for state, cues in TEMPORAL], otherwise="UNKNOWN"))
 
 
 def epistemic_state(c: Column) -> tuple[Column, Column]:
     """(status, nuance); without a cue a text asserts."""
-    folded = T.fold(c)
-    return (
-        first_that(*[(holds(folded, cues), status) for status, _, cues in EPISTEMIC], otherwise="ASSERTED"),
-        first_that(*[(holds(folded, cues), nuance) for _, nuance, cues in EPISTEMIC], otherwise="assertion"),
-    )
+    first = lambda k, otherwise: T.bound(T.fold(c), lambda folded: first_that(*[(holds(folded, e[2]), e[k]) for e in EPISTEMIC], otherwise=otherwise))
+    return first(0, "ASSERTED"), first(1, "assertion")

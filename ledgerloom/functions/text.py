@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -19,21 +20,40 @@ def decompositions() -> dict[str, str]:
     return found
 
 
+def runs(codes: list[int]) -> list[tuple[int, int]]:
+    """The first and last of each run of consecutive numbers."""
+    firsts = [x for k, x in enumerate(codes) if not k or codes[k - 1] != x - 1]
+    lasts = [x for k, x in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != x + 1]
+    return list(zip(firsts, lasts))
+
+
 #: Those that become one letter, and what they become, place by place; and those that become several.
 DECOMPOSED = decompositions()
 ACCENTED = "".join(c for c, base in DECOMPOSED.items() if len(base) == 1)
 FOLDED = "".join(base for base in DECOMPOSED.values() if len(base) == 1)
 WIDER = {c: base for c, base in DECOMPOSED.items() if len(base) > 1}
+WIDE = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs(sorted(map(ord, WIDER)))) + "]"
+#: A class that is soon checked: all of WIDE, and more.
+MAY_BE_WIDE = "[\u00bc-\u00be\u0132-\uffff]"
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c made once however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
 
 
 def strip_accents(c: Column) -> Column:
     """Letters and digits by their compatibility decomposition, which is lower-case, without marks; others stay. ASCII texts
     are not touched."""
-    plain = F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), ACCENTED, FOLDED)
-    wide = "[" + "".join(WIDER) + "]"
+    plain = lambda x: F.translate(F.regexp_replace(x, r"\p{Mn}+", ""), ACCENTED, FOLDED)
+    return bound(c, lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(bound(plain(x), lambda y: F.when(y.rlike(MAY_BE_WIDE), spelled(y)).otherwise(y))))
+
+
+def spelled(c: Column) -> Column:
+    """The text with each character of WIDER as its letters; only the distinct ones that it holds are looked up."""
     each = F.create_map(*[F.lit(x) for pair in WIDER.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(each, x), x)), "")
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.when(plain.rlike(wide), spelled).otherwise(plain))
+    there = F.array_distinct(F.regexp_extract_all(c, F.lit(WIDE), F.lit(0)))
+    return F.aggregate(there, c, lambda text, x: F.replace(text, x, F.element_at(each, x)))
 
 
 def fold(c: Column) -> Column:
@@ -105,22 +125,25 @@ def sentences(c: Column) -> Column:
 
 def repeats_in_a_row(c: Column) -> Column:
     """Whether three sentences in a row are the same once folded."""
-    s = F.filter(F.transform(F.split(c, r"[.\n]"), fold), lambda x: x != "")
-    three = F.zip_with(s, F.zip_with(F.slice(s, 2, 1 << 30), F.slice(s, 3, 1 << 30), lambda y, z: F.when(y == z, y)), lambda x, y: x == y)
-    return F.exists(three, lambda x: F.coalesce(x, F.lit(False)))
+    sentences = F.filter(F.transform(F.split(c, r"[.\n]"), fold), lambda x: x != "")
+    three = lambda s: F.zip_with(s, F.zip_with(F.slice(s, 2, 1 << 30), F.slice(s, 3, 1 << 30), lambda y, z: F.when(y == z, y)), lambda x, y: x == y)
+    return bound(sentences, lambda s: F.exists(three(s), lambda x: F.coalesce(x, F.lit(False))))
 
 
 def quality_flags(c: Column) -> Column:
     """Sorted flags of a text's faults."""
-    t = F.coalesce(c, F.lit(""))
-    blank = F.trim(F.regexp_replace(t, r"[\t\n\r\f\v]", " ")) == ""
-    faults = F.array(
-        F.when(t.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control_chars"),
-        F.when(repeats_in_a_row(t), "repeated_content"),
-        F.when(F.contains(t, F.lit("�")), "replacement_chars"),
-        F.when(F.length(F.trim(t)) < 24, "short_text"),
-    )
-    return F.when(blank, F.array(F.lit("empty_text"))).otherwise(F.filter(faults, lambda x: x.isNotNull()))
+
+    def of(t: Column) -> Column:
+        blank = F.trim(F.regexp_replace(t, r"[\t\n\r\f\v]", " ")) == ""
+        faults = F.array(
+            F.when(t.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control_chars"),
+            F.when(repeats_in_a_row(t), "repeated_content"),
+            F.when(F.contains(t, F.lit("�")), "replacement_chars"),
+            F.when(F.length(F.trim(t)) < 24, "short_text"),
+        )
+        return F.when(blank, F.array(F.lit("empty_text"))).otherwise(F.array_compact(faults))
+
+    return bound(F.coalesce(c, F.lit("")), of)
 
 
 #: What each fault costs.

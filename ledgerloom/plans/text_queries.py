@@ -43,7 +43,8 @@ g AS (SELECT lang, flags, round(greatest(0, 1 - CASE WHEN list_contains(flags, '
 SELECT lang, count(*) AS n_docs, count(*) FILTER (list_contains(flags, 'short_text')) AS n_short,
   count(*) FILTER (list_contains(flags, 'repeated_content')) AS n_repeated, round(CAST(avg(score) AS DOUBLE), 6) AS mean_score FROM g GROUP BY lang""")
 def doc_quality_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("lang", T.quality_flags(F.col("text")).alias("flags"))
+    # A generated column is made once a row; a projected one would be pasted into every aggregate.
+    rows = table(spark, sf, "documents").select("lang", F.explode(F.array(T.quality_flags(F.col("text")))).alias("flags"))
     has = lambda flag: F.count_if(F.array_contains("flags", flag))
     return rows.groupBy("lang").agg(
         F.count("*").alias("n_docs"), has("short_text").alias("n_short"), has("repeated_content").alias("n_repeated"),
