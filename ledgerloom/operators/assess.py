@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.scores import codes, first_that, ratio
@@ -50,16 +52,33 @@ def transcript_quality(transcripts: DataFrame, segments: DataFrame) -> DataFrame
     )
 
 
+def has_repeat(text: str, block: int, times: int) -> bool:
+    """Whether some window of the text stands so many times in it: windows are hashed by rolling sums, in memory that is a few
+    numbers a character, and those of a frequent hash are compared."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - block + 1
+    if len(codes) < block * times:
+        return False
+    hashes = np.zeros(n, np.uint64)
+    for k in range(block):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]  # modulo 2**64
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    at = np.flatnonzero(ranked[: n - times + 1] == ranked[times - 1 :])
+    for k in at:
+        window = text[order[k] : order[k] + block]
+        if sum(text[p : p + block] == window for p in order[k : np.searchsorted(ranked, ranked[k], "right")]) >= times:
+            return True
+    return False
+
+
 def repeats_block(text: Column, block: int = 24, times: int = 3) -> Column:
-    """Whether some window of `block` characters stands `times` times in the text; windows may overlap. Null: false.
+    """Whether some window of `block` characters stands `times` times in the text; windows may overlap. Null: false."""
+    @F.pandas_udf("boolean")
+    def judged(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and has_repeat(t, block, times)).astype(bool)
 
-    Sorted windows that are equal lie side by side, so a text is judged in its row, without a shuffle.
-    """
-    found = F.sort_array(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(\P{{Cs}}.{{{block - 1}}}))"), F.lit(1)))
-    # The windows are an element of an array of one, so the three uses below make and sort them once.
-    n = lambda w: F.greatest(F.lit(0), F.size(w) - times + 1)
-    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), n(w)), F.slice(w, F.lit(times), n(w)), lambda a, b: a == b)
-    return F.coalesce(F.when(F.length(text) >= block * times, F.exists(F.array(found), lambda w: F.exists(pairs(w), lambda x: x))), F.lit(False))
+    return judged(text)
 
 
 def range_gaps(chunks: DataFrame, first: int) -> DataFrame:
