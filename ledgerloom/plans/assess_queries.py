@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ledgerloom.functions import cues
 from ledgerloom.functions.scores import first_that
 from ledgerloom.operators import assess
 from ledgerloom.plans.decision_queries import cased
+from ledgerloom.plans.extract_queries import MENTIONS, hits
 from ledgerloom.plans.text_queries import fold
 from ledgerloom.sources.tables import table
 
@@ -51,10 +52,10 @@ def repeated_blocks(spark, sf):
 
 def chunks(spark, sf):
     start = F.col("l_linenumber") * 3 + F.col("l_suppkey") % 3
-    return table(spark, sf, "lineitem").filter("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("key"), start.cast("long").alias("start"), (start + F.col("l_partkey") % 4).cast("long").alias("end"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), start.cast("long").alias("start"), (start + F.col("l_partkey") % 4).cast("long").alias("end"))
 
 
-GAPS = """WITH c AS (SELECT l_orderkey AS key, l_linenumber * 3 + l_suppkey % 3 AS start, l_linenumber * 3 + l_suppkey % 3 + l_partkey % 4 AS stop FROM lineitem WHERE l_returnflag <> 'A'),
+GAPS = """WITH c AS (SELECT l_orderkey AS key, l_linenumber * 3 + l_suppkey % 3 AS start, l_linenumber * 3 + l_suppkey % 3 + l_partkey % 4 AS stop FROM lineitem),
 g AS (SELECT key, start, lag(stop) OVER (PARTITION BY key ORDER BY start, stop) + {0} AS gap_start FROM c)
 SELECT key, gap_start, start - {0} AS gap_end, start - gap_start AS missing FROM g WHERE start > gap_start"""
 
@@ -90,14 +91,17 @@ VERBS = ["the", "and", "of", "die", "der", "que"]
 LIST = "[" + ", ".join(f"'{v}'" for v in VERBS) + "]"
 
 
-@query("relation_signals", rf"""WITH p AS (SELECT doc_id, text, CAST(doc_id % 50 AS INTEGER) AS s, CAST(doc_id % 50 + 10 AS INTEGER) AS se, CAST(doc_id % 50 + 20 + doc_id % 90 AS INTEGER) AS o FROM documents WHERE text IS NOT NULL),
+@query("relation_signals", rf"""WITH RECURSIVE {MENTIONS}, m AS (SELECT doc_id, start AS s, stop AS se, lead(start) OVER w AS o, lead(stop) OVER w AS oe FROM mentions WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
+p AS (SELECT m.*, text FROM m JOIN documents USING (doc_id) WHERE o IS NOT NULL),
 b AS (SELECT *, substring(text, se + 1, o - se) AS mid, substring(text, s + 1, o - s) AS upto, regexp_extract_all(lower(substring(text, se + 1, o - se)), '\p{{L}}+') AS words FROM p)
-SELECT doc_id, o - se AS chars, NOT regexp_matches(upto, '[.!?\n]') AS same_sentence, NOT regexp_matches(upto, '[.!?\n,;:]') AS same_clause, list_filter({LIST}, lambda v: list_contains(words, v))[1] AS verb FROM b""")
+SELECT doc_id, s AS s_start, o - se AS chars, NOT regexp_matches(upto, '[.!?\n]') AS same_sentence, NOT regexp_matches(upto, '[.!?\n,;:]') AS same_clause, list_filter({LIST}, lambda v: list_contains(words, v))[1] AS verb FROM b""")
 def relation_signals(spark, sf):
-    start = (F.col("doc_id") % 50).cast("int")
-    other = start + 20 + (F.col("doc_id") % 90).cast("int")
-    pairs = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.col("text").alias("segment"), start.alias("s_start"), (start + 10).alias("s_end"), other.alias("o_start"), (other + 10).alias("o_end"))
-    return assess.pair_signals(pairs, VERBS).select("doc_id", "chars", "same_sentence", "same_clause", "verb")
+    """Each mention of a document and the next one."""
+    order = Window.partitionBy("text_id", "copy").orderBy("start")
+    found = hits(spark, sf).filter("kind = 'entity'")
+    pairs = found.select(F.col("text_id").alias("doc_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.lead("start").over(order).alias("o_start"), F.lead("end").over(order).alias("o_end")).filter("o_start IS NOT NULL")
+    said = pairs.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("segment")), "doc_id")
+    return assess.pair_signals(said, VERBS).select("doc_id", "s_start", "chars", "same_sentence", "same_clause", "verb")
 
 
 @query("relation_directions", """WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS k, CASE l_partkey % 5 WHEN 0 THEN ' was founded by ' WHEN 1 THEN ' is led from ' WHEN 2 THEN ' leads ' WHEN 3 THEN ' bypasses ' ELSE ' and ' END AS between FROM lineitem),
@@ -189,8 +193,8 @@ def run_verdicts(spark, sf):
 
 
 @query("negation_policy", """WITH g AS (SELECT doc_id AS case_id, CASE WHEN quality = 0 THEN 'NEGATED_CESSATION' ELSE 'PLAIN' END AS family, CASE WHEN toxic = 0 THEN quality = 0 END AS negated, CASE WHEN toxic = 0 THEN 'AUTO_APPROVE' ELSE 'REVIEW' END AS decision FROM labels),
-p AS (SELECT doc_id AS case_id, contains(text, '!!') AS said, CASE WHEN contains(text, '$$$') THEN 'CESSATION' ELSE '' END AS kind, CASE WHEN lang = 'en' THEN 'ACCEPT' ELSE 'REVIEW' END AS choice, length(text) > 200 AS anchored, source IS NOT NULL AS scoped FROM documents WHERE lang <> 'de'),
-j AS (SELECT g.*, p.case_id IS NULL AS gone, coalesce(said, FALSE) AS said, kind, choice, coalesce(anchored, FALSE) AS anchored, coalesce(scoped, FALSE) AS scoped FROM g LEFT JOIN p USING (case_id) WHERE negated IS NOT NULL),
+p AS (SELECT doc_id AS case_id, CASE WHEN lang <> 'de' THEN contains(text, '!!') END AS said, CASE WHEN lang <> 'de' THEN CASE WHEN contains(text, '$$$') THEN 'CESSATION' ELSE '' END END AS kind, CASE WHEN lang = 'en' THEN 'ACCEPT' WHEN lang <> 'de' THEN 'REVIEW' END AS choice, CASE WHEN lang <> 'de' THEN length(text) > 200 END AS anchored, CASE WHEN lang <> 'de' THEN source IS NOT NULL END AS scoped FROM documents),
+j AS (SELECT g.*, said IS NULL AS gone, coalesce(said, FALSE) AS said, kind, choice, coalesce(anchored, FALSE) AS anchored, coalesce(scoped, FALSE) AS scoped FROM g LEFT JOIN p USING (case_id) WHERE negated IS NOT NULL),
 c AS (SELECT count(*) AS cases, count(*) FILTER (gone) AS missing, count(*) FILTER (negated AND said) AS tp, count(*) FILTER (NOT negated AND said) AS fp, count(*) FILTER (negated AND NOT said) AS fn, count(*) FILTER (family = 'NEGATED_CESSATION') AS cessations, count(*) FILTER (family = 'NEGATED_CESSATION' AND kind = 'CESSATION') AS false_cessations,
   count(*) FILTER (anchored) AS anchored, count(*) FILTER (scoped) AS scoped, count(*) FILTER (negated AND decision = 'AUTO_APPROVE') AS approvable, count(*) FILTER (negated AND decision = 'AUTO_APPROVE' AND choice = 'ACCEPT') AS approved FROM j)
 SELECT *, fp = 0 AND fn = 0 AS edges_pass, false_cessations = 0 AS cessation_pass, cases > 0 AND anchored = cases AS grounding_pass, cases > 0 AND scoped = cases AS scope_pass, approvable > 0 AND approved = approvable AS approval_pass FROM c""")
@@ -199,8 +203,10 @@ def negation_policy(spark, sf):
     bad = F.col("quality") == 0
     gold = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.when(bad, "NEGATED_CESSATION").otherwise("PLAIN").alias("family"), F.when(F.col("toxic") == 0, bad).alias("negated"), F.when(F.col("toxic") == 0, "AUTO_APPROVE").otherwise("REVIEW").alias("decision"))
     has = lambda x: F.contains("text", F.lit(x))
-    predicted = table(spark, sf, "documents").filter("lang <> 'de'").select(
-        F.col("doc_id").alias("case_id"), has("!!").alias("negated_p"), F.when(has("$$$"), "CESSATION").otherwise("").alias("kind"), F.when(F.col("lang") == "en", "ACCEPT").otherwise("REVIEW").alias("decision_p"), (F.length("text") > 200).alias("anchored"), F.col("source").isNotNull().alias("scoped")
+    known = lambda c: F.when(F.col("lang") != "de", c)
+    predicted = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("case_id"), known(has("!!")).alias("negated_p"), known(F.when(has("$$$"), "CESSATION").otherwise("")).alias("kind"), known(F.when(F.col("lang") == "en", "ACCEPT").otherwise("REVIEW")).alias("decision_p"),
+        known(F.length("text") > 200).alias("anchored"), known(F.col("source").isNotNull()).alias("scoped"),
     )
     return assess.negation_metrics(gold, predicted)
 

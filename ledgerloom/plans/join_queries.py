@@ -50,21 +50,21 @@ def claim_batch_conflicts(spark, sf):
 
 
 @query("span_pairs", """WITH s AS (SELECT l_suppkey AS key, l_orderkey * 10 + l_linenumber AS id, l_partkey * 7 % 5000 AS start, l_partkey * 7 % 5000 + CAST(l_quantity AS BIGINT) AS stop, l_returnflag FROM lineitem),
-p AS (SELECT g.key, g.id AS gold_id, q.id AS pred_id, least(g.stop, q.stop) - greatest(g.start, q.start) AS common, g.stop - g.start + q.stop - q.start AS total, g.start <= q.start AND q.stop <= g.stop AS contained FROM s g JOIN s q ON g.key = q.key AND g.start < q.stop AND q.start < g.stop WHERE g.l_returnflag = 'A' AND q.l_returnflag = 'R')
+p AS (SELECT g.key, g.id AS gold_id, q.id AS pred_id, least(g.stop, q.stop) - greatest(g.start, q.start) AS common, g.stop - g.start + q.stop - q.start AS total, g.start <= q.start AND q.stop <= g.stop AS contained FROM s g JOIN s q ON g.key = q.key AND g.start < q.stop AND q.start < g.stop WHERE g.l_returnflag = 'A' AND q.l_returnflag <> 'A')
 SELECT key, gold_id, pred_id, round(common / (total - common)::DOUBLE, 6) AS iou, contained FROM p""")
 def span_pairs(spark, sf):
     start = F.col("l_partkey") * 7 % 5000
     spans = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), "l_returnflag")
-    return joins.span_pairs(spans.filter("l_returnflag = 'A'"), spans.filter("l_returnflag = 'R'"), 50)
+    return joins.span_pairs(spans.filter("l_returnflag = 'A'"), spans.filter("l_returnflag <> 'A'"), 50)
 
 
-@query("hybrid_merge", """WITH a AS (SELECT p_name AS name, p_brand AS kind, max(round(p_size / 50.0::DOUBLE, 6)) AS ca FROM part WHERE p_size > 20 GROUP BY ALL), b AS (SELECT p_name AS name, p_brand AS kind, max(round(p_size / 60.0::DOUBLE, 6)) AS cb FROM part WHERE p_retailprice > 1200 GROUP BY ALL)
+@query("hybrid_merge", """WITH a AS (SELECT p_name AS name, p_brand AS kind, max(round(p_size / 50.0::DOUBLE, 6)) AS ca FROM part WHERE p_size > 20 GROUP BY ALL), b AS (SELECT p_name AS name, p_brand AS kind, max(round(p_size / 60.0::DOUBLE, 6)) AS cb FROM part WHERE p_retailprice > 1200 OR p_size <= 20 GROUP BY ALL)
 SELECT coalesce(a.name, b.name) AS name, coalesce(a.kind, b.kind) AS kind, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN 'both' WHEN cb >= 0.5 THEN 'model_only' WHEN cb IS NOT NULL THEN 'model_dropped' WHEN ca >= 0.8 THEN 'rule_only' ELSE 'rule_dropped' END AS outcome, greatest(ca, cb) AS confidence
 FROM a FULL JOIN b ON a.name = b.name AND a.kind = b.kind""")
 def hybrid_merge(spark, sf):
     part = table(spark, sf, "part").withColumnsRenamed({"p_name": "name", "p_brand": "kind"})
     of = lambda rows, by: rows.select("name", "kind", F.round(F.col("p_size") / by, 6).alias("confidence"))
-    return joins.hybrid(of(part.filter("p_size > 20"), 50), of(part.filter("p_retailprice > 1200"), 60), 0.5, 0.8)
+    return joins.hybrid(of(part.filter("p_size > 20"), 50), of(part.filter("p_retailprice > 1200 OR p_size <= 20"), 60), 0.5, 0.8)
 
 
 @query("resolution_memory", """WITH m AS (SELECT user_id % 5 AS workspace, CASE WHEN event_type <> 'view' THEN event_type END AS scope, user_id % 40 AS surface, event_id AS entity_id, value AS confidence, ts AS seen FROM events),

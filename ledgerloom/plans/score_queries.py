@@ -150,13 +150,13 @@ def claim_decisions(spark, sf):
     return items(spark, sf).groupBy(outcome.alias("decision"), F.array_join(found, ",").alias("codes")).agg(F.count("*").alias("n"))
 
 
-@query("greedy_matches", """WITH g AS (SELECT l_orderkey AS key, l_linenumber AS gold_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth FROM lineitem WHERE l_returnflag = 'A'),
-p AS (SELECT l_orderkey AS key, l_linenumber AS predicted_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth FROM lineitem WHERE l_linestatus = 'F')
+@query("greedy_matches", """WITH g AS (SELECT l_orderkey AS key, l_linenumber AS gold_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth FROM lineitem WHERE l_returnflag <> 'R'),
+p AS (SELECT l_orderkey AS key, l_linenumber AS predicted_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth FROM lineitem WHERE l_linestatus = 'F' OR l_returnflag = 'R')
 SELECT count(*) FILTER (gold_id IS NOT NULL AND predicted_id IS NOT NULL) AS tp, count(*) FILTER (gold_id IS NULL) AS fp, count(*) FILTER (predicted_id IS NULL) AS fn FROM g FULL JOIN p ON g.key = p.key AND g.nth = p.nth""")
 def greedy_matches(spark, sf):
     rows = items(spark, sf)
     side = lambda where, name: rows.filter(where).select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias(name))
-    m = relations.greedy_by_key(side("l_returnflag = 'A'", "gold_id"), side("l_linestatus = 'F'", "predicted_id"), "key")
+    m = relations.greedy_by_key(side("l_returnflag <> 'R'", "gold_id"), side("l_linestatus = 'F' OR l_returnflag = 'R'", "predicted_id"), "key")
     g, p = F.col("gold_id").isNotNull(), F.col("predicted_id").isNotNull()
     return m.agg(F.count_if(g & p).alias("tp"), F.count_if(~g).alias("fp"), F.count_if(~p).alias("fn"))
 
