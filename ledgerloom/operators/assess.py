@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.functions.cues import epistemic_state
 from ledgerloom.functions.scores import codes, first_that, ratio
 from ledgerloom.functions.text import any_accent
 
@@ -119,6 +120,53 @@ def pair_signals(pairs: DataFrame, verbs: list[str]) -> DataFrame:
     }).drop("between", "upto")
 
 
+# Fixed values, to TYPE_PAIRS: cues of a relation in its sentence, and the categories that admit a pair of types.
+SENTENCE_CUES = {
+    "membership": ("miembro de", "miembros de", "pertenece a", "pertenecen a", "pertenecia a", "forma parte de", "forman parte de", "afiliado a", "afiliada a"),
+    "possession": ("posee", "poseen", "propietario de", "propietaria de", "dueno de", "en posesion de", "su ", "sus "),
+    "location": ("vive en", "viven en", "situado en", "situada en", "ubicado en", "ubicada en", "localizado en", "reside en", "residen en", "se encuentra en", "en la", "en el", " en "),
+    "negation": ("no ", "nunca", "jamas", "tampoco", "ni ", "sin "),
+    "modality": ("podria", "puede que", "quiza", "quizas", "tal vez", "debe ", "deberia", "tiene que", "es probable", "posiblemente"),
+    "rumor": ("se dice que", "segun rumores", "se rumorea", "dicen que", "al parecer", "supuestamente", "se cree que", "se comenta que"),
+}
+TIME_CUES = ("antes de", "despues de", "durante", "tras ", "mientras", "desde ", "hasta ", "cuando ", "en el ano", "siglo ")
+TYPE_PAIRS = {
+    "MEMBERSHIP": (("Character", "Faction"), ("Faction", "Faction")), "LOCATION": (("Character", "Location"), ("Object", "Location"), ("Event", "Location"), ("Faction", "Location")),
+    "POSSESSION": (("Character", "Object"), ("Faction", "Object"), ("Character", "Concept")), "PARTICIPATION": (("Character", "Event"), ("Faction", "Event")),
+}
+
+
+def pair_window(pairs: DataFrame) -> DataFrame:
+    """pairs (segment, s_start, s_end, o_start, o_end and others) with window: the text of the sentences of both mentions and all
+    between. A sentence ends with . ! ? or a line feed."""
+    before = lambda start: F.length(F.regexp_extract(F.substring("segment", F.lit(1), F.col(start)), r"(?s)^.*[.!?\n]", 0))
+    after = lambda end: F.col(end) + F.length(F.regexp_extract(F.substring("segment", F.col(end) + 1, F.length("segment")), r"(?s)^[^.!?\n]*[.!?\n]?", 0))
+    rows = pairs.withColumns({"__from": F.least(before("s_start"), before("o_start")), "__to": F.greatest(after("s_end"), after("o_end"))})
+    return rows.withColumn("window", F.substring("segment", F.col("__from") + 1, F.col("__to") - F.col("__from"))).drop("__from", "__to")
+
+
+def cue_signals(pairs: DataFrame) -> DataFrame:
+    """pairs (of pair_window, with s_type and o_type) with, for each kind of SENTENCE_CUES, the cue as it stands first in the
+    window (null: none); times (sorted, each cue of time once), years; categories (sorted) that admit the types; and the
+    epistemic status and nuance of the window. Nothing is decided; a null type admits nothing."""
+    low = pairs.withColumn("__low", F.lower("window"))
+    place = lambda cue: F.instr("__low", F.lit(cue))
+    literal = lambda at, n: F.substring("window", at, n)
+
+    def first_cue(cues: tuple[str, ...]) -> Column:
+        found = F.array_min(F.filter(F.array(*[F.struct(place(c).alias("at"), F.lit(k).alias("k"), F.lit(len(c)).alias("n")) for k, c in enumerate(cues)]), lambda x: x["at"] > 0))
+        return literal(found["at"], found["n"])
+
+    times = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(place(c) > 0, literal(place(c), F.lit(len(c)))) for c in TIME_CUES]))))
+    admits = codes(*[(F.struct("s_type", "o_type").isin(*[F.struct(F.lit(a).alias("s_type"), F.lit(b).alias("o_type")) for a, b in kinds]), name) for name, kinds in TYPE_PAIRS.items()])
+    status, nuance = epistemic_state(F.col("window"))
+    out = low.withColumns({
+        **{name: first_cue(cues) for name, cues in SENTENCE_CUES.items()}, "times": times, "years": F.regexp_extract_all("window", F.lit(r"\b[0-9]{3,4}\b"), F.lit(0)),
+        "categories": F.when(F.col("s_type").isNull() | F.col("o_type").isNull(), F.array().cast("array<string>")).otherwise(admits), "status": status, "nuance": nuance,
+    })
+    return out.drop("__low")
+
+
 def direction(known: Column, symmetric: Column, between: Column, by: str, active: Column, inverse: Column) -> tuple[Column, Column]:
     """(direction, why) of a pair whose subject comes first: symmetric and unknown predicates have none; an agent after
     the word `by` is the source; then the predicate's own inverse or active phrase; else the order in the text."""

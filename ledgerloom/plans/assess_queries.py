@@ -104,6 +104,31 @@ def relation_signals(spark, sf):
     return assess.pair_signals(said, VERBS).select("doc_id", "s_start", "chars", "same_sentence", "same_clause", "verb")
 
 
+def sql_cue(cues_):
+    """The first cue of a list in a window w of lower-case l, as it stands there."""
+    each = ", ".join(f"{{pos: instr(l, '{c}'), k: {k}, n: {len(c)}}}" for k, c in enumerate(cues_))
+    return f"(SELECT substring(w, CAST(x.pos AS INTEGER), x.n) FROM (SELECT list_sort(list_filter([{each}], lambda x: x.pos > 0))[1] AS x))"
+
+
+TYPES = " ".join(f"WHEN (st, ot) IN ({', '.join(str(k) for k in kinds)}) THEN '{name}'" for name, kinds in assess.TYPE_PAIRS.items())
+
+
+@query("relation_cues", rf"""WITH RECURSIVE {MENTIONS}, m AS (SELECT doc_id, start AS s, stop AS se, type AS st, lead(start) OVER w AS o, lead(stop) OVER w AS oe, lead(type) OVER w AS ot FROM mentions WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
+p AS (SELECT m.*, text, length(regexp_extract(substring(text, 1, s), '(?s)^.*[.!?\n]')) AS lo, oe + length(regexp_extract(substring(text, oe + 1), '(?s)^[^.!?\n]*[.!?\n]?')) AS hi FROM m JOIN documents USING (doc_id) WHERE o IS NOT NULL),
+q AS (SELECT *, substring(text, CAST(lo + 1 AS INTEGER), CAST(hi - lo AS INTEGER)) AS w, lower(substring(text, CAST(lo + 1 AS INTEGER), CAST(hi - lo AS INTEGER))) AS l FROM p)
+SELECT doc_id, s AS s_start, {", ".join(f"{sql_cue(c)} AS {name}" for name, c in assess.SENTENCE_CUES.items())},
+  array_to_string(list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN instr(l, '{c}') > 0 THEN substring(w, CAST(instr(l, '{c}') AS INTEGER), {len(c)}) END" for c in assess.TIME_CUES)}], lambda x: x IS NOT NULL))), ',') AS times,
+  coalesce(CASE {TYPES} END, '') AS categories FROM q""")
+def relation_cues(spark, sf):
+    order = Window.partitionBy("text_id", "copy").orderBy("start")
+    found = hits(spark, sf).filter("kind = 'entity'")
+    next_ = lambda c: F.lead(c).over(order)
+    pairs = found.select(F.col("text_id").alias("doc_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("type").alias("s_type"), next_("start").alias("o_start"), next_("end").alias("o_end"), next_("type").alias("o_type"))
+    said = pairs.filter("o_start IS NOT NULL").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("segment")), "doc_id")
+    rows = assess.cue_signals(assess.pair_window(said))
+    return rows.select("doc_id", "s_start", *assess.SENTENCE_CUES, F.array_join("times", ",").alias("times"), F.array_join("categories", ",").alias("categories"))
+
+
 @query("relation_directions", """WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS k, CASE l_partkey % 5 WHEN 0 THEN ' was founded by ' WHEN 1 THEN ' is led from ' WHEN 2 THEN ' leads ' WHEN 3 THEN ' bypasses ' ELSE ' and ' END AS between FROM lineitem),
 w AS (SELECT *, CASE WHEN k = 0 THEN 'symmetric' WHEN k = 1 THEN 'generic' WHEN between = ' was founded by ' THEN 'passive_agent' WHEN contains(between, 'is led') THEN 'lexical_inverse' WHEN contains(between, 'leads') THEN 'lexical_active' ELSE 'textual_order' END AS why FROM r)
 SELECT l_orderkey, l_linenumber, why, CASE WHEN why IN ('symmetric', 'generic') THEN 'undirected' WHEN why IN ('passive_agent', 'lexical_inverse') THEN 'object_to_subject' ELSE 'subject_to_object' END AS direction FROM w""")

@@ -62,3 +62,14 @@ def test_negation_without_predictions(spark):
     none = spark.createDataFrame([], "case_id int, negated_p boolean, kind string, decision_p string, anchored boolean, scoped boolean")
     got = assess.negation_metrics(gold, none).first()
     assert (got["cases"], got["missing"], got["fn"], got["approvable"], got["approved"], got["approval_pass"], got["grounding_pass"]) == (2, 2, 1, 1, 0, False, False)
+
+
+def test_cues_of_a_pair_s_sentences(spark):
+    text = "No cuenta. Kael posee, según dicen que Su espada de 1204, en la torre. Fin"
+    at = lambda w: (text.index(w), text.index(w) + len(w))
+    rows = [(1, text, *at("Kael"), *at("espada"), "Character", "Object"), (2, text, *at("espada"), *at("Kael"), "Object", "Character"), (3, text, *at("Fin"), *at("Fin"), None, "Object"), (4, None, 0, 1, 2, 3, "Character", "Object")]
+    pairs = spark.createDataFrame(rows, "id int, segment string, s_start int, s_end int, o_start int, o_end int, s_type string, o_type string")
+    got = {r.id: r for r in assess.cue_signals(assess.pair_window(pairs)).collect()}
+    assert (got[1].possession, got[1].location, got[1].negation, got[1].rumor, got[1].membership) == ("posee", " en ", None, "dicen que", None)
+    assert got[1].years == ["1204"] and got[1].categories == ["POSSESSION"] and got[2].categories == [] and got[3].categories == [] and got[1].status == "RUMORED"
+    assert got[3].window.strip() == "Fin" and got[4].window is None and got[2].window == got[1].window
