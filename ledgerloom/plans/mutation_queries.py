@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ledgerloom.functions.scores import first_that
-from ledgerloom.operators import mutation
+from ledgerloom.operators import admission, mutation
 from ledgerloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -156,3 +156,30 @@ def structural_rates(spark, sf):
     rows = table(spark, sf, "lineitem").select((F.col("l_quantity") > 20).alias("predicate_ok"), (F.col("l_tax") < 0.05).alias("direction_ok"), "l_returnflag", "l_linestatus")
     groups = {"negated": F.col("l_returnflag") == "R", "simple": F.col("l_linestatus") == "O", "rumoured": F.col("l_linestatus") == "X"}
     return mutation.subgroup_rates(rows, ["predicate_ok", "direction_ok"], groups)
+
+
+# ---- admission in full: an order is a plan, its lines are operations; each fault has its remainder
+
+@query("plan_refusals", """WITH n AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_quantity = 50) AS underived, count(*) FILTER (l_returnflag = 'A' AND l_tax > 0.07) AS overrides FROM lineitem GROUP BY ALL),
+p AS (SELECT o_orderkey AS k, o_orderkey % 13 AS r, o_custkey % 7 AS s, coalesce(n, 0) AS n, coalesce(underived, 0) AS underived, coalesce(overrides, 0) AS overrides FROM orders LEFT JOIN n ON l_orderkey = o_orderkey)
+SELECT k AS plan_id, array_to_string(list_sort(list_filter([CASE WHEN r IN (1, 2) THEN 'PLAN_CONTRACT_VERSION_UNSUPPORTED' END, CASE WHEN r IN (3, 4) THEN 'PLAN_NOT_APPROVED' END, CASE WHEN r = 5 THEN 'PLAN_NOT_SIGNED_LOCALLY' END, CASE WHEN r IN (6, 7) THEN 'PLAN_VALIDATOR_CHAIN_NOT_PASS' END,
+  CASE WHEN r = 8 OR n = 0 THEN 'PLAN_SIGNATURE_MISMATCH' END, CASE WHEN underived > 0 THEN 'PLAN_IDEMPOTENCY_KEY_UNDERIVED' END, CASE WHEN r = 9 THEN 'PLAN_EXPIRY_UNREADABLE' END, CASE WHEN r = 10 THEN 'PLAN_EXPIRED' END, CASE WHEN r = 11 THEN 'PLAN_WORKSPACE_MISMATCH' END,
+  CASE WHEN s IN (3, 4, 5, 6) OR (s = 2 AND r = 11) THEN 'PLAN_SCOPE_CROSS_PARTIDA' END, CASE WHEN s IN (0, 2, 6) AND overrides > 0 THEN 'PLAN_LOCAL_OVERRIDE_FROM_GAME_LAYER' END, CASE WHEN r = 12 THEN 'PLAN_SNAPSHOT_STALE' END, CASE WHEN n = 0 THEN 'PLAN_NO_OPERATIONS' END], lambda x: x IS NOT NULL)), ',') AS refusals FROM p""")
+def plan_refusals(spark, sf):
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("plan_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("operation_id"), F.lit("CREATE_ASSERTION").alias("op"), F.col("l_partkey").cast("string").alias("assertion_id"), F.lit("{}").alias("payload"),
+        F.when((F.col("l_returnflag") == "A") & (F.col("l_tax") > 0.07), "").alias("local_override_of"), (F.col("l_quantity") == 50).alias("spoilt"),
+    )
+    ops = lines.withColumn("op_key", F.when(F.col("spoilt"), "x").otherwise(admission.digest("plan_id", "operation_id", "op", "assertion_id", "payload"))).drop("spoilt")
+    r, s = F.col("o_orderkey") % 13, F.col("o_custkey") % 7
+    hashes = admission.operations_summary(ops).select(F.col("plan_id").alias("o_orderkey"), "ops_hash")
+    scope = lambda layer, part, game: F.struct(F.lit(layer).alias("layer"), F.lit(part).cast("string").alias("partida_id"), F.lit(game).cast("string").alias("game_id"))
+    # The scopes: none; a part named by both; a game; a part that the plan does not name; other parts; no layer; a plan's part alone.
+    scopes = first_that((s == 1, scope("PARTIDA", "p1", None)), (s == 2, scope("GAME", None, "w")), (s == 3, scope("PARTIDA", "p1", None)), (s == 4, scope("PARTIDA", "p2", None)), (s == 5, scope("OTHER", "p1", None)), (s == 6, scope("GAME", None, "other")), otherwise=None)
+    plans = table(spark, sf, "orders").join(hashes, "o_orderkey", "left").select(
+        F.col("o_orderkey").alias("plan_id"), first_that((r == 1, "3.1"), (r == 2, "x"), otherwise="2.0").alias("version"), first_that((r == 3, F.lit(False)), (r == 4, F.lit(None).cast("boolean")), otherwise=F.lit(True)).alias("approved"),
+        F.when(r == 5, "EXTERNAL").otherwise("LOCAL").alias("approver"), first_that((r == 6, F.array().cast("array<string>")), (r == 7, F.array(F.lit("PASS"), F.lit("FAIL"))), otherwise=F.array(F.lit("PASS"))).alias("validators"),
+        F.when(r == 8, "tampered").otherwise(F.col("ops_hash")).alias("plan_hash"), first_that((r == 9, "soon"), (r == 10, "2024-01-01T00:00:00Z"), otherwise="2030-01-01T00:00:00Z").alias("expires_at"), F.when(r == 11, "v").otherwise("w").alias("workspace"),
+        first_that((s == 1, "p1"), (s == 4, "p1"), (s == 5, "p1"), otherwise=None).alias("partida_id"), scopes.alias("scope"), F.when(r == 12, "old").otherwise("now").alias("snapshot_id"),
+    )
+    return admission.admitted(plans, ops, "w", "now", "2026-01-01T00:00:00Z").select("plan_id", F.array_join("refusals", ",").alias("refusals"))
