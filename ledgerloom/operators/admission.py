@@ -65,3 +65,27 @@ def admitted(plans: DataFrame, ops: DataFrame, workspace: str, snapshot: str | N
         (F.lit(not snapshot), "PLAN_SNAPSHOT_UNDECLARED"), (F.lit(bool(snapshot)) & ~yes(c("snapshot_id") == snapshot), "PLAN_SNAPSHOT_STALE"), (~some, "PLAN_NO_OPERATIONS"),
     )
     return rows.select("plan_id", refusals.alias("refusals"))
+
+
+# Fixed value: the form of an operator's name.
+OPERATOR = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,63}\z"
+
+
+def gate(requests: DataFrame, plans: DataFrame) -> DataFrame:
+    """request_id and refusals (sorted codes; none: the plan may be written) of an operator's requests.
+
+    requests: request_id, plan_id, allowed (what the environment says: 1 allows), apply, operator_id, confirmed_hash,
+    max_operations, env_workspace, workspace, audited. plans: plan_id, plan_hash, n_ops. All conditions are independent and
+    all that fail are named; a plan that is not there confirms no hash.
+    """
+    rows = requests.join(plans, "plan_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    c = F.col
+    blank = lambda x: F.coalesce(c(x), F.lit("")) == ""
+    confirmed = F.lower(F.trim("confirmed_hash"))
+    refusals = codes(
+        (~yes(c("allowed") == "1"), "GATE_ENV_NOT_ALLOWED"), (~yes(c("apply")), "GATE_APPLY_NOT_REQUESTED"), (blank("operator_id"), "GATE_OPERATOR_MISSING"), (~blank("operator_id") & ~c("operator_id").rlike(OPERATOR), "GATE_OPERATOR_INVALID"),
+        (~yes((confirmed != "") & (confirmed == c("plan_hash"))), "GATE_PLAN_HASH_NOT_CONFIRMED"), (~yes((c("max_operations") >= 1) & (F.coalesce("n_ops", F.lit(0)) <= c("max_operations"))), "GATE_OPERATION_LIMIT_EXCEEDED"),
+        (blank("env_workspace"), "GATE_WORKSPACE_NOT_DECLARED"), (~blank("env_workspace") & ~yes(c("env_workspace") == c("workspace")), "GATE_WORKSPACE_DECLARATION_MISMATCH"), (~yes(c("audited")), "GATE_AUDIT_UNAVAILABLE"),
+    )
+    return rows.select("request_id", refusals.alias("refusals"))

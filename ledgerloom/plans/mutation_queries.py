@@ -183,3 +183,18 @@ def plan_refusals(spark, sf):
         first_that((s == 1, "p1"), (s == 4, "p1"), (s == 5, "p1"), otherwise=None).alias("partida_id"), scopes.alias("scope"), F.when(r == 12, "old").otherwise("now").alias("snapshot_id"),
     )
     return admission.admitted(plans, ops, "w", "now", "2026-01-01T00:00:00Z").select("plan_id", F.array_join("refusals", ",").alias("refusals"))
+
+
+@query("operator_gate", """WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT o_orderkey AS k, o_orderkey % 14 AS r, o_custkey % 9 AS s, n FROM orders LEFT JOIN n ON l_orderkey = o_orderkey)
+SELECT k AS request_id, array_to_string(list_sort(list_filter([CASE WHEN r IN (0, 1) THEN 'GATE_ENV_NOT_ALLOWED' END, CASE WHEN r = 2 THEN 'GATE_APPLY_NOT_REQUESTED' END, CASE WHEN r IN (3, 4) THEN 'GATE_OPERATOR_MISSING' END, CASE WHEN r = 5 THEN 'GATE_OPERATOR_INVALID' END,
+  CASE WHEN n IS NULL OR r IN (6, 7) THEN 'GATE_PLAN_HASH_NOT_CONFIRMED' END, CASE WHEN s = 0 OR coalesce(n, 0) > s THEN 'GATE_OPERATION_LIMIT_EXCEEDED' END, CASE WHEN r = 8 THEN 'GATE_WORKSPACE_NOT_DECLARED' END, CASE WHEN r IN (9, 10) THEN 'GATE_WORKSPACE_DECLARATION_MISMATCH' END,
+  CASE WHEN r IN (11, 12) THEN 'GATE_AUDIT_UNAVAILABLE' END], lambda x: x IS NOT NULL)), ',') AS refusals FROM p""")
+def operator_gate(spark, sf):
+    r, s = F.col("o_orderkey") % 14, F.col("o_custkey") % 9
+    plans = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id")).agg(F.count("*").alias("n_ops")).withColumn("plan_hash", F.sha2(F.col("plan_id").cast("string"), 256))
+    confirmed = first_that((r == 6, ""), (r == 7, "0" * 64), otherwise=F.concat(F.lit(" "), F.upper(F.sha2(F.col("o_orderkey").cast("string"), 256))))
+    requests = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("plan_id"), first_that((r == 0, "0"), (r == 1, None), otherwise="1").alias("allowed"), (r != 2).alias("apply"), first_that((r == 3, ""), (r == 4, None), (r == 5, "-me"), otherwise="op:1").alias("operator_id"),
+        confirmed.alias("confirmed_hash"), s.alias("max_operations"), F.when(r == 8, "").otherwise("w").alias("env_workspace"), first_that((r == 9, "v"), (r == 10, None), otherwise="w").alias("workspace"), first_that((r == 11, F.lit(False)), (r == 12, F.lit(None).cast("boolean")), otherwise=F.lit(True)).alias("audited"),
+    )
+    return admission.gate(requests, plans).select("request_id", F.array_join("refusals", ",").alias("refusals"))

@@ -41,3 +41,12 @@ def test_faults(spark):
     altered = ops.withColumn("payload", F.when(F.col("plan_id") == 0, "{1}").otherwise(F.col("payload"))).withColumn("local_override_of", F.when(F.col("plan_id") == 0, ""))
     assert admit(signed, altered)[0] == ["PLAN_IDEMPOTENCY_KEY_UNDERIVED", "PLAN_LOCAL_OVERRIDE_FROM_GAME_LAYER", "PLAN_SIGNATURE_MISMATCH"]
     assert admission.admitted(signed.limit(0), ops, "w", "s", "2026-01-01T00:00:00Z").count() == 0
+
+
+def test_gate_names_all_that_fails(spark):
+    requests = spark.createDataFrame([(1, 1, "1", True, "op-1", "AB ", 2, "w", "w", True), (2, 9, None, None, "x\n", None, None, None, None, None), (3, 1, "1", True, "op", "ab", 1, "w", "v", True), (4, 1, "1", True, "op", "ab", 0, "w", "w", True)],
+        "request_id int, plan_id int, allowed string, apply boolean, operator_id string, confirmed_hash string, max_operations int, env_workspace string, workspace string, audited boolean")
+    plans = spark.createDataFrame([(1, "ab", 2)], "plan_id int, plan_hash string, n_ops long")
+    got = {r.request_id: r.refusals for r in admission.gate(requests, plans).collect()}
+    assert got[1] == [] and got[3] == ["GATE_OPERATION_LIMIT_EXCEEDED", "GATE_WORKSPACE_DECLARATION_MISMATCH"] and got[4] == ["GATE_OPERATION_LIMIT_EXCEEDED"]
+    assert got[2] == ["GATE_APPLY_NOT_REQUESTED", "GATE_AUDIT_UNAVAILABLE", "GATE_ENV_NOT_ALLOWED", "GATE_OPERATION_LIMIT_EXCEEDED", "GATE_OPERATOR_INVALID", "GATE_PLAN_HASH_NOT_CONFIRMED", "GATE_WORKSPACE_NOT_DECLARED"]
