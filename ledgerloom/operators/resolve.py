@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import text as T
@@ -67,13 +70,95 @@ def resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return mentions.join(decided.withColumnRenamed("mention_id", "surface"), "surface").select("mention_id", "entity_id", "score", "margin", "action")
 
 
+#: Queries and vectors that a task compares with one another, on average, and queries whose scores it holds at once.
+BLOCK, AT_ONCE = 4096, 256
+#: More than what the order of a sum, or rounding to six places, changes in a cosine.
+SLACK = 2e-6
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score and rank of each query's k nearest vectors by cosine. The queries are a stated set; vectors
-    are read once."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    """query_id, vec_id, score and rank of each query's k nearest vectors by cosine, all compared exactly. The queries are a
+    stated set.
+
+    Both sides are dealt to blocks, and each pair of blocks is a group of its own, so memory is bounded, however many rows there are;
+    a group gives k rows a query, and more only for scores that rounding may make equal. Vectors of another length, or with
+    a null, have a null score and come last.
+    """
+    parts = lambda rows: max(1, -(-rows.count() // BLOCK))
+    # Columns of their own on each side: a cogroup drops what it takes for the same column twice.
+    q, v = (rows.filter("vec_id IS NOT NULL").select(F.col("vec_id").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")) for rows in (queries, vectors))
+    of_q, of_v = parts(q), parts(v)
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("vec_id", "embedding", own(of_q).alias("q_block"), every(of_v).alias("v_block"))
+    v = v.select("vec_id", "embedding", own(of_v).alias("v_block"), every(of_q).alias("q_block"))
+    of = vectors.schema["vec_id"].dataType.simpleString()
+    blocks = ["q_block", "v_block"]
+    scored = q.groupBy(*blocks).cogroup(v.groupBy(*blocks)).applyInArrow(lambda a, b: nearest_of_block(a, b, k), f"query_id {of}, vec_id {of}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    return scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+
+
+def by_length(rows: pa.Table) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Ids and matrix of the vectors without nulls, by length, and the ids of the others; each by rising id."""
+    rows = rows.select(["vec_id", "embedding"]).sort_by("vec_id").combine_chunks()
+    ids, lists = rows["vec_id"].to_numpy(), rows["embedding"].combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).copy()
+    if lists.flatten().null_count:
+        lengths[pc.unique(pc.list_parent_indices(lists).filter(lists.flatten().is_null())).to_numpy()] = -1
+    found = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths) if n >= 0}
+    return {n: (ids[at], lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)) for n, at in found.items()}, ids[lengths < 0]
+
+
+def nearest_of_block(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+    """query_id, vec_id and score (unrounded) of the pairs that can be among a query's k nearest."""
+    (asked, odd), (held, odd_held) = by_length(queries), by_length(vectors)
+    every = np.sort(vectors["vec_id"].to_numpy())
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
+
+    def unscored(query_ids: np.ndarray, ids: np.ndarray) -> None:
+        for query_id in query_ids:
+            first = ids[ids != query_id][:k]
+            out.append((np.full(len(first), query_id), first, None))
+
+    unscored(odd, every)
+    for n, (query_ids, q) in asked.items():
+        others = np.sort(np.concatenate([odd_held, *(ids for m, (ids, _) in held.items() if m != n)]))
+        if len(others):
+            unscored(query_ids, others)
+        if n in held:
+            for lo in range(0, len(q), AT_ONCE):
+                out.append(best_pairs(query_ids[lo : lo + AT_ONCE], q[lo : lo + AT_ONCE], *held[n], k))
+    kind = queries.schema.field("vec_id").type
+    tables = [pa.table({"query_id": pa.array(a, kind), "vec_id": pa.array(b, kind), "score": pa.nulls(len(a), pa.float64()) if s is None else pa.array(s, pa.float64())}) for a, b, s in out]
+    return pa.concat_tables(tables) if tables else pa.table({"query_id": pa.array([], kind), "vec_id": pa.array([], kind), "score": pa.array([], pa.float64())})
+
+
+def best_pairs(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the vectors within SLACK of its k-th best; of those of an equal score the first k by id."""
+    def summed(a, b):  # in the order of the components, so copies score the same
+        total = np.zeros(len(a))
+        for d in range(a.shape[1]):
+            total += a[:, d] * b[:, d]
+        return total
+
+    with np.errstate(all="ignore"):
+        qn, vn = np.sqrt(summed(q, q)), np.sqrt(summed(v, v))
+        near = (q / np.where(qn == 0, 1, qn)[:, None]) @ (v / np.where(vn == 0, 1, vn)[:, None]).T
+        near[np.isnan(near)] = np.inf  # comes first, as in an ORDER BY
+        near[query_ids[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(q), -np.inf)
+        i, j = np.nonzero((near >= (least - SLACK)[:, None]) & (near > -np.inf))
+        score = summed(q[i], v[j])
+        norm = (qn[i] == 0) | (vn[j] == 0)
+        score = np.where(norm, 0.0, score / np.where(norm, 1, qn[i]) / np.where(norm, 1, vn[j]))
+    value = np.where(np.isnan(score), np.inf, score)
+    order = np.lexsort((ids[j], -value, i))
+    i, j, score, value = i[order], j[order], score[order], value[order]
+    new = np.r_[True, (i[1:] != i[:-1]) | (value[1:] != value[:-1])] if len(i) else np.zeros(0, bool)
+    nth = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0)) if len(i) else np.zeros(0, int)
+    kept = nth < k
+    return query_ids[i[kept]], ids[j[kept]], score[kept]
 
 
 def group_type(mentions: DataFrame, group: str, kind: str, confidence: str) -> DataFrame:
