@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.scores import interval_iou
+from ledgerloom.operators.folds import folded
 from ledgerloom.session import staged
 
 
@@ -74,10 +77,40 @@ def match_relations(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     order of their ids, gold relations take the best prediction left of their source and unordered pair: the right
     predicate first, then the right direction, then by id.
 
-    A gold relation waits for those before it of the same pair, so there are as many rounds as a pair has gold relations.
+    Gold relations go by id, so each finds what those before it left: a source's pair is walked once, its predictions first, which
+    are held by predicate and direction. No gold relation is joined with a prediction. An id belongs to one source and pair; rows
+    without an id, a source or both ends are dropped, and of rows with the same id each can be the one that is matched.
     """
+    key = ["source", "x", "y"]
     ends = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
-    g = gold.select("source", *ends, F.col("id").alias("gold_id"), F.col("predicate").alias("gp"), F.col("direction").alias("gd"))
-    p = predicted.select("source", *ends, F.col("id").alias("pred_id"), F.col("predicate").alias("pp"), F.col("direction").alias("pd"))
-    both = g.join(p, ["source", "x", "y"]).select("source", "gold_id", "pred_id", F.col("gp").eqNullSafe(F.col("pp")).alias("predicate_ok"), F.col("gd").eqNullSafe(F.col("pd")).alias("direction_ok"))
-    return best_first(both, "gold_id", "pred_id", F.col("gold_id"), ~F.col("predicate_ok"), ~F.col("direction_ok"), F.col("pred_id"))
+    side = lambda rows, n: rows.filter("id IS NOT NULL AND source IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").select("source", *ends, F.lit(n).alias("side"), "id", "predicate", "direction")
+
+    def step(state: tuple[dict, set, list], row: dict) -> tuple[tuple[dict, set, list], list]:
+        left, used, waiting = state
+        if row["side"] == 0:
+            left.setdefault((row["predicate"], row["direction"]), deque()).append(row["id"])
+            return state, []
+        found = matched(state, (row["source"],)) if waiting and waiting[-1]["id"] != row["id"] else []
+        waiting.append(row)
+        return state, found
+
+    def matched(state: tuple[dict, set, list], key: tuple) -> list:
+        left, used, waiting = state
+        best = None
+        for kind, ids in left.items():
+            while ids and ids[0] in used:
+                ids.popleft()
+            for row in waiting if ids else ():
+                rank = (kind[0] != row["predicate"], kind[1] != row["direction"], ids[0])
+                best = rank if best is None or rank < best else best
+        found = []
+        if best:
+            used.add(best[2])
+            found.append((key[0], waiting[0]["id"], best[2], not best[0], not best[1]))
+        waiting.clear()
+        return found
+
+    of = lambda c: gold.schema[c].dataType.simpleString()
+    schema = f"source {of('source')}, gold_id {of('id')}, pred_id {predicted.schema['id'].dataType.simpleString()}, predicate_ok boolean, direction_ok boolean"
+    rows = side(gold, 1).unionByName(side(predicted, 0))
+    return folded(rows, key, ["side", "id"], lambda: ({}, set(), []), step, schema, lambda key, state: matched(state, key) if state[2] else [])

@@ -79,3 +79,21 @@ def test_reconciled_proposals(spark):
     assert ((new,), ("m3",), "local", 0.5, 1, [("P", 0.5)], True) in found and (("zz",), ("m3",), "local", 0.5, 1, [("P", 0.5)], False) in found
     assert sum(f[0] == ("m3",) for f in found) == 2  # c4 may be approved by itself, so c5 leaves it alone
     assert merging.reconcile(mentions.limit(0), claims.limit(0))[1].count() == 0
+
+
+def test_relations_of_one_pair_are_walked_once(spark, monkeypatch):
+    """Against the walk; no gold relation is joined with a prediction, whose product a pair of many relations would make."""
+    r = random.Random(9)
+    of = lambda n, p: [(1 + k % 2, f"{p}{k:03d}", *r.choice([("x", "y"), ("y", "x")]), r.choice(["P", "Q", None]), r.choice(["AB", "BA"])) for k in range(n)] + [(None, p, "x", "y", "P", "AB"), (1, None, "x", "y", "P", "AB"), (1, p + "9", None, "y", "P", "AB")]
+    gold, predicted = of(60, "g"), of(50, "p")
+    want, used = [], set()
+    for s, i, *_, gp, gd in sorted(g for g in gold if all(g[:4])):
+        best = min(((gp != pp, gd != pd, j) for t, j, a, b, pp, pd in predicted if t == s and j and a and j not in used), default=None)
+        if best:
+            used.add(best[2])
+            want.append((s, i, best[2], not best[0], not best[1]))
+    schema = "source int, id string, a string, b string, predicate string, direction string"
+    monkeypatch.setattr(matching, "best_first", None)
+    found = matching.match_relations(*(spark.createDataFrame(x, schema) for x in (gold, predicted)))
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want) and len(want) == 50
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
