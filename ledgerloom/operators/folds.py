@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Rows that a task holds as Python values at a time.
 SLICE = 2000
+#: Surfaces of a workspace that are walked together, on average.
+TOGETHER = 16
 
 
 def folded(rows: DataFrame, key: list[str], order: list[str], start: Callable[[], object], step: Callable, schema: str, end: Callable | None = None) -> DataFrame:
@@ -74,36 +76,45 @@ def memory(events: DataFrame, least: float = 0.0) -> DataFrame:
     entity_id, resolution_id, confidence, action. A record of a BINDING action, with an entity and `least` confidence,
     replaces what its surface means only by another entity that is strictly surer. forget_surface drops its surface's
     entry; forget_entity, forget_resolution and forget_workspace drop, in their workspace, the entries of the entity, those
-    that the resolution made, and all. Each of these goes to the surfaces that it can concern, so a surface is a key of its
-    own, however many a workspace has.
+    that the resolution made, and all. About TOGETHER surfaces of a workspace are walked together, however many it has, and
+    each of these goes once to every such group that it can concern.
     """
     fits = (F.col("kind") == "record") & F.col("action").isin(*BINDING) & F.col("entity_id").isNotNull() & (F.col("confidence") >= least) & (F.coalesce("surface", F.lit("")) != "")
-    columns = ["at", "event_id", "kind", *MEMORY_KEY, "entity_id", "resolution_id", "confidence"]
-    records = events.filter(fits).select(*columns)
-    forgets = events.filter(F.col("kind").startswith("forget_"))
+    columns = ["at", "event_id", "kind", "group", *MEMORY_KEY, "entity_id", "resolution_id", "confidence"]
+    most = events.filter(fits).select(*MEMORY_KEY).distinct().groupBy("workspace").count().agg(F.max("count")).first()[0]
+    group = F.pmod(F.xxhash64("scope", "surface"), F.lit(-(-(most or 1) // TOGETHER))).cast("int")
+    records = events.filter(fits).withColumn("group", group).select(*columns)
+    forgets = events.filter(F.col("kind").startswith("forget_")).withColumn("group", group)
     own = forgets.filter("kind = 'forget_surface'").select(*columns)
     parts = [records, own]
     for kind, by in (("forget_entity", ["workspace", "entity_id"]), ("forget_resolution", ["workspace", "resolution_id"]), ("forget_workspace", ["workspace"])):
-        concerned = records.select(*dict.fromkeys([*MEMORY_KEY, *by])).distinct()
-        these = forgets.filter(F.col("kind") == kind).drop(*[c for c in MEMORY_KEY if c not in by]).select("at", "event_id", "kind", *[c for c in ("entity_id", "resolution_id") if c not in by], "confidence", *by)
-        parts.append(these.join(concerned, by).select(*columns))
+        concerned = records.select(*dict.fromkeys(["workspace", "group", *by])).distinct()
+        these = forgets.filter(F.col("kind") == kind).drop("group").join(concerned, by)
+        parts.append(these.select(*columns))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
 
-    def step(held: tuple | None, row: dict) -> tuple[tuple | None, list]:
-        entity, sure, made_by = row["entity_id"], row["confidence"], row["resolution_id"]
-        kind = row["kind"]
+    def step(held: dict, row: dict) -> tuple[dict, list]:
+        """held: entity, confidence and resolution by scope and surface."""
+        key, kind = (row["scope"], row["surface"]), row["kind"]
         if kind == "record":
-            if held is None or (entity != held[0] and sure > held[1]):
-                held = (entity, sure, made_by)
-        elif held is not None and (kind in ("forget_surface", "forget_workspace") or (kind == "forget_entity" and held[0] == entity) or (kind == "forget_resolution" and held[2] == made_by)):
-            held = None
+            now = held.get(key)
+            if now is None or (row["entity_id"] != now[0] and row["confidence"] > now[1]):
+                held[key] = (row["entity_id"], row["confidence"], row["resolution_id"])
+        elif kind == "forget_surface":
+            held.pop(key, None)
+        elif kind == "forget_workspace":
+            held.clear()
+        else:
+            at, value = (0, row["entity_id"]) if kind == "forget_entity" else (2, row["resolution_id"])
+            for lost in [k for k, v in held.items() if v[at] == value] if kind in ("forget_entity", "forget_resolution") else ():
+                del held[lost]
         return held, []
 
     schema = "workspace string, scope string, surface string, entity_id string, confidence double, resolution_id string"
-    typed = rows.select("at", "event_id", "kind", *[F.col(c).cast("string") for c in (*MEMORY_KEY, "entity_id", "resolution_id")], F.col("confidence").cast("double"))
-    return folded(typed, MEMORY_KEY, ["at", "event_id"], lambda: None, step, schema, lambda key, held: [(*key, *held)] if held else [])
+    typed = rows.select("at", "event_id", "kind", "group", *[F.col(c).cast("string") for c in (*MEMORY_KEY, "entity_id", "resolution_id")], F.col("confidence").cast("double"))
+    return folded(typed, ["workspace", "group"], ["at", "event_id"], dict, step, schema, lambda key, held: [(key[0], *k, *v) for k, v in held.items()])
 
 
 def recalled(mentions: DataFrame, held: DataFrame) -> DataFrame:

@@ -27,3 +27,15 @@ def test_memory_is_replaced_only_by_the_surer(spark):
     mentions = spark.createDataFrame([(1, "w", "p1", "kael"), (2, "w", "p2", "kael"), (3, "w", None, "kael"), (4, "w", None, "none"), (5, None, None, None)], "mention_id int, workspace string, scope string, surface string")
     assert sorted((r.mention_id, r.entity_id, r.source) for r in folds.recalled(mentions, early).collect()) == [(1, "E4", "own"), (2, "E3", "shared"), (3, "E3", "shared"), (4, None, "none"), (5, None, "none")]
     assert folds.memory(events.limit(0)).count() == 0
+
+
+def test_forgets_come_once_a_group_of_surfaces(spark, monkeypatch):
+    schema = "at int, event_id string, kind string, workspace string, scope string, surface string, entity_id string, resolution_id string, confidence double, action string"
+    rows = [(k, f"a{k:03d}", "record", "w", None, f"n{k}", f"E{k % 2}", "r", 0.5, "MERGE") for k in range(64)]
+    rows += [(100 + k, f"f{k:03d}", ("forget_entity", "forget_resolution", "forget_workspace")[k % 3], "w", None, None, "E1", "q", None, None) for k in range(99)] + [(300, "z", "record", "w", "s", "n1", "E5", "r", 0.1, "MERGE")]
+    walked, walk = [], folds.folded
+    monkeypatch.setattr(folds, "folded", lambda frame, *rest: walked.append(frame.count()) or walk(frame, *rest))
+    events = spark.createDataFrame(rows, schema)
+    assert [tuple(r)[:4] for r in folds.memory(events).collect()] == [("w", "s", "n1", "E5")]
+    assert walked[0] <= 65 + 99 * -(-65 // folds.TOGETHER) < 65 + 33 * 64
+    assert sorted(r.surface for r in folds.memory(events.filter("at = 100 OR at < 100")).collect()) == sorted(f"n{k}" for k in range(0, 64, 2))
