@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import Window, functions as F
 
 from ledgerloom.llm import exact_dedup, near_dedup, registry, toxicity
 
@@ -55,3 +56,13 @@ def test_toxicity_held_out(spark):
 def test_recipes_tell_texts_apart(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert exact_dedup.verified_seed(docs) == 0
+
+
+def test_toxicity_learns_from_every_label(spark):
+    rows = spark.range(6000).withColumn("toxic", (F.col("id") < 3000).cast("int")).withColumn("lang", F.lit("en"))
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
+    # A word that only the last toxic documents by hash have.
+    word = F.when(F.col("toxic") == 0, "mild").when(turn > 2200, "foul").otherwise("vile")
+    rows = rows.withColumn("text", F.concat_ws(" ", F.lit("some words about"), F.col("id").cast("string"), word)).withColumnRenamed("id", "doc_id").localCheckpoint()
+    got = toxicity.toxicity(rows.select("doc_id", "text", "lang"), rows.select("doc_id", "toxic")).filter("held_out").join(rows.select("doc_id", "text", "toxic"), "doc_id").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.98 and got.predicted[got.text.str.endswith("foul")].mean() > 0.98
