@@ -34,14 +34,14 @@ def inconsistent(ops: DataFrame) -> DataFrame:
     """plan_id, twice and opposed of plans that create an assertion of the same canonical key twice, negated or not, or
     assertions of the same pair and predicate in both orientations.
 
-    Keys are counted and orientations compared by the unordered pair and the predicate, so no two operations meet.
+    Keys are counted and orientations compared by the unordered pair and the predicate, so no two operations meet; ops that
+    are dealt by plan_id are not shuffled, only the plans found are.
     """
     made = ops.filter("op = 'CREATE_ASSERTION'")
-    twice = made.groupBy("plan_id", "canonical_key").agg((F.count("*") > 1).alias("twice")).select("plan_id", "twice", F.lit(False).alias("opposed"))
+    twice = made.groupBy("plan_id", "canonical_key").agg((F.count("*") > 1).alias("twice")).filter("twice").select("plan_id", "twice", F.lit(False).alias("opposed"))
     ends = made.filter("a <> b").groupBy("plan_id", "predicate", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    opposed = ends.agg((F.bool_or(F.col("a") < F.col("b")) & F.bool_or(F.col("a") > F.col("b"))).alias("opposed")).select("plan_id", F.lit(False).alias("twice"), "opposed")
-    found = twice.union(opposed).groupBy("plan_id").agg(F.bool_or("twice").alias("twice"), F.bool_or("opposed").alias("opposed"))
-    return found.filter("twice OR opposed")
+    opposed = ends.agg((F.bool_or(F.col("a") < F.col("b")) & F.bool_or(F.col("a") > F.col("b"))).alias("opposed")).filter("opposed").select("plan_id", F.lit(False).alias("twice"), "opposed")
+    return twice.union(opposed).groupBy("plan_id").agg(F.bool_or("twice").alias("twice"), F.bool_or("opposed").alias("opposed"))
 
 
 def refused(**conditions: Column) -> Column:
@@ -51,9 +51,12 @@ def refused(**conditions: Column) -> Column:
 
 def simulated(ops: DataFrame, applied: DataFrame, bad_plans: DataFrame) -> DataFrame:
     """ops with outcome: refused (its plan is in bad_plans), skipped (op_key is in applied), repeated (a later row of the
-    same op_key) or would_apply. A plan is applied as a whole, so one bad plan leaves the others alone."""
-    first = F.row_number().over(Window.partitionBy("op_key").orderBy("place", "claim_id")) == 1
-    rows = ops.withColumn("first", first).join(applied.select("op_key", F.lit(True).alias("done")).distinct(), "op_key", "left")
+    same op_key) or would_apply. A plan is applied as a whole, so one bad plan leaves the others alone. An op_key belongs to
+    one plan (applied: plan_id, op_key), so what is dealt by plan_id is not shuffled."""
+    both = ops.withColumn("done", F.lit(False)).unionByName(applied.select("plan_id", "op_key", F.lit(True).alias("done")), allowMissingColumns=True)
+    key = Window.partitionBy("plan_id", "op_key")
+    first = F.row_number().over(key.orderBy("done", "place", "claim_id")) == 1
+    rows = both.withColumns({"first": first, "known": F.bool_or("done").over(key)}).filter("NOT done").drop("done").withColumnRenamed("known", "done")
     rows = rows.join(bad_plans.select("plan_id", F.lit(True).alias("bad")).distinct(), "plan_id", "left")
     outcome = first_that((F.col("bad"), "refused"), (F.col("done"), "skipped"), (~F.col("first"), "repeated"), otherwise="would_apply")
     return rows.withColumn("outcome", outcome).drop("first", "done", "bad")
@@ -67,14 +70,22 @@ def rollback(applied: DataFrame) -> DataFrame:
     created (the node or edge made), target (what was changed), changed (names of properties), previous (map of the values
     read before; null: none).
     """
-    rows = applied.filter(F.col("kind").isin(*UNDOES))
-    step = F.row_number().over(Window.partitionBy("plan_id").orderBy(F.col("written_at").desc()))
+    return undone(last_first(applied.filter(F.col("kind").isin(*UNDOES))))
+
+
+def last_first(written: DataFrame, *order: str) -> DataFrame:
+    """What was written (plan_id and others) with step, the last first: by written_at, or by the columns that give the order."""
+    return written.withColumn("step", F.row_number().over(Window.partitionBy("plan_id").orderBy(*[F.col(c).desc() for c in order or ["written_at"]])))
+
+
+def undone(rows: DataFrame) -> DataFrame:
+    """The rows of rollback() for rows (plan_id, step, kind, created, target, changed, previous)."""
     action = first_that(*[(F.col("kind") == k, v) for k, v in UNDOES.items()], otherwise=None)
     set_ = F.col("kind") == "PROPERTIES"
     none = F.array().cast("array<string>")
     read = F.coalesce(F.map_keys("previous"), none)
     return rows.select(
-        "plan_id", step.alias("step"), action.alias("action"), F.when(F.col("kind") == "RELATIONSHIP", F.col("created")).otherwise(F.col("target")).alias("target"),
+        "plan_id", "step", action.alias("action"), F.when(F.col("kind") == "RELATIONSHIP", F.col("created")).otherwise(F.col("target")).alias("target"),
         F.when(set_, F.col("previous")).alias("restore"), F.when(set_, F.array_sort(F.array_except(F.coalesce("changed", none), read))).otherwise(none).alias("lost"),
     )
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ledgerloom.functions.scores import first_that
 from ledgerloom.operators import admission, mutation
+from ledgerloom.session import dealt
 from ledgerloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -31,6 +32,11 @@ def decisions(spark, sf):
     )
 
 
+def accepted(spark, sf):
+    """Accepted decisions, each plan whole in a partition."""
+    return dealt(decisions(spark, sf).filter("action = 'ACCEPT'"), table(spark, sf, "lineitem").count(), "plan_id")
+
+
 # Written from the rules: create, supersede, project; assertions of a pair and predicate may not be repeated nor turned round.
 OPS = """d AS (SELECT l_orderkey AS plan_id, l_orderkey * 10 + l_linenumber AS claim_id, l_suppkey % 4 AS a, 'P' || l_linenumber % 2 AS predicate, l_partkey % 4 AS b, (l_suppkey % 4) || '|P' || (l_linenumber % 2) || '|' || (l_partkey % 4) AS canonical_key, l_linestatus, l_returnflag FROM lineitem WHERE l_quantity > 10),
 o AS (SELECT *, sha256(concat_ws('|', plan_id, claim_id, place, op, canonical_key)) AS op_key FROM (SELECT *, 0 AS place, 'CREATE_ASSERTION' AS op FROM d UNION ALL SELECT *, 1, 'SUPERSEDE_ASSERTION' FROM d WHERE l_linestatus = 'F' UNION ALL SELECT *, 2, 'PROJECT_RELATION' FROM d WHERE l_returnflag <> 'R'))"""
@@ -46,7 +52,7 @@ def plan_operations(spark, sf):
 
 @query("plan_consistency", f"WITH {OPS}, {BAD} SELECT plan_id, twice, opposed FROM bad")
 def plan_consistency(spark, sf):
-    return mutation.inconsistent(mutation.planned(decisions(spark, sf)))
+    return mutation.inconsistent(mutation.planned(accepted(spark, sf)))
 
 
 @query("plan_simulation", f"""WITH {OPS}, {BAD}, done AS (SELECT o.* FROM o JOIN orders ON o_orderkey = plan_id WHERE o_orderstatus = 'F'), late AS (SELECT o.* FROM o UNION ALL SELECT o.* FROM o WHERE op = 'CREATE_ASSERTION'),
@@ -54,9 +60,9 @@ r AS (SELECT plan_id, op, CASE WHEN plan_id IN (SELECT plan_id FROM bad) THEN 'r
 SELECT op, outcome, count(*) AS n FROM r GROUP BY ALL""")
 def plan_simulation(spark, sf):
     """Creations are sent twice; plans of filled orders were applied before."""
-    ops = mutation.planned(decisions(spark, sf))
+    ops = mutation.planned(accepted(spark, sf))
     filled = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("plan_id"))
-    sent = ops.union(ops.filter("op = 'CREATE_ASSERTION'"))
+    sent = ops.withColumn("time", F.explode(F.sequence(F.lit(1), F.when(F.col("op") == "CREATE_ASSERTION", 2).otherwise(1)))).drop("time")
     return mutation.simulated(sent, ops.join(filled, "plan_id", "left_semi"), mutation.inconsistent(ops)).groupBy("op", "outcome").agg(F.count("*").alias("n"))
 
 
@@ -66,17 +72,19 @@ SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY written DESC) A
   CASE WHEN op = 'SUPERSEDE_ASSERTION' THEN 'reason_code,superseded_by,valid_to' ELSE '' END AS lost FROM w""")
 def plan_rollback(spark, sf):
     """Before a supersession only the status was read, so its other properties are lost."""
-    ops = mutation.planned(decisions(spark, sf)).dropDuplicates(["op_key"])
+    # A claim that is decided twice with the same key has its operations once.
+    no = F.bool_and(F.coalesce("negated", F.lit(False))).alias("negated")
+    claims = accepted(spark, sf).groupBy("plan_id", "claim_id", "a", "predicate", "b").agg(F.max("supersedes").alias("supersedes"), no).withColumn("action", F.lit("ACCEPT"))
+    ops = mutation.last_first(mutation.planned(claims).select("plan_id", "claim_id", "canonical_key", "place", "op"), "claim_id", "canonical_key", "place")
     supersedes = F.col("op") == "SUPERSEDE_ASSERTION"
     kinds = first_that(*[(F.col("op") == op, kind) for op, kind in mutation.WRITES.items()], otherwise=None)
-    order = Window.partitionBy("plan_id").orderBy("claim_id", "canonical_key", "place", "op_key")
     target = F.when(supersedes, F.concat(F.lit("old-"), F.col("claim_id") - 1)).otherwise(F.concat(F.lit("new-"), "claim_id"))
     applied = ops.select(
-        "plan_id", F.row_number().over(order).alias("written_at"), kinds.alias("kind"), F.concat(F.lit("edge-"), "claim_id").alias("created"), target.alias("target"),
+        "plan_id", "step", kinds.alias("kind"), F.concat(F.lit("edge-"), "claim_id").alias("created"), target.alias("target"),
         F.when(supersedes, F.array(*map(F.lit, mutation.SUPERSEDED))).alias("changed"), F.when(supersedes, F.create_map(F.lit("status"), F.lit("ACTIVE"))).alias("previous"),
     )
     restore = F.array_join(F.transform(F.map_entries(F.coalesce("restore", F.create_map().cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return mutation.rollback(applied).select("plan_id", F.col("step").cast("long"), "action", "target", restore.alias("restore"), F.array_join("lost", ",").alias("lost"))
+    return mutation.undone(applied).select("plan_id", F.col("step").cast("long"), "action", "target", restore.alias("restore"), F.array_join("lost", ",").alias("lost"))
 
 
 @query("plan_admission", """WITH c AS (SELECT o_orderkey AS plan_id, o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' AS approved, o_orderstatus <> 'F' AS fresh, CASE WHEN o_totalprice > 100000 THEN o_custkey % 3 > 0 END AS signed, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS scoped FROM orders)

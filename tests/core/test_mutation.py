@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import mutation
+from ledgerloom.session import dealt
 
 
 def values(frame, *columns):
@@ -67,3 +68,19 @@ def test_names(spark):
     paths = [("a/b", True), ("", False), (None, False), ("/a", False), ("c:x", False), ("a/..", False), ("..a", True), ("a\x00", False)]
     rows = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(paths)], "k int, p string").select("k", mutation.safe_path(F.col("p")).alias("safe"))
     assert [s for _, s in values(rows, "k", "safe")] == [s for _, s in paths]
+
+
+def shuffles(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_dealt_plans_are_not_shuffled_again(spark):
+    rows = [(1, 1, "A", "OWNS", "B", "ACCEPT", None, False), (1, 1, "A", "OWNS", "B", "ACCEPT", 7, True), (2, 2, "A", "OWNS", "B", "ACCEPT", 1, False)]
+    ops = mutation.planned(dealt(spark.createDataFrame(rows, DECISION), 3, "plan_id"))
+    assert dealt(ops, 3_000_000, "plan_id").rdd.getNumPartitions() == 10  # a partition holds no more rows when there are more
+    assert shuffles(mutation.last_first(ops, "claim_id", "place")) == 1
+    got = [(r.plan_id, r.claim_id, r.op, r.step) for r in mutation.last_first(ops.dropDuplicates(["plan_id", "claim_id", "op"]), "claim_id", "place").collect()]
+    assert sorted(got) == [(1, 1, "CREATE_ASSERTION", 3), (1, 1, "PROJECT_RELATION", 1), (1, 1, "SUPERSEDE_ASSERTION", 2), (2, 2, "CREATE_ASSERTION", 3), (2, 2, "PROJECT_RELATION", 1), (2, 2, "SUPERSEDE_ASSERTION", 2)]
+    tried = mutation.simulated(ops, ops.filter("plan_id = 2"), mutation.inconsistent(ops).limit(0))
+    assert values(tried.groupBy("plan_id", "outcome").count(), "plan_id", "outcome", "count") == [(1, "repeated", 1), (1, "would_apply", 3), (2, "skipped", 3)]
+    assert values(mutation.inconsistent(ops), "plan_id", "twice", "opposed") == [(1, True, False)]
