@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.scores import first_that, f1, interval_iou, precision, recall
+from ledgerloom.session import partitions, staged
 
 
 def literal_evidence(fragments: DataFrame, texts: DataFrame) -> DataFrame:
@@ -107,10 +108,16 @@ def compared(samples: DataFrame, k: float = 3.0) -> DataFrame:
 
 def priority(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows (decision, disagree, confidence, id) with place: by decision, those in disagreement first, unknown confidence
-    first, then the least sure. Places are counted within decisions and moved up by those before, so no task sorts all."""
+    first, then the least sure. Rows are dealt by ranges of that order, sorted and counted within their range and moved up by
+    the ranges before, so no task sorts all or a whole decision."""
     ranks = F.create_map(*[F.lit(x) for i, d in enumerate(order) for x in (d, i)])
     rows = rows.withColumn("rank", F.coalesce(F.try_element_at(ranks, F.col("decision")), F.lit(len(order))))
-    w = Window.partitionBy("rank").orderBy(F.col("disagree").desc(), F.col("confidence").asc_nulls_first(), "id")
-    sizes = rows.groupBy("rank").agg(F.count("*").alias("n"))
-    before = sizes.select(F.col("rank"), (F.sum("n").over(Window.orderBy("rank")) - F.col("n")).alias("before"))  # as many rows as decisions
-    return rows.withColumn("at", F.row_number().over(w)).join(F.broadcast(before), "rank").select("id", "decision", (F.col("at") + F.col("before")).alias("place"))
+    rows = staged(rows.select("id", "decision", "disagree", "confidence", "rank"), "reviews")
+    by = [F.col("rank"), F.col("disagree").desc(), F.col("confidence").asc_nulls_first(), F.col("id")]
+    # The id of a row is its range's number and, in the lower 33 bits, its place there.
+    number = F.monotonically_increasing_id()
+    ranges = rows.repartitionByRange(partitions(rows.sparkSession, rows.count()), *by).sortWithinPartitions(*by).withColumn("number", number)
+    ranges = staged(ranges.select("id", "decision", F.shiftright("number", 33).alias("range"), F.col("number").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranges")
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # as many rows as ranges
+    return ranges.join(F.broadcast(before), "range").select("id", "decision", (F.col("at") + F.col("before") + 1).alias("place"))

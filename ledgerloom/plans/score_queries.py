@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ledgerloom.functions import scores
 from ledgerloom.operators import relations
+from ledgerloom.session import dealt
 from ledgerloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -113,8 +114,11 @@ def co_mention_pairs(spark, sf):
 @query("co_mention_support", """WITH m AS (SELECT DISTINCT l_orderkey AS context, l_suppkey AS entity FROM lineitem)
 SELECT x.entity AS a, y.entity AS b, count(*) AS support FROM m x JOIN m y ON x.context = y.context AND x.entity < y.entity GROUP BY ALL HAVING count(*) >= 5""")
 def co_mention_support(spark, sf):
-    m = items(spark, sf).select(F.col("l_orderkey").alias("context"), F.col("l_suppkey").alias("entity")).distinct()
-    return m.withColumnRenamed("entity", "a").join(m.withColumnRenamed("entity", "b"), "context").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("support")).filter("support >= 5")
+    lines = items(spark, sf).select(F.col("l_orderkey").alias("context"), F.col("l_suppkey").alias("entity"))
+    n = lines.count()
+    m = dealt(lines, n, "context").distinct()
+    pairs = m.withColumnRenamed("entity", "a").join(m.withColumnRenamed("entity", "b"), "context").filter("a < b").select("a", "b")
+    return dealt(pairs, 3 * n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("support")).filter("support >= 5")
 
 
 VOTES = """v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 1 WHEN l_quantity < 10 THEN -1 ELSE 0 END AS d, CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END AS t,
