@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.cues import epistemic_state
@@ -75,9 +75,9 @@ def has_repeat(text: str, block: int, times: int) -> bool:
 
 def repeats_block(text: Column, block: int = 24, times: int = 3) -> Column:
     """Whether some window of `block` characters stands `times` times in the text; windows may overlap. Null: false."""
-    @F.pandas_udf("boolean")
-    def judged(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t is not None and has_repeat(t, block, times)).astype(bool)
+    @F.arrow_udf("boolean")
+    def judged(texts: pa.Array) -> pa.Array:  # one text at a time is a string
+        return pa.array((x.is_valid and has_repeat(x.as_py(), block, times) for x in texts), pa.bool_(), size=len(texts))
 
     return judged(text)
 

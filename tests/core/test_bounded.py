@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom import session
-from ledgerloom.operators import joins
+from ledgerloom.operators import assess, joins
 from ledgerloom.plans import score_queries
 
 
@@ -21,3 +21,8 @@ def test_pairs_are_counted_in_partitions_by_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "PARTITION_ROWS", 1000)
     got = score_queries.co_mention_support(spark, "/root/testdata/sf0.001")
     assert got.rdd.getNumPartitions() > 10
+
+
+def test_blocks_are_judged_text_by_text(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 71), (4, "x" * 72), (5, "é" * 80)], "id int, text string").coalesce(1)
+    assert [r[1] for r in rows.select("id", assess.repeats_block(F.col("text"))).orderBy("id").collect()] == [False, False, False, True, True]
