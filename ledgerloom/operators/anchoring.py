@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ledgerloom.functions.scores import codes
-from ledgerloom.operators.lexicon import Tokens, phrase
+from ledgerloom.operators.lexicon import Norms, Tokens, phrase
 
 #: Quotes in a pack, on average.
 PACK = 200
@@ -167,10 +167,10 @@ def quote_places(documents: DataFrame, quotes: DataFrame) -> DataFrame:
                 continue
             spans = [(s, s + len(quote)) for s in places(text, quote)]
             if not spans:
-                tokens = tokens or Tokens(text, {})
+                tokens = tokens or Tokens(text, Norms())
                 wanted = phrase(quote)
                 n = len(wanted)
-                spans = [(tokens.starts[i], tokens.ends[i + n - 1]) for i in range(len(tokens.norms) - n + 1) if n and tokens.norms[i : i + n] == wanted]
+                spans = [(tokens.starts[i], tokens.end(i + n - 1)) for i in range(len(tokens.norms) - n + 1) if n and tokens.norms[i : i + n] == wanted]
             if spans:
                 yield q["quote_id"], doc_id, *spans[0], len(spans)
 

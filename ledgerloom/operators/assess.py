@@ -150,14 +150,14 @@ def cue_signals(pairs: DataFrame) -> DataFrame:
     window (null: none); times (sorted, each cue of time once), years; categories (sorted) that admit the types; and the
     epistemic status and nuance of the window. Nothing is decided; a null type admits nothing."""
     low = pairs.withColumn("__low", F.lower("window"))
-    place = lambda cue: F.instr("__low", F.lit(cue))
+    place = lambda cue: F.when(F.contains("__low", F.lit(cue)), F.instr("__low", F.lit(cue)))  # noqa: E731  # most are not there, which is soon seen
     literal = lambda at, n: F.substring("window", at, n)
 
     def first_cue(cues: tuple[str, ...]) -> Column:
         found = F.array_min(F.filter(F.array(*[F.struct(place(c).alias("at"), F.lit(k).alias("k"), F.lit(len(c)).alias("n")) for k, c in enumerate(cues)]), lambda x: x["at"] > 0))
         return literal(found["at"], found["n"])
 
-    times = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(place(c) > 0, literal(place(c), F.lit(len(c)))) for c in TIME_CUES]))))
+    times = F.array_sort(F.array_distinct(F.array_compact(F.array(*[literal(place(c), F.lit(len(c))) for c in TIME_CUES]))))
     admits = codes(*[(F.struct("s_type", "o_type").isin(*[F.struct(F.lit(a).alias("s_type"), F.lit(b).alias("o_type")) for a, b in kinds]), name) for name, kinds in TYPE_PAIRS.items()])
     status, nuance = epistemic_state(F.col("window"))
     out = low.withColumns({

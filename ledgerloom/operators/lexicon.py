@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -27,11 +29,14 @@ TRIE_MOST = 200_000
 SLICE = 500
 #: Kinds that are only reported in sentences that have a rule's phrase.
 MARKS = ("coordination", "punctuation")
-PIECE = re.compile(r"(\w+)|([.!?;\n\r]+)|([,:()—–])")
+WORD, BREAK, WEAK = re.compile(r"\w+"), re.compile(r"[.!?;\n\r]+"), re.compile("[,:()—–]")
+#: What ends a sentence where the windows of pairs are cut.
+STOP = re.compile(r"[.!?\n]")
 HITS = (
     "text_id long, copy long, kind string, entry string, type string, confidence double, canonical boolean, start int, end int, "
     "first int, last int, sentence int, last_sentence int, before string"
 )
+PAIRS = "text_id long, copy long, at int, segment string, s_start int, s_end int, s_type string, o_start int, o_end int, o_type string"
 # Tokens and phrases that coordinate, what makes the next mention a modifier, limits.
 COORDINATION = ("y", "e", "o", "u", "ni", "y tambien", "o tambien", "asi como", "ni siquiera", "junto a", "junto con", "ademas de", "al igual que", "tanto como", "o a", "o de", "y a")
 MODIFIERS = ("de", "del", "por", "para", "segun", "sobre")
@@ -41,32 +46,50 @@ ALIAS_FACTOR, RULE_BASE, MOST_CONFIDENCE, REVIEW_BELOW, UNSURE_FACTOR = 0.85, 0.
 
 def normal(token: str) -> str:
     """The token decomposed, lower-case, without marks and signs."""
+    if token.isascii() and token.isalnum():
+        return token.lower()
     plain = "".join(c for c in unicodedata.normalize("NFKD", token.lower()) if unicodedata.category(c) != "Mn")
     return re.sub(r"[^\w\s]", "", re.sub(r"[-_/\\]", " ", plain)).strip()
 
 
+class Norms(dict):
+    """Tokens' normal forms, each made once."""
+
+    def __missing__(self, token: str) -> str:
+        self[token] = found = normal(token)
+        return found
+
+
 class Tokens:
-    """A text's tokens with their places, the sentence of each, and weak punctuation by the token behind it."""
-
-    def __init__(self, text: str, norms: dict[str, str]):
-        self.words, self.norms, self.starts, self.ends, self.sentences, self.weak = [], [], [], [], [], []
-        self.text, self.breaks, sentence = text, [(0, 0)], 0  # where each sentence's text starts, and the mark before it
-        for m in PIECE.finditer(text):
-            if m.lastindex == 1:
-                word = m.group()
-                if word not in norms:
-                    norms[word] = normal(word)
-                self.words.append(word)
-                self.norms.append(norms[word])
-                self.starts.append(m.start())
-                self.ends.append(m.end())
-                self.sentences.append(sentence)
-            elif m.lastindex == 2:
-                sentence += 1
-                self.breaks.append((m.end(), m.start()))
-            else:
-                self.weak.append((len(self.words), sentence, m.start()))
+    """A text's tokens, and for texts that ask for them their places, the sentence of each, and weak punctuation by the token
+    behind it."""
+
+    def __init__(self, text: str, norms: Norms):
+        self.text, self.words = text, WORD.findall(text)
+        self.norms = list(map(norms.__getitem__, self.words))
+
+    @cached_property
+    def starts(self) -> list[int]:
+        return [m.start() for m in WORD.finditer(self.text)]
+
+    @cached_property
+    def breaks(self) -> list[tuple[int, int]]:
+        """Where each sentence's text starts, and the mark before it."""
+        return [(0, 0), *((m.end(), m.start()) for m in BREAK.finditer(self.text))]
+
+    @cached_property
+    def weak(self) -> list[tuple[int, int, int]]:
+        places = [m.start() for m in WEAK.finditer(self.text)]
+        return [(bisect_left(self.starts, at), self.sentence_at(at), at) for at in places]
+
+    def end(self, i: int) -> int:
+        return self.starts[i] + len(self.words[i])
+
+    def sentence_at(self, place: int) -> int:
+        return bisect_right(self.breaks, (place, len(self.text))) - 1
 
+    def sentence_of(self, i: int) -> int:
+        return self.sentence_at(self.starts[i])
 
     def sentence(self, k: int) -> tuple[int, str]:
         """Where the sentence starts, and its text without the mark that ends it."""
@@ -93,8 +116,8 @@ def trie_of(rows: list) -> dict:
 def scan(tokens: Tokens, trie: dict) -> Iterator[tuple[int, int, tuple]]:
     """(first token, last token, row) of all phrases, also those within one another."""
     norms = tokens.norms
-    for i, norm in enumerate(norms):
-        node, j = trie.get(norm), i
+    for i in [i for i, norm in enumerate(norms) if norm in trie]:
+        node, j = trie[norms[i]], i
         while node:
             for row in node.get(None, ()):
                 yield i, j, row
@@ -130,7 +153,7 @@ def mentions_of(tokens: Tokens, found: list[tuple]) -> list[tuple]:
     hits = longest_first([h for h in found if h[2][0] == "entity"])
     hits += titled(tokens, [h for h in found if h[2][0] == "title"])
     surface = lambda h: h[2][5]
-    hits.sort(key=lambda h: (tokens.starts[h[0]], tokens.starts[h[0]] - tokens.ends[h[1]], -(h[2][3] or 0), surface(h), h[2][1]))
+    hits.sort(key=lambda h: (tokens.starts[h[0]], tokens.starts[h[0]] - tokens.end(h[1]), -(h[2][3] or 0), surface(h), h[2][1]))
     kept, until = [], -1
     for h in hits:
         if h[0] > until:
@@ -143,18 +166,32 @@ def text_rows(text_id: int | None, copy: int, tokens: Tokens, found: list[tuple]
     """Rows of HITS of a text; marks only in sentences with a rule's phrase, every row once. The word before a mention is of
     the same sentence."""
     rules = [h for h in found if h[2][0] not in ("entity", "title", *MARKS)]
-    sentences = {tokens.sentences[h[0]] for h in rules}
-    marks = [h for h in found if h[2][0] in MARKS and tokens.sentences[h[0]] in sentences]
+    sentences = {tokens.sentence_of(h[0]) for h in rules}
+    marks = [h for h in found if h[2][0] in MARKS and tokens.sentence_of(h[0]) in sentences]
     rows = []
     for first, last, (kind, entry, type_, confidence, canonical, _) in dict.fromkeys([*mentions_of(tokens, found), *rules, *marks]):
-        before = tokens.norms[first - 1] if first and (kind != "entity" or tokens.sentences[first - 1] == tokens.sentences[first]) else None
-        rows.append((text_id, copy, kind, entry, type_, confidence, canonical, tokens.starts[first], tokens.ends[last], first, last, tokens.sentences[first], tokens.sentences[last], before))
+        sentence = tokens.sentence_of(first)
+        before = tokens.norms[first - 1] if first and (kind != "entity" or tokens.sentence_of(first - 1) == sentence) else None
+        rows.append((text_id, copy, kind, entry, type_, confidence, canonical, tokens.starts[first], tokens.end(last), first, last, sentence, tokens.sentence_of(last), before))
     named = Counter(r[11] for r in rows if r[2] == "entity")
     for s in sentences:
         if named[s] > 1:
             start, said = tokens.sentence(s)
             rows.append((text_id, copy, "sentence", said, None, None, None, start, start + len(said), None, None, s, s, None))
-    rows += [(text_id, copy, "punctuation", None, None, None, None, at, at + 1, i, i - 1, s, s, None) for i, s, at in tokens.weak if s in sentences]
+    rows += [(text_id, copy, "punctuation", None, None, None, None, at, at + 1, i, i - 1, s, s, None) for i, s, at in (tokens.weak if sentences else ()) if s in sentences]
+    return rows
+
+
+def pair_rows(text_id: int | None, copy: int, tokens: Tokens, found: list[tuple]) -> list[tuple]:
+    """Rows of PAIRS of a text."""
+    spans = [(tokens.starts[first], tokens.end(last), row[2]) for first, last, row in mentions_of(tokens, found)] if found else []
+    if len(spans) < 2:
+        return []
+    stops, rows = [m.end() for m in STOP.finditer(tokens.text)], []
+    for (s, s_end, s_type), (o, o_end, o_type) in zip(spans, spans[1:]):
+        before, behind = bisect_right(stops, s), bisect_right(stops, o_end)
+        at = stops[before - 1] if before else 0
+        rows.append((text_id, copy, at, tokens.text[at : stops[behind] if behind < len(stops) else None], s - at, s_end - at, s_type, o - at, o_end - at, o_type))
     return rows
 
 
@@ -179,31 +216,46 @@ def phrase_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     A lexicon of up to TRIE_MOST rows goes to all tasks; a larger one is joined by the texts' runs of tokens.
     """
-    schema = to_arrow_schema(StructType.fromDDL(HITS))
+    return scanned(texts, lexicon, text_rows, HITS)
+
+
+def mention_pairs(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """PAIRS of texts (text_id, text): each mention (as phrase_hits finds them) and the next one of its text, in the segment of
+    the sentences of both and all between, which ends with . ! ? or a line feed. The segment begins at `at`; the other
+    places count from there. Only segments leave the task that reads a text."""
+    return scanned(texts, lexicon, pair_rows, PAIRS)
+
+
+def scanned(texts: DataFrame, lexicon: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """The rows that of(text_id, copy, tokens, found phrases) makes of each text."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
     columns = ["kind", "entry", "type", "confidence", "canonical", "surface"]
     lexicon, texts = lexicon.select(*columns), texts.select(F.col("text_id").cast("long"), F.monotonically_increasing_id().alias("copy"), "text")
     rows = lexicon.limit(TRIE_MOST + 1).collect()  # a bounded number of rows
-    batch_of = lambda rows: pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(arrow), arrow)], schema=arrow)
+
     if len(rows) <= TRIE_MOST:
         shared = texts.sparkSession.sparkContext.broadcast(trie_of(rows))
 
         def task(batches):
-            trie, norms = shared.value, {}
+            trie, norms = shared.value, Norms()
             for part in slices(batches):
                 if len(norms) > 500_000:
                     norms.clear()
                 out = []
                 for text_id, copy, text in part:
                     tokens = Tokens(text or "", norms)
-                    out += text_rows(text_id, copy, tokens, list(scan(tokens, trie)))
+                    out += of(text_id, copy, tokens, list(scan(tokens, trie)))
                 yield batch_of(out)
 
-        return texts.mapInArrow(task, HITS)
-    return joined_hits(texts, lexicon, batch_of)
+        return texts.mapInArrow(task, schema)
+    return joined_rows(texts, lexicon, of, schema, batch_of)
 
 
-def joined_hits(texts: DataFrame, lexicon: DataFrame, batch_of) -> DataFrame:
-    """phrase_hits of any lexicon: its phrases and the texts' runs of tokens, as long as the phrases are, meet by key; the
+def joined_rows(texts: DataFrame, lexicon: DataFrame, of: Callable, schema: str, batch_of: Callable) -> DataFrame:
+    """scanned with any lexicon: its phrases and the texts' runs of tokens, as long as the phrases are, meet by key; the
     texts that have some are then scanned by a trie of their own phrases only."""
     columns = lexicon.columns
 
@@ -215,7 +267,7 @@ def joined_hits(texts: DataFrame, lexicon: DataFrame, batch_of) -> DataFrame:
     sizes = sorted(r[0] for r in keyed.select(F.size(F.split("key", " "))).distinct().collect())  # lengths of phrases
 
     def run_task(batches):
-        norms: dict[str, str] = {}
+        norms = Norms()
         for part in slices(batches):
             if len(norms) > 500_000:
                 norms.clear()
@@ -227,14 +279,14 @@ def joined_hits(texts: DataFrame, lexicon: DataFrame, batch_of) -> DataFrame:
     numbered = staged(texts, "numbered")  # both sides see the same numbers
     found = numbered.mapInArrow(run_task, "copy long, key string").join(keyed, "key").select(F.col("copy").alias("of"), *columns)
 
-    def scan_task(of, phrases):
-        trie, norms, out = trie_of(phrases.select(columns).to_pylist()), {}, []
-        for text_id, copy, text in zip(*(of.column(c).to_pylist() for c in ("text_id", "copy", "text"))):
+    def scan_task(some, phrases):
+        trie, norms, out = trie_of(phrases.select(columns).to_pylist()), Norms(), []
+        for text_id, copy, text in zip(*(some.column(c).to_pylist() for c in ("text_id", "copy", "text"))):
             tokens = Tokens(text or "", norms)
-            out += text_rows(text_id, copy, tokens, list(scan(tokens, trie)))
+            out += of(text_id, copy, tokens, list(scan(tokens, trie)))
         return pa.Table.from_batches([batch_of(out)])
 
-    return numbered.groupBy("copy").cogroup(found.groupBy("of")).applyInArrow(scan_task, HITS)
+    return numbered.groupBy("copy").cogroup(found.groupBy("of")).applyInArrow(scan_task, schema)
 
 
 def rule_lexicon(rules: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ledgerloom.functions import cues
 from ledgerloom.functions.scores import first_that
 from ledgerloom.operators import assess
 from ledgerloom.plans.decision_queries import cased
-from ledgerloom.plans.extract_queries import MENTIONS, hits
+from ledgerloom.plans.extract_queries import MENTIONS, hits, mention_pairs
 from ledgerloom.plans.text_queries import fold
 from ledgerloom.sources.tables import table
 
@@ -120,13 +120,8 @@ SELECT doc_id, s AS s_start, {", ".join(f"{sql_cue(c)} AS {name}" for name, c in
   array_to_string(list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN instr(l, '{c}') > 0 THEN substring(w, CAST(instr(l, '{c}') AS INTEGER), {len(c)}) END" for c in assess.TIME_CUES)}], lambda x: x IS NOT NULL))), ',') AS times,
   coalesce(CASE {TYPES} END, '') AS categories FROM q""")
 def relation_cues(spark, sf):
-    order = Window.partitionBy("text_id", "copy").orderBy("start")
-    found = hits(spark, sf).filter("kind = 'entity'")
-    next_ = lambda c: F.lead(c).over(order)
-    pairs = found.select(F.col("text_id").alias("doc_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("type").alias("s_type"), next_("start").alias("o_start"), next_("end").alias("o_end"), next_("type").alias("o_type"))
-    said = pairs.filter("o_start IS NOT NULL").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("segment")), "doc_id")
-    rows = assess.cue_signals(assess.pair_window(said))
-    return rows.select("doc_id", "s_start", *assess.SENTENCE_CUES, F.array_join("times", ",").alias("times"), F.array_join("categories", ",").alias("categories"))
+    rows = assess.cue_signals(assess.pair_window(mention_pairs(spark, sf)))
+    return rows.select("doc_id", (F.col("at") + F.col("s_start")).alias("s_start"), *assess.SENTENCE_CUES, F.array_join("times", ",").alias("times"), F.array_join("categories", ",").alias("categories"))
 
 
 @query("relation_directions", """WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS k, CASE l_partkey % 5 WHEN 0 THEN ' was founded by ' WHEN 1 THEN ' is led from ' WHEN 2 THEN ' leads ' WHEN 3 THEN ' bypasses ' ELSE ' and ' END AS between FROM lineitem),

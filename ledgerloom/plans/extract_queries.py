@@ -48,9 +48,17 @@ def entities(spark, sf):
     )
 
 
+def documents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+
+
 def hits(spark, sf):
-    entries = lexicon.entity_lexicon(entities(spark, sf)).unionByName(lexicon.rule_lexicon(rules(spark)))
-    return lexicon.phrase_hits(table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text"), entries)
+    return lexicon.phrase_hits(documents(spark, sf), lexicon.entity_lexicon(entities(spark, sf)).unionByName(lexicon.rule_lexicon(rules(spark))))
+
+
+def mention_pairs(spark, sf):
+    """Each mention of a document and the next one, in the text of their sentences and all between."""
+    return lexicon.mention_pairs(documents(spark, sf), lexicon.entity_lexicon(entities(spark, sf))).withColumnRenamed("text_id", "doc_id")
 
 
 # ---- the same in DuckDB: tokens with places, every run of one to three tokens against the lexicon, overlaps one by one
