@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ledgerloom.functions import cues
 from ledgerloom.functions.scores import first_that
 from ledgerloom.operators import assess
 from ledgerloom.plans.decision_queries import cased
-from ledgerloom.plans.extract_queries import MENTIONS, hits, mention_pairs
+from ledgerloom.plans.extract_queries import MENTIONS, mention_pairs
 from ledgerloom.plans.text_queries import fold
 from ledgerloom.sources.tables import table
 
@@ -97,11 +97,8 @@ b AS (SELECT *, substring(text, se + 1, o - se) AS mid, substring(text, s + 1, o
 SELECT doc_id, s AS s_start, o - se AS chars, NOT regexp_matches(upto, '[.!?\n]') AS same_sentence, NOT regexp_matches(upto, '[.!?\n,;:]') AS same_clause, list_filter({LIST}, lambda v: list_contains(words, v))[1] AS verb FROM b""")
 def relation_signals(spark, sf):
     """Each mention of a document and the next one."""
-    order = Window.partitionBy("text_id", "copy").orderBy("start")
-    found = hits(spark, sf).filter("kind = 'entity'")
-    pairs = found.select(F.col("text_id").alias("doc_id"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.lead("start").over(order).alias("o_start"), F.lead("end").over(order).alias("o_end")).filter("o_start IS NOT NULL")
-    said = pairs.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("segment")), "doc_id")
-    return assess.pair_signals(said, VERBS).select("doc_id", "s_start", "chars", "same_sentence", "same_clause", "verb")
+    rows = assess.pair_signals(mention_pairs(spark, sf), VERBS)
+    return rows.select("doc_id", (F.col("at") + F.col("s_start")).alias("s_start"), "chars", "same_sentence", "same_clause", "verb")
 
 
 def sql_cue(cues_):

@@ -27,3 +27,8 @@ def test_pairs_carry_their_sentences_and_are_joined_with_no_text(spark):
     whole = whole.select("text_id", "at", F.col("whole").alias("segment"), *[p.alias(c) for p, c in zip(places, ("s_start", "s_end", "o_start", "o_end"))])
     windows = lambda rows: sorted((r.text_id, r.at, r.window) for r in assess.pair_window(rows.filter("text_id > 0")).collect())
     assert windows(got) == windows(whole)
+
+
+def test_signals_of_pairs_are_joined_with_no_text(spark):
+    got = assess_queries.relation_signals(spark, SMALL)
+    assert "Join" not in plan(got) and "Exchange" not in plan(got)
