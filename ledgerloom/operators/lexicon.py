@@ -12,7 +12,7 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cached_property, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -162,14 +162,20 @@ def mentions_of(tokens: Tokens, found: list[tuple]) -> list[tuple]:
     return kept
 
 
-def text_rows(text_id: int | None, copy: int, tokens: Tokens, found: list[tuple]) -> list[tuple]:
+def text_rows(text_id: int | None, copy: int, tokens: Tokens, found: list[tuple], paired: bool = False) -> list[tuple]:
     """Rows of HITS of a text; marks only in sentences with a rule's phrase, every row once. The word before a mention is of
-    the same sentence."""
+    the same sentence. paired: only rows of sentences with a rule's phrase and two mentions that end in them."""
     rules = [h for h in found if h[2][0] not in ("entity", "title", *MARKS)]
+    mentions = mentions_of(tokens, found) if rules or not paired else []
+    if paired:
+        inside = Counter(s for first, last, _ in mentions if (s := tokens.sentence_of(first)) == tokens.sentence_of(last))
+        rules = [h for h in rules if inside[tokens.sentence_of(h[0])] > 1] if max(inside.values(), default=0) > 1 else []
     sentences = {tokens.sentence_of(h[0]) for h in rules}
+    if paired:
+        mentions = [h for h in mentions if tokens.sentence_of(h[0]) in sentences]
     marks = [h for h in found if h[2][0] in MARKS and tokens.sentence_of(h[0]) in sentences]
     rows = []
-    for first, last, (kind, entry, type_, confidence, canonical, _) in dict.fromkeys([*mentions_of(tokens, found), *rules, *marks]):
+    for first, last, (kind, entry, type_, confidence, canonical, _) in dict.fromkeys([*mentions, *rules, *marks]):
         sentence = tokens.sentence_of(first)
         before = tokens.norms[first - 1] if first and (kind != "entity" or tokens.sentence_of(first - 1) == sentence) else None
         rows.append((text_id, copy, kind, entry, type_, confidence, canonical, tokens.starts[first], tokens.end(last), first, last, sentence, tokens.sentence_of(last), before))
@@ -202,7 +208,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             yield list(zip(*(c.to_pylist() for c in part.columns)))
 
 
-def phrase_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+def phrase_hits(texts: DataFrame, lexicon: DataFrame, paired: bool = False) -> DataFrame:
     """HITS of texts (text_id, text): mentions (kind entity), and all phrases of the other kinds.
 
     lexicon: kind, entry, surface, and for entities type, confidence and canonical. The kind entity names things, of whose
@@ -212,11 +218,12 @@ def phrase_hits(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     surface without tokens and a null text have no hits; repeated rows have hits of their own (copy tells them apart). Places count code points
     from 0, ends are exclusive; tokens count from 0, last is inclusive; before is the token in front.
 
-    The text of each sentence with a rule's phrase and two mentions is a hit of the kind sentence.
+    The text of each sentence with a rule's phrase and two mentions is a hit of the kind sentence. paired: only hits of such
+    sentences, which are all that rule_claims and in_context look at.
 
     A lexicon of up to TRIE_MOST rows goes to all tasks; a larger one is joined by the texts' runs of tokens.
     """
-    return scanned(texts, lexicon, text_rows, HITS)
+    return scanned(texts, lexicon, partial(text_rows, paired=paired), HITS)
 
 
 def mention_pairs(texts: DataFrame, lexicon: DataFrame) -> DataFrame:

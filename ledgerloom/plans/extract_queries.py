@@ -52,8 +52,8 @@ def documents(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
 
 
-def hits(spark, sf):
-    return lexicon.phrase_hits(documents(spark, sf), lexicon.entity_lexicon(entities(spark, sf)).unionByName(lexicon.rule_lexicon(rules(spark))))
+def hits(spark, sf, paired=False):
+    return lexicon.phrase_hits(documents(spark, sf), lexicon.entity_lexicon(entities(spark, sf)).unionByName(lexicon.rule_lexicon(rules(spark))), paired)
 
 
 def mention_pairs(spark, sf):
@@ -117,7 +117,7 @@ r AS (SELECT *, list_sort(list_filter([
 SELECT doc_id, rule_id, p.predicate AS predicate, p.direction AS direction, p.start AS start, p.stop AS stop, s.entry AS subject, s.start AS s_start, s.stop AS s_end, o.entry AS object, o.start AS o_start, o.stop AS o_end,
   array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN sure END AS confidence, CASE WHEN len(reasons) = 0 THEN sure < 0.6 END AS review FROM r""")
 def rule_claims(spark, sf):
-    found = lexicon.rule_claims(hits(spark, sf), rules(spark))
+    found = lexicon.rule_claims(hits(spark, sf, paired=True), rules(spark))
     return found.drop("copy", "sentence").withColumnsRenamed({"text_id": "doc_id", "end": "stop"}).withColumn("reasons", F.array_join("reasons", ","))
 
 

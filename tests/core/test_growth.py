@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assess, lexicon
-from ledgerloom.plans import assess_queries
+from ledgerloom.plans import assess_queries, extract_queries
 
 SMALL = "/root/testdata/sf0.001"
 LEXICON = "kind string, entry string, type string, confidence double, canonical boolean, surface string"
@@ -32,3 +32,14 @@ def test_pairs_carry_their_sentences_and_are_joined_with_no_text(spark):
 def test_signals_of_pairs_are_joined_with_no_text(spark):
     got = assess_queries.relation_signals(spark, SMALL)
     assert "Join" not in plan(got) and "Exchange" not in plan(got)
+
+
+def test_claims_need_only_hits_of_sentences_with_pairs(spark):
+    texts = spark.createDataFrame([(1, "Ana está en Roma. Ana en casa. En Roma! En Ana y Roma en Ana; en"), (2, "en en"), (3, None), (4, "Ana en. Roma")], "text_id long, text string")
+    named = spark.createDataFrame([(n, n, [], None, 0.5) for n in ("Ana", "Roma")], "entry string, name string, aliases array<string>, type string, confidence double")
+    rules = spark.createDataFrame(extract_queries.RULES, extract_queries.RULE_COLUMNS)
+    entries = lexicon.entity_lexicon(named).unionByName(lexicon.rule_lexicon(rules))
+    every, paired = lexicon.phrase_hits(texts, entries), lexicon.phrase_hits(texts, entries, paired=True)
+    claims = lambda hits: sorted(map(str, lexicon.rule_claims(hits, rules).collect()))
+    assert claims(every) == claims(paired) and len(claims(paired)) == 2
+    assert {(r.text_id, r.sentence) for r in paired.collect()} == {(1, 0), (1, 3)} and paired.count() < every.count()
