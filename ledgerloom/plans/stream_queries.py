@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
-from ledgerloom.session import shared_dir
+from ledgerloom.session import shared_dir, staged
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import ledger_stream as S, plan_log
 
@@ -38,7 +38,7 @@ OPERATIONS = """lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 def plan_entries(spark, sf):
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("w")), "l_orderkey")
     n = F.row_number().over(Window.partitionBy("w").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    rows = lines.withColumn("n", n)
+    rows = staged(lines.select("w", n.alias("n"), "l_suppkey", "l_partkey"), "plan-lines")  # every batch reads them
     # Every seventh workspace leaves a number out behind the 60th; every eleventh operation repeats the one before it.
     seq = F.col("n") + F.when((F.col("w") % 7 == 0) & (F.col("n") > 60), 1).otherwise(0)
     key = F.concat_ws("-", "w", F.when(F.col("n") % 11 == 0, F.col("n") - 1).otherwise(F.col("n")))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.scores import first_that
-from ledgerloom.operators.merging import islands
+from ledgerloom.operators.merging import islands, running_max
+from ledgerloom.session import staged
 
 ENTRY = "workspace string, plan_id string, seq long, op_key string, op string, assertion_id string, other_id string, subject string, object string, at long"
 LOG = ENTRY + ", outcome string, reason string, batch long"
@@ -38,32 +39,47 @@ def judged(entries: DataFrame, log: DataFrame) -> DataFrame:
     """
     whole = F.col("workspace").isNotNull() & F.col("plan_id").isNotNull() & F.col("seq").isNotNull() & F.col("op_key").isNotNull()
     taken = log.filter("outcome <> 'refused'")
-    heads = taken.groupBy("workspace").agg(F.max("seq").alias("head"))
+    heads = staged(taken.groupBy("workspace").agg(F.max("seq").alias("head")), "heads")
     done = taken.filter("outcome = 'applied'").select("workspace", "op_key", F.lit(True).alias("done"), F.col("seq").alias("done_at")).distinct()
     rows = entries.filter(whole).join(heads, "workspace", "left").join(done, ["workspace", "op_key"], "left").withColumn("head", F.coalesce("head", F.lit(0)))
     resent = F.coalesce(F.col("done") & ((F.col("seq") == F.col("done_at")) | (F.col("seq") <= F.col("head"))), F.lit(False))
     old, new = rows.filter(resent), rows.filter(~resent)
-    line = Window.partitionBy("workspace").orderBy("seq", "plan_id", "op_key")
-    before = F.coalesce(F.lag("seq").over(line), F.col("head"))
-    why = first_that((F.col("seq") <= F.col("head"), "SEQUENCE_TAKEN"), ((F.col("seq") == before) | (F.col("seq") == F.lead("seq").over(line)), "SEQUENCE_REPEATED"), (F.col("seq") > before + 1, "SEQUENCE_GAP"), otherwise=None)
-    new = new.withColumn("why", why)
-    plans = new.groupBy("workspace", "plan_id").agg(F.min("seq").alias("start"), F.max("seq").alias("end"), F.min("why").alias("plan_why"))
-    runs = islands(plans.withColumnRenamed("workspace", "key"), WIDTH, touching=True).withColumnRenamed("key", "workspace")
-    first_bad = runs.filter("plan_why IS NOT NULL").groupBy("workspace").agg(F.min("island").alias("bad"))
-    fate = runs.join(first_bad, "workspace", "left").select("workspace", "plan_id", "plan_why", F.coalesce(F.col("island") >= F.col("bad"), F.lit(False)).alias("refused"))
-    once = F.row_number().over(Window.partitionBy("workspace", "op_key", "refused").orderBy("seq", "plan_id"))
-    new = new.join(fate, ["workspace", "plan_id"]).withColumn("turn", once)
-    refused, repeated = F.col("refused"), F.coalesce("done", F.lit(False)) | (F.col("turn") > 1)
-    outcome = first_that((refused, "refused"), (repeated, "skipped"), otherwise="applied")
-    reason = first_that((refused, F.coalesce("why", "plan_why", F.lit("AFTER_REFUSED"))), (repeated, "ALREADY_APPLIED"), otherwise=None)
+    bads, plans, first_bad = faults(new)
+    new = new.join(first_bad, "workspace", "left")
+    refused = F.coalesce(F.col("seq") >= F.col("bad"), F.lit(False))
+    kept = new.filter(~refused).withColumn("turn", F.row_number().over(Window.partitionBy("workspace", "op_key").orderBy("seq", "plan_id")))
+    repeated = F.coalesce("done", F.lit(False)) | (F.col("turn") > 1)
+    out = new.filter(refused).join(bads, ["workspace", "seq"], "left").join(plans, ["workspace", "plan_id"], "left")
     columns = entries.columns
     return (
-        new.select(*columns, outcome.alias("outcome"), reason.alias("reason"))
+        kept.select(*columns, F.when(repeated, "skipped").otherwise("applied").alias("outcome"), F.when(repeated, "ALREADY_APPLIED").alias("reason"))
+        .unionByName(out.select(*columns, F.lit("refused").alias("outcome"), F.coalesce("why", "plan_why", F.lit("AFTER_REFUSED")).alias("reason")))
         .unionByName(old.select(*columns, F.lit("skipped").alias("outcome"), F.lit("ALREADY_APPLIED").alias("reason")))
         .unionByName(entries.filter(~whole).select(*columns, F.lit("refused").alias("outcome"), F.lit("INCOMPLETE").alias("reason")))
     )
 
 
+def faults(new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of entries (with the head of their workspace): numbers out of order (workspace, seq, why), plans with such (workspace,
+    plan_id, plan_why), and the number from which a workspace's entries are refused (workspace, bad).
+
+    Runs of plans that interlace share no number, so what lies in the first bad run or behind it is told by its number alone.
+    Numbers are compared in bins; only workspaces with a fault are grouped by plan. The three are written to the shared
+    folder, so that small ones are known to be small.
+    """
+    numbers = new.select("workspace", "head", "seq", F.floor(F.col("seq") / WIDTH).alias("__bin"))
+    numbers = running_max(numbers, "workspace", "__bin", [F.col("seq")], "seq", "__last", own=False)
+    before = F.coalesce("__last", "head")
+    after = F.lead("seq").over(Window.partitionBy("workspace", "__bin").orderBy("seq"))
+    why = first_that((F.col("seq") <= F.col("head"), "SEQUENCE_TAKEN"), ((F.col("seq") == before) | (F.col("seq") == after), "SEQUENCE_REPEATED"), (F.col("seq") > before + 1, "SEQUENCE_GAP"), otherwise=None)
+    bads = staged(numbers.select("workspace", "seq", why.alias("why")).filter("why IS NOT NULL").distinct(), "bads")
+    plans = staged(new.select("workspace", "plan_id", "seq").join(bads, ["workspace", "seq"]).groupBy("workspace", "plan_id").agg(F.min("why").alias("plan_why")), "bad-plans")
+    spans = new.join(plans.select("workspace").distinct(), "workspace", "left_semi").groupBy("workspace", "plan_id").agg(F.min("seq").alias("start"), F.max("seq").alias("end"))
+    runs = islands(spans.withColumnRenamed("workspace", "key"), WIDTH, touching=True).withColumnRenamed("key", "workspace")
+    first_bad = staged(runs.join(plans, ["workspace", "plan_id"], "left_semi").groupBy("workspace").agg(F.min("island").alias("bad")), "first-bad")
+    return bads, plans, first_bad
+
+
 def append(entries: DataFrame, number: int, path: str) -> None:
     """Judges a batch and writes it to its own folder. Batches come in the order of their numbers."""
     rows = judged(entries, read_log(entries.sparkSession, path, number))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assess, lexicon
-from ledgerloom.plans import assess_queries, extract_queries
+from ledgerloom.plans import assess_queries, extract_queries, stream_queries
 
 SMALL = "/root/testdata/sf0.001"
 LEXICON = "kind string, entry string, type string, confidence double, canonical boolean, surface string"
@@ -43,3 +43,7 @@ def test_claims_need_only_hits_of_sentences_with_pairs(spark):
     claims = lambda hits: sorted(map(str, lexicon.rule_claims(hits, rules).collect()))
     assert claims(every) == claims(paired) and len(claims(paired)) == 2
     assert {(r.text_id, r.sentence) for r in paired.collect()} == {(1, 0), (1, 3)} and paired.count() < every.count()
+
+
+def test_operations_are_numbered_once_for_all_batches(spark):
+    assert "Window" not in plan(stream_queries.plan_entries(spark, SMALL))
