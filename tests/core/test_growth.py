@@ -1,9 +1,12 @@
 """Work that grows with the input: what a task reads is not joined, repeated or walked by a single task."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assess, lexicon
 from ledgerloom.plans import assess_queries, extract_queries, stream_queries
+from ledgerloom.streaming import plan_log
 
 SMALL = "/root/testdata/sf0.001"
 LEXICON = "kind string, entry string, type string, confidence double, canonical boolean, surface string"
@@ -47,3 +50,9 @@ def test_claims_need_only_hits_of_sentences_with_pairs(spark):
 
 def test_operations_are_numbered_once_for_all_batches(spark):
     assert "Window" not in plan(stream_queries.plan_entries(spark, SMALL))
+
+
+def test_plans_are_not_dealt_out_to_be_refused(spark):
+    entries = stream_queries.plan_entries(spark, SMALL)
+    judged = plan_log.judged(entries, spark.createDataFrame([], plan_log.LOG))
+    assert not [keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan(judged)) if "plan_id" in keys]
