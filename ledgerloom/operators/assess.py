@@ -94,7 +94,8 @@ def phases(rows: DataFrame, cue: str, by: list[str]) -> DataFrame:
     """The columns `by`, place and phase: texts cut before each cue (plain lower-case words), in order, without empty parts.
     Case and accents of the text do not matter, and its parts are as they stand there. A cue starts and ends at words'
     ends."""
-    cut = F.split("text", rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?=(?:{any_accent(cue)})(?![\p{{L}}\p{{M}}\p{{N}}_]))")
+    begins = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?=(?:{any_accent(cue)})(?![\p{{L}}\p{{M}}\p{{N}}_]))"
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s).+?(?={begins}|\z)"), F.lit(0))  # F.split would compile this long pattern for each row
     parts = F.filter(F.transform(cut, lambda x: F.btrim(x, F.lit(" ,.;:-"))), lambda x: x != "")
     return rows.select(*by, F.posexplode(parts).alias("place", "phase"))
 

@@ -10,6 +10,7 @@ from ledgerloom.operators import assess
 from ledgerloom.plans.decision_queries import cased
 from ledgerloom.plans.extract_queries import MENTIONS, mention_pairs
 from ledgerloom.plans.text_queries import fold
+from ledgerloom.session import spread
 from ledgerloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -81,7 +82,7 @@ p AS (SELECT p_partkey, list_filter(list_transform(parts, lambda x: trim(x, ' ,.
 u AS (SELECT p_partkey, unnest(parts) AS phase, generate_subscripts(parts, 1) - 1 AS place FROM p), t AS (SELECT *, {fold('phase')} AS t FROM u)
 SELECT p_partkey, place, phase, {cased(cues.TEMPORAL, 'UNKNOWN')} AS state FROM t""")
 def transition_phases(spark, sf):
-    stories = table(spark, sf, "part").select("p_partkey", F.expr(STORY).alias("text"))
+    stories = spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_type")).select("p_partkey", F.expr(STORY).alias("text"))
     return assess.phases(stories, TURNS, ["p_partkey"]).withColumn("place", F.col("place").cast("long")).withColumn("state", cues.temporal_state(F.col("phase")))
 
 

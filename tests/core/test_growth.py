@@ -56,3 +56,10 @@ def test_plans_are_not_dealt_out_to_be_refused(spark):
     entries = stream_queries.plan_entries(spark, SMALL)
     judged = plan_log.judged(entries, spark.createDataFrame([], plan_log.LOG))
     assert not [keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan(judged)) if "plan_id" in keys]
+
+
+def test_a_table_in_one_file_is_cut_into_phases_by_several_tasks(spark):
+    assert assess_queries.transition_phases(spark, SMALL).rdd.getNumPartitions() > 1
+    rows = spark.createDataFrame([(1, "Hoy no\nluego; AHORA"), (2, ""), (3, None), (4, "a\x01b después c ahorá"), (5, "ahorar luegos hoy.hoy")], "id int, text string")
+    got = [(r.id, r.place, r.phase) for r in assess.phases(rows, assess_queries.TURNS, ["id"]).orderBy("id", "place").collect()]
+    assert got == [(1, 0, "Hoy no\n"), (1, 1, "luego"), (1, 2, "AHORA"), (4, 0, "a\x01b"), (4, 1, "después c"), (4, 2, "ahorá"), (5, 0, "ahorar luegos"), (5, 1, "hoy"), (5, 2, "hoy")]
