@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import temporal
+from ledgerloom.session import spread, staged
 from ledgerloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -44,7 +45,7 @@ def quoted(x):
 
 def passages(spark, sf):
     said = F.element_at(F.array(*[F.lit(p[0]) for p in PASSAGES]), (F.col("p_partkey") % len(PASSAGES) + 1).cast("int"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_brand", F.lit(" "), said).alias("text"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_brand")).select(F.col("p_partkey").alias("doc_id"), F.concat("p_brand", F.lit(" "), said).alias("text"))
 
 
 FOUND = "f(k, said, text, kind, calendar_id, first_day, next_day) AS (VALUES " + ", ".join(f"({k}, '{p[0]}', {', '.join(map(quoted, x))})" for k, p in enumerate(PASSAGES) for x in p[1]) + ")"
@@ -61,7 +62,7 @@ def temporal_expressions(spark, sf):
 SELECT p_partkey AS doc_id, status, cues, CAST(n AS BIGINT) AS n, kinds FROM part JOIN t ON t.k = p_partkey % {len(PASSAGES)}""")
 def temporal_resolutions(spark, sf):
     rows = passages(spark, sf)
-    found = temporal.expressions(rows, CALENDARS)
+    found = staged(temporal.expressions(rows, CALENDARS), "expressions")  # read twice
     kept = temporal.standalone(found).select("doc_id", "n", F.array_join("kinds", ",").alias("kinds"))
     out = temporal.resolutions(rows, found).join(kept, "doc_id", "left")
     return out.select("doc_id", "status", F.array_join("cues", ",").alias("cues"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kinds", F.lit("")).alias("kinds"))

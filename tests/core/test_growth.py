@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import assess, lexicon
-from ledgerloom.plans import assess_queries, extract_queries, stream_queries
+from ledgerloom.plans import assess_queries, extract_queries, stream_queries, temporal_queries
 from ledgerloom.streaming import plan_log
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,3 +63,8 @@ def test_a_table_in_one_file_is_cut_into_phases_by_several_tasks(spark):
     rows = spark.createDataFrame([(1, "Hoy no\nluego; AHORA"), (2, ""), (3, None), (4, "a\x01b después c ahorá"), (5, "ahorar luegos hoy.hoy")], "id int, text string")
     got = [(r.id, r.place, r.phase) for r in assess.phases(rows, assess_queries.TURNS, ["id"]).orderBy("id", "place").collect()]
     assert got == [(1, 0, "Hoy no\n"), (1, 1, "luego"), (1, 2, "AHORA"), (4, 0, "a\x01b"), (4, 1, "después c"), (4, 2, "ahorá"), (5, 0, "ahorar luegos"), (5, 1, "hoy"), (5, 2, "hoy")]
+
+
+def test_expressions_of_time_are_found_once(spark):
+    assert "MapInArrow" not in plan(temporal_queries.temporal_resolutions(spark, SMALL))
+    assert temporal_queries.passages(spark, SMALL).rdd.getNumPartitions() > 1
