@@ -34,27 +34,55 @@ def best_first(candidates: DataFrame, left: str, right: str, *order: Column) ->
             return taken.drop("__rank").select(*candidates.columns)
 
 
+#: Widths of a class of length in a bin: wider bins repeat fewer spans and compare more.
+WIDE = 8
+#: Places of a block of a key's spans that is walked at once.
+BLOCK = 1 << 20
+
+
 def near_spans(gold: DataFrame, predicted: DataFrame, least: float) -> DataFrame:
-    """key, gold_id, pred_id and iou of spans (key, id, start, end) whose overlap by their union is `least` (a half or more).
+    """key, gold_id, pred_id, iou, g0, p0 and p1 of spans (key, id, start, end) whose overlap by their union is `least` (a half or more).
 
-    Such spans' lengths differ by no more than a factor of two, so spans meet in bins that are as wide as their class of
+    Such spans' lengths differ by no more than a factor of two, so spans meet in bins of WIDE times the width of their class of
     length: a span of any length meets its neighbours of about its own length only.
     """
     length = F.col("end") - F.col("start")
     of = lambda c: F.floor(F.log2(length.cast("double")) + 1e-12).cast("int") + c
     width = F.pow(F.lit(2), F.col("class") + 1).cast("long")
     g = gold.filter("end > start").select("key", F.col("id").alias("gold_id"), F.col("start").alias("g0"), F.col("end").alias("g1"), F.explode(F.array(of(-1), of(0), of(1))).alias("class")).filter("class >= 0")
-    g = g.select("*", F.explode(F.sequence(F.floor((F.col("g0") - width) / width), F.floor(F.col("g1") / width))).alias("bin"))
+    g = g.select("*", F.explode(F.sequence(F.floor((F.col("g0") - width) / (WIDE * width)), F.floor(F.col("g1") / (WIDE * width)))).alias("bin"))
     p = predicted.filter("end > start").select("key", F.col("id").alias("pred_id"), F.col("start").alias("p0"), F.col("end").alias("p1"), of(0).alias("class"))
-    p = p.withColumn("bin", F.floor(F.col("p0") / width))
+    p = p.withColumn("bin", F.floor(F.col("p0") / (WIDE * width)))
     both = g.join(p, ["key", "class", "bin"]).filter("g0 < p1 AND p0 < g1")
-    return both.select("key", "gold_id", "pred_id", interval_iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")).alias("iou")).filter(F.col("iou") >= least)
+    return both.select("key", "gold_id", "pred_id", interval_iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")).alias("iou"), "g0", "p0", "p1").filter(F.col("iou") >= least)
 
 
 def match_spans(gold: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
     """key, gold_id, pred_id, iou of spans (key, id, start, end) matched one to one by falling overlap, then ids. Ids are
-    unique; empty spans match nothing."""
-    return best_first(near_spans(gold, predicted, least), "gold_id", "pred_id", -F.col("iou"))
+    unique; empty spans match nothing.
+
+    Candidates lie in the block of their gold span. Where all candidates of a predicted span lie in one block too, as its
+    place tells, a walk through the block from the best to the worst takes what the whole walk would. What meets a predicted span
+    that may have candidates elsewhere, or a candidate that waits for such a one, is left to best_first.
+    """
+    block = lambda c: F.floor(c / BLOCK)
+    near = near_spans(gold, predicted, least).filter("gold_id IS NOT NULL AND pred_id IS NOT NULL")
+    apart = (block(F.col("p0") - 2 * (F.col("p1") - F.col("p0"))) != block(F.col("g0"))) | (block(F.col("p1")) != block(F.col("g0")))
+    rows = near.select("key", block(F.col("g0")).alias("block"), (-F.col("iou")).alias("order"), "gold_id", "pred_id", apart.alias("waits"))
+
+    def step(state: tuple[set, set], row: dict) -> tuple[tuple[set, set], list]:
+        used, waiting = state
+        ends = {(0, row["gold_id"]), (1, row["pred_id"])}
+        if not used.isdisjoint(ends):
+            return state, []
+        waits = row["waits"] or not waiting.isdisjoint(ends)
+        (waiting if waits else used).update(ends)
+        return state, [(row["key"], row["gold_id"], row["pred_id"], -row["order"], waits)]
+
+    of = lambda c: near.schema[c].dataType.simpleString()
+    schema = f"key {of('key')}, gold_id {of('gold_id')}, pred_id {of('pred_id')}, iou double, waits boolean"
+    walked = staged(folded(rows, ["key", "block"], ["order", "gold_id", "pred_id"], lambda: (set(), set()), step, schema), "walked")
+    return walked.filter("NOT waits").drop("waits").unionByName(best_first(walked.filter("waits").drop("waits"), "gold_id", "pred_id", -F.col("iou")))
 
 
 def align_clusters(items: DataFrame, pinned: DataFrame) -> DataFrame:

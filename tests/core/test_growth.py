@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import assess, lexicon
+from ledgerloom.operators import assess, lexicon, matching
 from ledgerloom.plans import assess_queries, extract_queries, stream_queries, temporal_queries
 from ledgerloom.streaming import plan_log
 
@@ -68,3 +68,16 @@ def test_a_table_in_one_file_is_cut_into_phases_by_several_tasks(spark):
 def test_expressions_of_time_are_found_once(spark):
     assert "MapInArrow" not in plan(temporal_queries.temporal_resolutions(spark, SMALL))
     assert temporal_queries.passages(spark, SMALL).rdd.getNumPartitions() > 1
+
+
+def test_spans_are_walked_in_blocks_with_the_same_matches(spark, monkeypatch):
+    spans = lambda a, b: spark.range(400).select((F.col("id") % 2).alias("key"), F.concat(F.lit("s"), "id").alias("id"), (F.col("id") * a % 211).alias("start"), (F.col("id") * a % 211 + 1 + F.col("id") * b % 17).alias("end"))
+    gold, predicted = spans(7, 5), spans(11, 3)
+    want = sorted(map(tuple, matching.best_first(matching.near_spans(gold, predicted, 0.5), "gold_id", "pred_id", -F.col("iou")).select("key", "gold_id", "pred_id", "iou").collect()))
+    rounds = []
+    monkeypatch.setattr(matching, "best_first", lambda rows, *a, f=matching.best_first: rounds.append(rows.count()) or f(rows, *a))
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(matching, "BLOCK", size)
+        assert sorted(map(tuple, matching.match_spans(gold.select("*"), predicted, 0.5).collect())) == want
+    near = matching.near_spans(gold, predicted, 0.5).count()
+    assert rounds[0] < near / 4 and 0 < rounds[1] < near
