@@ -106,6 +106,19 @@ def compared(samples: DataFrame, k: float = 3.0) -> DataFrame:
     return rows.select("name", F.round("base", 6).alias("base"), F.round("other", 6).alias("other"), F.round(effect, 6).alias("effect"), verdict.alias("verdict"))
 
 
+def placed(rows: DataFrame, count: int, by: list[Column], keep: list[str], name: str) -> DataFrame:
+    """Columns of rows (about count of them) with place, from 1 in an order: rows are dealt by ranges of the order, sorted and
+    counted within their range, written, and moved up by the ranges before."""
+    # The id of a row is its range's number and, in the lower 33 bits, its place there.
+    number = F.monotonically_increasing_id()
+    ranges = rows.repartitionByRange(partitions(rows.sparkSession, count), *by).sortWithinPartitions(*by).withColumn("number", number)
+    ranges = staged(ranges.select(*keep, F.shiftright("number", 33).alias("range"), F.col("number").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), name)
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # as many rows as ranges
+    before = staged(before.coalesce(1), f"{name}-before")  # every reader of the places needs them
+    return ranges.join(F.broadcast(before), "range").select(*keep, (F.col("at") + F.col("before") + 1).alias("place"))
+
+
 def priority(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows (decision, disagree, confidence, id) with place: by decision, those in disagreement first, unknown confidence
     first, then the least sure. Rows are dealt by ranges of that order, sorted and counted within their range and moved up by
@@ -114,10 +127,4 @@ def priority(rows: DataFrame, order: list[str]) -> DataFrame:
     rows = rows.withColumn("rank", F.coalesce(F.try_element_at(ranks, F.col("decision")), F.lit(len(order))))
     rows = staged(rows.select("id", "decision", "disagree", "confidence", "rank"), "reviews")
     by = [F.col("rank"), F.col("disagree").desc(), F.col("confidence").asc_nulls_first(), F.col("id")]
-    # The id of a row is its range's number and, in the lower 33 bits, its place there.
-    number = F.monotonically_increasing_id()
-    ranges = rows.repartitionByRange(partitions(rows.sparkSession, rows.count()), *by).sortWithinPartitions(*by).withColumn("number", number)
-    ranges = staged(ranges.select("id", "decision", F.shiftright("number", 33).alias("range"), F.col("number").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranges")
-    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # as many rows as ranges
-    return ranges.join(F.broadcast(before), "range").select("id", "decision", (F.col("at") + F.col("before") + 1).alias("place"))
+    return placed(rows, rows.count(), by, ["id", "decision"], "ranges")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from ledgerloom.session import shared_dir, staged
+from ledgerloom.operators.joins import placed
+from ledgerloom.session import dealt, shared_dir, staged
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import ledger_stream as S, plan_log
 
@@ -36,9 +37,16 @@ OPERATIONS = """lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 
 
 def plan_entries(spark, sf):
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("w")), "l_orderkey")
-    n = F.row_number().over(Window.partitionBy("w").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    rows = staged(lines.select("w", n.alias("n"), "l_suppkey", "l_partkey"), "plan-lines")  # every batch reads them
+    # Lines are dealt by rows and numbered in ranges of their order, so that no task sorts a whole workspace. Lines that differ by
+    # their price alone give the same operations whichever comes first.
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    count = lines.count()
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("w"))
+    lines = dealt(lines, count, "l_orderkey").join(orders, "l_orderkey")
+    by = [F.col(c).asc_nulls_last() for c in ("w", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    rows = placed(lines, count, by, ["w", "l_suppkey", "l_partkey"], "plan-lines")  # every batch reads them
+    firsts = staged(rows.groupBy("w").agg(F.min("place").alias("first")), "plan-firsts").withColumnRenamed("w", "of")
+    rows = rows.join(F.broadcast(firsts), F.col("w").eqNullSafe(F.col("of"))).withColumn("n", F.col("place") - F.col("first") + 1)
     # Every seventh workspace leaves a number out behind the 60th; every eleventh operation repeats the one before it.
     seq = F.col("n") + F.when((F.col("w") % 7 == 0) & (F.col("n") > 60), 1).otherwise(0)
     key = F.concat_ws("-", "w", F.when(F.col("n") % 11 == 0, F.col("n") - 1).otherwise(F.col("n")))

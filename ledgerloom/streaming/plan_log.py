@@ -11,12 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.scores import first_that
 from ledgerloom.operators.merging import islands, running_max
-from ledgerloom.session import staged
+from ledgerloom.session import PARTITION_ROWS, dealt, staged
 
 ENTRY = "workspace string, plan_id string, seq long, op_key string, op string, assertion_id string, other_id string, subject string, object string, at long"
 LOG = ENTRY + ", outcome string, reason string, batch long"
 #: Sequence numbers in a bin of the islands of plans.
 WIDTH = 10_000
+#: Applied operations that are sent to every task; more are joined by key.
+FEW = 200_000
 
 
 def read_log(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
@@ -38,16 +40,21 @@ def judged(entries: DataFrame, log: DataFrame) -> DataFrame:
     without a workspace, plan, number or key are refused by themselves.
     """
     whole = F.col("workspace").isNotNull() & F.col("plan_id").isNotNull() & F.col("seq").isNotNull() & F.col("op_key").isNotNull()
+    rows, key = entries.filter(whole), ["workspace", "op_key"]
+    count = rows.count()
     taken = log.filter("outcome <> 'refused'")
     heads = staged(taken.groupBy("workspace").agg(F.max("seq").alias("head")), "heads")
-    done = taken.filter("outcome = 'applied'").select("workspace", "op_key", F.lit(True).alias("done"), F.col("seq").alias("done_at")).distinct()
-    rows = entries.filter(whole).join(heads, "workspace", "left").join(done, ["workspace", "op_key"], "left").withColumn("head", F.coalesce("head", F.lit(0)))
+    applied = taken.filter("outcome = 'applied'")
+    done = applied.select(*key, F.lit(True).alias("done"), F.col("seq").alias("done_at")).distinct()
+    few = applied.limit(FEW + 1).count() <= FEW
+    rows = (rows if few else dealt_by_rows(rows, count, *key)).join(heads, "workspace", "left").join(F.broadcast(done) if few else done, key, "left").withColumn("head", F.coalesce("head", F.lit(0)))
     resent = F.coalesce(F.col("done") & ((F.col("seq") == F.col("done_at")) | (F.col("seq") <= F.col("head"))), F.lit(False))
     old, new = rows.filter(resent), rows.filter(~resent)
-    bads, plans, first_bad = faults(new)
+    bads, plans, first_bad = faults(new, heads, count)
     new = new.join(first_bad, "workspace", "left")
     refused = F.coalesce(F.col("seq") >= F.col("bad"), F.lit(False))
-    kept = new.filter(~refused).withColumn("turn", F.row_number().over(Window.partitionBy("workspace", "op_key").orderBy("seq", "plan_id")))
+    kept = new.filter(~refused).select(*entries.columns, "done")
+    kept = (dealt_by_rows(kept, count, *key) if few else kept).withColumn("turn", F.row_number().over(Window.partitionBy("workspace", "op_key").orderBy("seq", "plan_id")))
     repeated = F.coalesce("done", F.lit(False)) | (F.col("turn") > 1)
     out = new.filter(refused).join(bads, ["workspace", "seq"], "left").join(plans, ["workspace", "plan_id"], "left")
     columns = entries.columns
@@ -59,16 +66,22 @@ def judged(entries: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def faults(new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of entries (with the head of their workspace): numbers out of order (workspace, seq, why), plans with such (workspace,
-    plan_id, plan_why), and the number from which a workspace's entries are refused (workspace, bad).
+def dealt_by_rows(frame: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The frame dealt by keys where its rows are many. Adaptive execution joins partitions by their bytes, and numbered keys pack
+    so well that a task of them would not hold its rows; a small batch is left to it."""
+    return dealt(frame, rows, *keys) if rows > PARTITION_ROWS else frame
+
+
+def faults(new: DataFrame, heads: DataFrame, count: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of new entries (about count of them) and the heads of their workspaces: numbers out of order (workspace, seq, why), plans
+    with such (workspace, plan_id, plan_why), and the number from which a workspace's entries are refused (workspace, bad).
 
     Runs of plans that interlace share no number, so what lies in the first bad run or behind it is told by its number alone.
     Numbers are compared in bins; only workspaces with a fault are grouped by plan. The three are written to the shared
     folder, so that small ones are known to be small.
     """
-    numbers = new.select("workspace", "head", "seq", F.floor(F.col("seq") / WIDTH).alias("__bin"))
-    numbers = running_max(numbers, "workspace", "__bin", [F.col("seq")], "seq", "__last", own=False)
+    numbers = dealt_by_rows(new.select("workspace", "seq", F.floor(F.col("seq") / WIDTH).alias("__bin")), count, "workspace", "__bin")
+    numbers = running_max(numbers, "workspace", "__bin", [F.col("seq")], "seq", "__last", own=False).join(heads, "workspace", "left").withColumn("head", F.coalesce("head", F.lit(0)))
     before = F.coalesce("__last", "head")
     after = F.lead("seq").over(Window.partitionBy("workspace", "__bin").orderBy("seq"))
     why = first_that((F.col("seq") <= F.col("head"), "SEQUENCE_TAKEN"), ((F.col("seq") == before) | (F.col("seq") == after), "SEQUENCE_REPEATED"), (F.col("seq") > before + 1, "SEQUENCE_GAP"), otherwise=None)
@@ -97,13 +110,15 @@ def assertions(log: DataFrame) -> DataFrame:
     The first operation in the sequence that supersedes an assertion closes it, unless a CLOSE_VALIDITY did before; what
     was never created, or is closed before it is created, stays out.
     """
-    done = log.filter("outcome = 'applied'")
-    made = done.filter("op = 'CREATE_ASSERTION'").groupBy("workspace", "assertion_id").agg(F.min(F.struct("seq", "subject", "object", "at")).alias("m"))
-    ends = done.filter("op IN ('SUPERSEDE_ASSERTION', 'CLOSE_VALIDITY')").select("workspace", "assertion_id", F.struct("seq", "op", "other_id", "at").alias("e"))
-    closed = made.join(ends, ["workspace", "assertion_id"]).filter("e.seq > m.seq").groupBy("workspace", "assertion_id").agg(F.min("e").alias("e"))
-    rows = made.join(closed, ["workspace", "assertion_id"], "left")
+    made, ended = F.col("op") == "CREATE_ASSERTION", F.col("op").isin("SUPERSEDE_ASSERTION", "CLOSE_VALIDITY") & F.col("assertion_id").isNotNull()
+    done = log.filter("outcome = 'applied'").filter(made | ended)
+    key = ["workspace", "assertion_id"]
+    # All that befalls an assertion is dealt once; an end counts only behind the first creation.
+    rows = dealt_by_rows(done, done.count(), *key).withColumn("made_at", F.min(F.when(made, F.col("seq"))).over(Window.partitionBy(*key).orderBy("seq")))
+    first = [F.min_by(c, F.when(made, F.col("seq"))).alias(c) for c in ("subject", "object", "at")]
+    rows = rows.groupBy(*key).agg(*first, F.min("made_at").alias("made_at"), F.min(F.when(~made & (F.col("seq") > F.col("made_at")), F.struct("seq", "op", "other_id", "at"))).alias("e")).filter("made_at IS NOT NULL")
     status = first_that((F.col("e").isNull(), "ACTIVE"), (F.col("e.op") == "SUPERSEDE_ASSERTION", "SUPERSEDED"), otherwise="ENDED")
-    return rows.select("workspace", "assertion_id", "m.subject", "m.object", status.alias("status"), F.col("m.at").alias("valid_from"), F.col("e.at").alias("valid_to"), F.when(F.col("e.op") == "SUPERSEDE_ASSERTION", F.col("e.other_id")).alias("superseded_by"))
+    return rows.select("workspace", "assertion_id", "subject", "object", status.alias("status"), F.col("at").alias("valid_from"), F.col("e.at").alias("valid_to"), F.when(F.col("e.op") == "SUPERSEDE_ASSERTION", F.col("e.other_id")).alias("superseded_by"))
 
 
 def relations(log: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import assess, lexicon, matching
+from ledgerloom import session
+from ledgerloom.operators import assess, joins, lexicon, matching
 from ledgerloom.plans import assess_queries, extract_queries, stream_queries, temporal_queries
 from ledgerloom.streaming import plan_log
 
@@ -58,6 +59,40 @@ def test_plans_are_not_dealt_out_to_be_refused(spark):
     assert not [keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan(judged)) if "plan_id" in keys]
 
 
+def test_operations_are_numbered_in_ranges_of_their_order(spark, monkeypatch):
+    written = {}
+    for module in (joins, stream_queries):
+        monkeypatch.setattr(module, "staged", lambda frame, name, f=session.staged: written.setdefault(name, plan(frame)) and f(frame, name))
+    monkeypatch.setattr(session, "PARTITION_ROWS", 500)
+    got = stream_queries.plan_entries(spark, SMALL).groupBy("workspace").agg(F.count("*").alias("n"), F.count_distinct("at").alias("d"), F.min("at").alias("a"), F.max("at").alias("b")).collect()
+    assert "Window" not in written["plan-lines"] and "rangepartitioning" in written["plan-lines"]
+    assert len(got) == 40 and all(r.n == r.d == r.b and r.a == 1 for r in got)
+
+
+def test_entries_are_dealt_by_rows(spark, monkeypatch):
+    entries, none = stream_queries.plan_entries(spark, SMALL), spark.createDataFrame([], plan_log.LOG)
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    whole = plan_log.judged(entries, none)
+    want, count = rows(whole), entries.count()
+    log = session.staged(whole.withColumn("batch", F.lit(0).cast("long")), "log")
+    again, ends = rows(plan_log.judged(entries, log)), rows(plan_log.assertions(log))
+    for module in (session, plan_log):
+        monkeypatch.setattr(module, "PARTITION_ROWS", 500)
+    judged = plan_log.judged(entries, none)
+    assert re.search(rf"hashpartitioning\(workspace#\d+, op_key#\d+, {-(-count // 500)}\), REPARTITION_BY_NUM", plan(judged)) and rows(judged) == want
+    monkeypatch.setattr(plan_log, "FEW", 10)
+    assert rows(plan_log.judged(entries, log)) == again and {r.outcome for r in plan_log.judged(entries, log).select("outcome").distinct().collect()} == {"skipped", "refused"}
+    assert "Join" not in plan(plan_log.assertions(log)) and plan(plan_log.assertions(log)).count("Exchange hashpartitioning") == 1 and rows(plan_log.assertions(log)) == ends
+
+
+def test_ends_count_only_behind_the_first_creation(spark):
+    made, gone, shut = "CREATE_ASSERTION", "SUPERSEDE_ASSERTION", "CLOSE_VALIDITY"
+    said = [("A", 1, gone, "Z"), ("A", 3, made, None), ("A", 4, made, None), ("A", 6, gone, "Y"), ("A", 5, shut, "X"), ("B", 2, shut, None), ("C", 7, made, None), ("C", 8, gone, None), (None, 9, made, None), (None, 10, shut, None), ("D", 11, made, None)]
+    log = spark.createDataFrame([("w", "p", n, str(n), op, a, other, f"s{n}", None, n * 10, "applied" if a != "D" else "refused", None, 0) for a, n, op, other in said], plan_log.LOG)
+    got = sorted((r.assertion_id or "", r.subject, r.object, r.status, r.valid_from, r.valid_to, r.superseded_by) for r in plan_log.assertions(log).collect())
+    assert got == [("", "s9", None, "ACTIVE", 90, None, None), ("A", "s3", None, "ENDED", 30, 50, None), ("C", "s7", None, "SUPERSEDED", 70, 80, None)]
+
+
 def test_a_table_in_one_file_is_cut_into_phases_by_several_tasks(spark):
     assert assess_queries.transition_phases(spark, SMALL).rdd.getNumPartitions() > 1
     rows = spark.createDataFrame([(1, "Hoy no\nluego; AHORA"), (2, ""), (3, None), (4, "a\x01b después c ahorá"), (5, "ahorar luegos hoy.hoy")], "id int, text string")
