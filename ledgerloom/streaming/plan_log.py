@@ -80,7 +80,8 @@ def faults(new: DataFrame, heads: DataFrame, count: int) -> tuple[DataFrame, Dat
     Numbers are compared in bins; only workspaces with a fault are grouped by plan. The three are written to the shared
     folder, so that small ones are known to be small.
     """
-    numbers = dealt_by_rows(new.select("workspace", "seq", F.floor(F.col("seq") / WIDTH).alias("__bin")), count, "workspace", "__bin")
+    numbers = new.select("workspace", "seq", F.floor(F.col("seq") / WIDTH).alias("__bin")).filter("__bin IS NOT NULL")  # said here, as both readers are one exchange then
+    numbers = dealt_by_rows(numbers, count, "workspace", "__bin")
     numbers = running_max(numbers, "workspace", "__bin", [F.col("seq")], "seq", "__last", own=False).join(heads, "workspace", "left").withColumn("head", F.coalesce("head", F.lit(0)))
     before = F.coalesce("__last", "head")
     after = F.lead("seq").over(Window.partitionBy("workspace", "__bin").orderBy("seq"))
