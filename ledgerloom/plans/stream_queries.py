@@ -44,9 +44,10 @@ def plan_entries(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("w"))
     lines = dealt(lines, count, "l_orderkey").join(orders, "l_orderkey")
     by = [F.col(c).asc_nulls_last() for c in ("w", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    rows = placed(lines, count, by, ["w", "l_suppkey", "l_partkey"], "plan-lines")  # every batch reads them
+    rows = placed(lines, count, by, ["w", "l_suppkey", "l_partkey"], "plan-lines")
     firsts = staged(rows.groupBy("w").agg(F.min("place").alias("first")), "plan-firsts").withColumnRenamed("w", "of")
     rows = rows.join(F.broadcast(firsts), F.col("w").eqNullSafe(F.col("of"))).withColumn("n", F.col("place") - F.col("first") + 1)
+    rows = staged(rows.select("w", "n", "l_suppkey", "l_partkey"), "plan-operations")  # every batch reads them
     # Every seventh workspace leaves a number out behind the 60th; every eleventh operation repeats the one before it.
     seq = F.col("n") + F.when((F.col("w") % 7 == 0) & (F.col("n") > 60), 1).otherwise(0)
     key = F.concat_ws("-", "w", F.when(F.col("n") % 11 == 0, F.col("n") - 1).otherwise(F.col("n")))
